@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: query: (module of this subpackage, function)
 FOUND = {
     "op4_quality_rules": "quality_rules",
+    "op10_ngram_join": "ngram_join",
 }
 
 
