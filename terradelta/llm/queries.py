@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query: (module of this subpackage, function)
 FOUND = {
+    "op1_sentencepiece": "sentencepiece_codec",
+    "op5_token_output": "token_output",
     "op4_quality_rules": "quality_rules",
     "op10_ngram_join": "ngram_join",
 }
