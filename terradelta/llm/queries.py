@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query: (module of this subpackage, function)
 FOUND = {
+    "op9_tiff_media": "tiff_media",
     "op1_sentencepiece": "sentencepiece_codec",
     "op5_token_output": "token_output",
     "op4_quality_rules": "quality_rules",
