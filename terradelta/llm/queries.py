@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query: (module of this subpackage, function)
 FOUND = {
+    "op3_mixing": "mixing",
     "op6_line_dedup": "line_dedup",
     "op9_tiff_media": "tiff_media",
     "op1_sentencepiece": "sentencepiece_codec",
