@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query: (module of this subpackage, function)
 FOUND = {
+    "op2_html_text": "html_text",
     "op8_class_lm": "class_lm",
     "op3_mixing": "mixing",
     "op6_line_dedup": "line_dedup",
