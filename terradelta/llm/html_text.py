@@ -6,7 +6,7 @@ after it, and what its open elements say: tags of menus, footers or forms,
 words in their class, id or role, whether an article is open, and what share of
 the page's unlinked words the marked element holds.  A decision tree decides
 which blocks are article; it is grown (Gini, exact splits) from the small
-labelled table that ``labelled_blocks`` makes from the pages in LABELLED, on
+labelled table that ``labelled_blocks`` makes from generated pages, on
 the driver, and sent along as a nested tuple.
 
 Character references are decoded, white space inside a block becomes one space,
@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from random import Random
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -225,31 +226,51 @@ def _words(n: int) -> str:
     return " ".join(("field", "river", "stone", "over", "light", "the", "and")[i * i % 7] for i in range(n))
 
 
-def _pages() -> list[str]:
-    """Small labelled pages; data-y says what an element's text is."""
-    w = _words
-    links = lambda n: "".join(f"<li><a href=/>{w(1 + i % 3)}</a></li>" for i in range(n))
-    prose = lambda *n: "".join(f"<p data-y=1>{w(i)}</p>" for i in n)
-    nav = f"<nav data-y=0><ul>{links(5)}</ul></nav>"
-    foot = f"<footer data-y=0>&copy; {w(9)}</footer>"
-    top = f"<header data-y=0><p>{w(3)}</p><p>{w(14)}</p></header>"
+def _pages(n: int = 260, seed: int = 11) -> list[str]:
+    """Small labelled pages in the shapes that sites have; data-y says what an element's text is."""
+    rnd = Random(seed)
+    some = lambda p: rnd.random() < p
+    size = lambda: rnd.choice((1, 2, 4, 8, 15, 30, 60, 120))
+    link = lambda k: f"<a href=/>{_words(k)}</a>"
+    para = lambda: f"<p>{_words(size())}{link(2) if some(0.2) else ''}</p>"
+    junk = lambda: "".join(rnd.choice((para, para, lambda: f"<h3>{_words(2)}</h3>", lambda: f"<div>{link(rnd.randrange(1, 4))}</div>"))() for _ in range(rnd.randrange(1, 4)))
+    menu = lambda tag: f"<{tag} data-y=0><ul>{''.join(f'<li>{link(rnd.randrange(1, 4))}</li>' for _ in range(rnd.randrange(2, 6)))}</ul></{tag}>"
+    named = ("ad", "advert", "sidebar", "cookie-notice", "share-buttons", "related", "newsletter", "widget", "site-footer", "top-nav", "promo", "breadcrumbs", "popup", "tags")
+
+    def boiler(tags: tuple[str, ...]) -> str:
+        kind = rnd.choice(("tag", "name", "comment"))
+        if kind == "tag":
+            tag = rnd.choice(tags)
+            return f"<{tag} data-y=0>{junk()}</{tag}>"
+        name = rnd.choice(named) if kind == "name" else rnd.choice(("comments", "comment-list"))
+        return f"<div {rnd.choice(('class', 'id'))}='{name}' data-y=0>{junk() * (1 if kind == 'name' else rnd.randrange(1, 6))}</div>"
+
     out = []
-    for body in (prose(40, 1, 90, 12, 2), prose(3, 60, 1, 1, 30), prose(120), prose(5), prose(1, 2)):
-        for open_, shut in (("<article data-y=1>", "</article>"), ("<main data-y=1>", "</main>"), ('<div class="post-content" data-y=1>', "</div>"), ("<div data-y=1>", "</div>")):
-            plain = open_ == "<div data-y=1>"
-            body_ = body if not plain or "field" in body and len(body) > 300 else prose(50, 2, 30)
-            inner = f"<h1>{w(6)}</h1>{body_}"
-            out.append(nav + f'<div class="ad" data-y=0>{w(8)}</div>' + open_ + inner + shut + foot)
-            out.append(top + nav + open_ + f"<h2>{w(3)}</h2>" + body_ + f"<ul><li>{w(7)}</li><li>{w(1)}</li></ul><blockquote>{w(12)}</blockquote>" + shut + f"<aside data-y=0><h3>{w(2)}</h3><p>{w(35)}</p></aside>" + foot)
-            out.append(f'<div class="cookie-notice" data-y=0><p>{w(30)}</p></div>' + open_ + f"<p><a href=/>{w(4)}</a> {w(30)}</p>" + inner + f'<div class="share" data-y=0>{w(3)}</div>' + f'<form data-y=0><p>{w(16)}</p></form>' + shut + f'<div class="comments" data-y=0><h3>{w(2)}</h3><p>{w(45)}</p><p>{w(2)}</p><p>{w(80)}</p></div>' + foot)
-            out.append(f'<div class="top-menu" data-y=0>{w(2)}</div>' + open_ + inner + f'<section id="comments" data-y=0><p>{w(60)}</p><p>{w(70)}</p></section><div class="related" data-y=0><p>{w(22)}</p></div>' + prose(25) + shut + f'<div class="sidebar" data-y=0><p>{w(33)}</p><p>{w(6)}</p></div><div data-y=0>&copy; {w(12)}</div>')
-            out.append(f"<div data-y=0><p><a href=/>{w(2)}</a> <a href=/>{w(2)}</a></p></div>" + open_ + f"<header><h1>{w(5)}</h1></header>" + body_ + shut + f'<div data-y=0><a href=/>{w(3)}</a></div><div class="footer" data-y=0><p>{w(18)}</p></div>')
-    for open_, shut in (("<article data-y=1>", "</article>"), ("<main data-y=1>", "</main>")):
-        out.append(nav + open_ + f"<h1><a href=/>{w(5)}</a></h1>" + prose(30, 2) + f"<p><a href=/>{w(9)}</a></p><p><a href=/>{w(2)}</a></p>" + prose(40) + shut + foot)
-    out.append(f'<div class="page-with-widget" data-y=1>{prose(80, 70, 1)}</div><div class="footer" data-y=0>{w(10)}</div>')
-    out.append(f'<div class="print" data-y=1><h1>{w(4)}</h1>{prose(150, 3, 60)}</div>{nav}{foot}')
-    out.append(f"<table><tr><td data-y=1>{w(40)}</td><td data-y=1>{w(3)}</td></tr><tr><td data-y=1>{w(20)}</td></tr></table>{foot}")
-    out += [prose(1), prose(4), prose(20), f"<div data-y=1>{w(15)}</div>"]
+    for _ in range(n):
+        kind = rnd.choice(("article", "main", "div class=post-content", "div id=content", "div", "div"))
+        sure = kind in ("article", "main")
+        body = [f"<h1>{_words(rnd.randrange(1, 9))}</h1>"] if some(0.6) else []
+        if some(0.15) and sure:
+            body = [f"<header>{body[0] if body else ''}</header>"]
+        for _ in range(rnd.randrange(1, 8)):
+            body.append(para())
+            if sure and some(0.1):
+                body.append(f"<p>{link(size())}</p>")
+            if some(0.15):
+                body.append(f"<ul><li>{_words(size())}</li><li>{_words(2)}</li></ul>")
+            if some(0.15):
+                body.append(boiler(("form", "aside", "footer", "nav")))
+        if not sure:
+            body.append(f"<p>{_words(150)}</p>")
+        page = f"<{kind} data-y=1>{''.join(body)}</{kind.split()[0]}>"
+        before = [menu("nav")] * some(0.5) + [menu("div")] * some(0.3) + [f"<header data-y=0>{junk()}</header>"] * some(0.5) + [boiler(("form", "aside", "nav")) for _ in range(rnd.randrange(3))]
+        after = [boiler(("form", "aside", "nav", "footer")) for _ in range(rnd.randrange(3))] + [f"<footer data-y=0>&copy; {_words(9)}</footer>"] * some(0.5) + [f"<div data-y=0>&copy; {_words(12)}</div>"] * some(0.3)
+        if sure and some(0.5):
+            after.append(f"<div data-y=0>{junk()}</div>")
+        out.append("".join(before) + page + "".join(after))
+    # bare text, and names that mark the whole page
+    out += [f"<p data-y=1>{_words(k)}</p>" for k in (1, 3, 9, 40)] + [f"<div data-y=1>{_words(k)}</div>" for k in (2, 12)]
+    out.append(f'<div class="print" data-y=1><h1>{_words(4)}</h1><p>{_words(150)}</p><p>{_words(3)}</p></div>{menu("nav")}')
     return out
 
 
