@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query: (module of this subpackage, function)
 FOUND = {
+    "op7_tool_chat": "tool_chat",
     "op2_html_text": "html_text",
     "op8_class_lm": "class_lm",
     "op3_mixing": "mixing",
@@ -26,4 +27,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from terradelta.llm import tool_chat
+
+    return {"op7_tool_chat": tool_chat.ORACLE}
