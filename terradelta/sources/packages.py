@@ -32,10 +32,14 @@ def json_object(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def features(spark: SparkSession, path: str) -> DataFrame:
-    """Properties of a feature collection, and its geometry as JSON text."""
-    inner = re.sub(r"(\w+) (\w+)", r"\1:\2", REGION)
-    f = json_object(spark, path, f"features array<struct<geometry: string, properties: struct<{inner}>>>")
-    return f.select(F.explode("features").alias("f")).select("f.properties.*", "f.geometry")
+    """Properties of a feature collection, and its geometry as JSON text.
+
+    A file that is no collection fails; a property of the wrong type ("true"
+    for true) is missing.
+    """
+    f = json_object(spark, path, "features array<struct<geometry: string, properties: string>>")
+    f = f.select(F.explode("features").alias("f")).select(F.from_json("f.properties", REGION).alias("p"), "f.geometry")
+    return f.select("p.*", "geometry")
 
 
 def details(spark: SparkSession, path: str) -> DataFrame:
