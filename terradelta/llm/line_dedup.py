@@ -8,7 +8,8 @@ if an earlier line, kept or not, is equal or within the bound.
 
 Plan, all of it DataFrame expressions:
 
-1. Occurrences are reduced to distinct lines with their first place, with
+1. Lines are normalised and hashed in one pass, whose narrow rows are stored.
+   Occurrences are reduced to distinct lines with their first place, with
    partial minima before the shuffle, so a line that a third of the documents
    hold is one row per task.  Later steps handle distinct lines only.
 2. One edit leaves either the first or the last half of a line alone.  Hashes
@@ -47,7 +48,11 @@ BLOCK = 64
 
 
 def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), GAP, " "))
+    """Lower case, single spaces.  Few lines have other white space than single spaces, so only these pay for a pattern."""
+    odd = F.contains(line, F.lit("  "))
+    for c in "\t\r\x0b\f":
+        odd = odd | F.contains(line, F.lit(c))
+    return F.trim(F.when(odd, F.regexp_replace(F.lower(line), GAP, " ")).otherwise(F.lower(line)))
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -113,10 +118,12 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     keys = distinct.select("h", F.explode(F.array("f0", "l0", "f1", "l1")).alias("key")).where("key is not null")
     shared = keys.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").select(F.col("key").alias("shared"))
     shared = small_or_not(shared, "line-halves")
-    some = keys.join(shared, F.col("key") == F.col("shared"), "left_semi").select("h").distinct()
-    some = small_or_not(some.join(distinct, "h").select(F.col("h").alias("ch"), "first"), "line-some")
-    lines = line_rows(docs).where(F.col("n") >= NEAR_WORDS).join(some, (F.col("h") == F.col("ch")) & (F.col("doc_id") == F.col("first.doc_id")) & (F.col("at") == F.col("first.at")))
-    lines, _ = stored(lines.select("h", "n", "t", "first").dropDuplicates(["h"]), "line-texts")
+    some = keys.join(shared, F.col("key") == F.col("shared"), "left_semi").select("h").distinct().join(distinct, "h")
+    some = some.groupBy(F.col("first.doc_id").alias("id")).agg(F.collect_list(F.struct("h", "n", "first")).alias("some"))  # lines of one document
+    lines = docs.join(small_or_not(some, "line-some"), F.col("doc_id") == F.col("id")).select("some", F.split("text", "\n", -1).alias("raw"))
+    lines = lines.select(F.inline(F.transform("some", lambda x: F.struct(x["h"].alias("h"), x["n"].alias("n"), x["first"].alias("first"), F.get("raw", x["first"]["at"]).alias("line")))))
+    lines = lines.select("h", "n", "first", normalised(F.col("line")).alias("t")).where(F.xxhash64("t") == F.col("h"))
+    lines, _ = stored(lines.dropDuplicates(["h"]), "line-texts")
     v = variants(lines)
     earliest = v.groupBy("key", "gap").agg(F.min(F.struct("first", "h")).alias("e")).select(F.col("key").alias("ek"), F.col("gap").alias("eg"), "e")
     fits = (F.col("gap") == F.col("eg")) & (F.col("gap") >= 0) | (F.col("gap") < 0) & (F.col("eg") >= 0) | (F.col("gap") >= 0) & (F.col("eg") < 0)
@@ -129,12 +136,13 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, at, near): the occurrences that go."""
     docs = docs.select("doc_id", "text")
-    d = _halves(line_rows(docs)).groupBy("h", "n", "f0", "l0", "f1", "l1").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("c"))
+    rows, _ = stored(_halves(line_rows(docs)).drop("t"), "line-rows")  # texts are normalised once
+    d = rows.groupBy("h", "n", "f0", "l0", "f1", "l1").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("c"))
     distinct, _ = stored(d, "line-distinct")
     near, _ = stored(near_lines(docs, distinct).select(F.col("h").alias("nh")), "line-near")
     going = distinct.join(near, F.col("h") == F.col("nh"), "left").where("c > 1 or nh is not null")
     going = small_or_not(going.select(F.col("h").alias("gh"), F.col("n").alias("gn"), "first", F.col("nh").isNotNull().alias("near")), "line-going")
-    d = line_rows(docs).select("doc_id", "at", "h", "n").join(going, (F.col("h") == F.col("gh")) & (F.col("n") == F.col("gn")))
+    d = rows.select("doc_id", "at", "h", "n").join(going, (F.col("h") == F.col("gh")) & (F.col("n") == F.col("gn")))
     return d.where(F.col("near") | (F.struct("doc_id", "at") != F.col("first"))).select("doc_id", "at", "near")
 
 
