@@ -8,8 +8,11 @@ lost executor costs a re-read and never a recomputation from the start.
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +25,21 @@ GAP = "[\\x20\\x09-\\x0D]+"
 BROADCAST_BYTES = 24 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, wherever the driver found it."""
+    context = spark.sparkContext
+    package = Path(__file__).resolve().parents[1]
+    if context.applicationId in _shipped or not package.is_dir():
+        return
+    where = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="terradelta-")), "terradelta.zip")
+    with zipfile.ZipFile(where, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(where)
+    _shipped.add(context.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,20 +72,30 @@ def stored_bytes(spark: SparkSession, where: str) -> int:
     return int(fs.getContentSummary(path).getLength())
 
 
-def scratch(spark: SparkSession, name: str) -> str:
+_made: list[tuple[str, str]] = []
+
+
+def scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new place in the shared folder, emptied at the driver's end, or by sweep() if it isn't kept."""
     where = f"{shared_dir(spark)}/terradelta/{name}-{uuid.uuid4().hex}"
     atexit.register(remove, spark, where)
+    if not keep:
+        _made.append((spark.sparkContext.applicationId, where))
     return where
 
 
-def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
+def sweep(spark: SparkSession) -> None:
+    """Remove this application's scratch tables; only for callers whose earlier results are all written."""
+    for made in [m for m in _made if m[0] == spark.sparkContext.applicationId]:
+        remove(spark, made[1])
+        _made.remove(made)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> tuple[DataFrame, str]:
     """Write df to the shared folder and read it back; its place comes second."""
     spark = df.sparkSession
-    where = scratch(spark, name)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(where)
+    where = scratch(spark, name, keep)
+    df.write.option("compression", "zstd").parquet(where)
     return spark.read.schema(df.schema).parquet(where), where
 
 

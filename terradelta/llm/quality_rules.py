@@ -95,7 +95,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def common_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """(host, h, n_docs) of the lines above the limit."""
-    around = F.transform("lines", lambda x, i: F.struct(x["h"].alias("h"), F.xxhash64(F.get("lines", i - 1)["h"], F.get("lines", i + 1)["h"]).alias("c")))
+    around = F.transform("lines", lambda x, i: F.struct(x["h"].alias("h"), i.alias("i"), F.xxhash64(F.get("lines", i - 1)["h"], F.get("lines", i + 1)["h"]).alias("c")))
     d = _lines(docs).select("host", F.sort_array(around).alias("s"))
     first = F.filter("s", lambda x, i: ~F.coalesce(F.get("s", i - 1)["h"] == x["h"], F.lit(False)))
     d = d.select("host", F.inline(first))
@@ -136,3 +136,25 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     out = judge(docs)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: The same in DuckDB's SQL, with the limits above.
+ORACLE = r"""
+with d as (select row_number() over () r, doc_id, source, coalesce(text, '') t from documents),
+w as (select r, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') ws from d),
+win as (select r, i, ws[i] || chr(1) || ws[i + 1] || chr(1) || ws[i + 2] g from (select r, ws, unnest(range(1, len(ws) - 1)) i from w)),
+again as (select r, i from win qualify count(*) over (partition by r, g) > 1),
+rep as (select r, count(distinct i + k) n from again, (values (0), (1), (2)) v(k) group by r),
+ln as (select r, source, unnest(string_split(t, chr(10))) l, generate_subscripts(string_split(t, chr(10)), 1) o from d),
+own as (select r, count(*) - count(distinct l) n from ln where regexp_matches(l, '[^\x20\x09-\x0D]') group by r),
+nl as (select r, source, o, trim(regexp_replace(regexp_replace(lower(l), '[^\p{L}\p{M}0-9]+', ' ', 'g'), '[0-9]+', '0', 'g')) g, len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) c from ln),
+nz as (select *, coalesce(lag(g) over w, '') || chr(10) || coalesce(lead(g) over w, '') a from nl where g <> '' window w as (partition by r order by o)),
+one as (select * from nz qualify row_number() over (partition by r, g order by o) = 1),
+cm as (select source, g from one group by source, g having count(*) > MAX_DOCS and count(distinct a) > MAX_DOCS),
+lost as (select nz.r, sum(nz.c) filter (cm.g is not null) gone, sum(nz.c) n from nz left join cm on nz.g = cm.g and nz.source is not distinct from cm.source group by nz.r),
+bad as (select distinct doc_id from lost join d using (r) where n - coalesce(gone, 0) < MIN_LEFT * n),
+b as (select d.r, doc_id, len(ws)::bigint n_words, length(array_to_string(ws, ''))::bigint word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint n_symbols, coalesce(own.n, 0)::bigint n_dup_lines, coalesce(rep.n, 0)::bigint n_repeat_words
+from d join w using (r) left join rep using (r) left join own using (r)),
+f as (select *, n_words < MIN_WORDS or 100 * n_repeat_words > MAX_REPEAT * n_words base_failed from b)
+select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and bad.doc_id is null kept from f left join bad using (doc_id)
+""".replace("MAX_DOCS", str(MAX_DOCS)).replace("MIN_LEFT", str(MIN_LEFT)).replace("MIN_WORDS", str(MIN_WORDS)).replace("MAX_REPEAT", str(MAX_REPEAT_PERCENT))

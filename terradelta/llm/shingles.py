@@ -109,10 +109,10 @@ def sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.
             part[:] = h[a : b - k + 1]
             part.sort()
         else:
-            x = _U(0x632BE59BD9B4E019)
-            for y in w[a:b]:
-                x = mix(np.array([x * c + y], np.uint64))[0]
-            out[s] = x
+            x = np.full(1, 0x632BE59BD9B4E019, np.uint64)
+            for i in range(a, b):
+                x = mix(x * c + w[i : i + 1])
+            out[s] = x[0]
     if len(out):
         new = np.ones(len(out), bool)
         new[1:] = out[1:] != out[:-1]

@@ -5,6 +5,7 @@ import random
 import sentencepiece
 
 import corpus_pipeline
+from terradelta.llm.common import stored
 from tests.llm import test_line_dedup, test_mixing, test_ngram_join, test_quality_rules
 from terradelta.llm import mixing, quality_rules, sentencepiece_codec
 
@@ -42,16 +43,20 @@ def test_stages_and_run(spark, tmp_path):
         text = "\n".join(x for k, x in enumerate(r[1].split("\n")) if k not in drop.get(r[0], ()))
         if text.strip():
             left.append((r[0], text, r[2], r[3], len(text)))
+    docs, _ = stored(docs, "a", keep=True)
     docs = corpus_pipeline.lines(spark, docs, str(tmp_path))
     assert sorted(map(tuple, docs.collect())) == sorted(left) and len(left) < len(want)
 
     first = {d for d, _, c in test_ngram_join.brute([(r[0], r[1], "") for r in left], 5, 80) if d == c}
+    docs, _ = stored(docs, "b", keep=True)
     docs = corpus_pipeline.near(spark, docs, str(tmp_path))
     assert sorted(r.doc_id for r in docs.collect()) == sorted(first)
 
     left = [r for r in left if r[0] in first]
     size = {r[0]: len(r[1].split()) for r in left}
+    docs, _ = stored(docs, "c", keep=True)
     docs = corpus_pipeline.mix(spark, docs, str(tmp_path))
+    docs, _ = stored(docs, "d", keep=True)
     mixed = docs.collect()
     assert docs.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
     for s, want_words in zip("abc", mixing.fill([sum(size[r[0]] for r in left if r[3] == x) for x in "abc"], [5, 2, 1], 1.5 * sum(size.values()), 2)):

@@ -31,10 +31,10 @@ def rejected(rows, limit, left):
         first = {}
         for k, (x, _) in enumerate(lines):
             c = (lines[k - 1][0] if k else None, lines[k + 1][0] if k + 1 < len(lines) else None)
-            first.setdefault(x, set()).add(c)
-        for x, cs in first.items():
+            first.setdefault(x, c)
+        for x, c in first.items():
             docs[source, x].add(i)
-            around[source, x].add(min(cs, key=str))
+            around[source, x].add(c)
     for doc, source, lines in per:
         n = sum(w for _, w in lines)
         gone = sum(w for x, w in lines if len(docs[source, x]) > limit and len(around[source, x]) > limit)
