@@ -14,11 +14,14 @@ taken by blocks, one block per shingle, and only where it can matter:
 3. Within the block of a shingle, a pair is kept if its sizes and the places of
    the shingle leave room for enough overlap, and then if the overlap counted
    over all shared prefix shingles does.  First every class meets one member of
-   each of its blocks, chosen by hash; the best pair of each class is counted
-   exactly, and the links merge classes into components.
+   each of its blocks; its two best pairs are counted exactly, and the links
+   merge classes into components.
 4. Whatever blocks still hold several components give all remaining pairs of
    members of different components (members of the block's main component are
-   paired with the others only, never among themselves), counted exactly.
+   paired with the others only, never among themselves), counted exactly.  The
+   classes of crowded blocks get new prefixes first, ordered by a sketch of the
+   crowd alone, and meet once more: what the copies have in common comes last,
+   so copies edited in different places no longer meet at all.
 
 So a group of near copies costs its size times the prefix, not the square.
 The hash of 64 bits stands for a shingle; the overlap is exact on these.
@@ -30,11 +33,12 @@ one class; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terradelta.llm import shingles
@@ -43,6 +47,9 @@ from terradelta.llm.common import components, small_or_not, stored
 _U = np.uint64
 SKETCH_BITS = 18
 _PARTS = 16
+#: Blocks of more classes than this are divided again by a sketch of their own.
+CROWD, CROWD_BITS = 32, 20
+PREFIXES = "doc_id long, cls long, n int, last_level int, last_key long, keys array<long>"
 
 
 def _class_ids(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -63,30 +70,55 @@ def _first_pass(k: int):
                 counts += np.bincount((s >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
                 n = len(offsets) - 1
                 yield pa.RecordBatch.from_arrays([ids.slice(row, n), pa.array(_class_ids(s, at)), pa.array(np.diff(at)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc_id", "cls", "n", "part", "counts"])
-        for p, piece in enumerate(np.split(counts, _PARTS)):
-            if piece.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([p], pa.int32()), pa.array([piece.astype("<u4").tobytes()], pa.binary())], names=["doc_id", "cls", "n", "part", "counts"])
+        for p, raw in _pieces(counts):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([p], pa.int32()), pa.array([raw], pa.binary())], names=["doc_id", "cls", "n", "part", "counts"])
+
+    return run
+
+
+def _pieces(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    for p, piece in enumerate(np.split(counts, _PARTS)):
+        if piece.any():
+            yield p, zlib.compress(piece.astype("<i8").tobytes(), 1)
+
+
+def _sketch(k: int, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            for _, data, offsets in shingles.slices(batch.column("text")):
+                s, _ = shingles.sets(data, offsets, k)
+                counts += np.bincount((s >> _U(64 - bits)).astype(np.int64), minlength=len(counts))
+        for p, raw in _pieces(counts):
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([raw], pa.binary())], names=["part", "counts"])
 
     return run
 
 
 def _add(table: pa.Table) -> pa.Table:
-    total = sum((np.frombuffer(x, "<u4").astype(np.int64) for x in table["counts"].to_pylist()), np.zeros((1 << SKETCH_BITS) // _PARTS, np.int64))
-    return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+    total = None
+    for x in table["counts"]:
+        piece = np.frombuffer(zlib.decompress(x.as_py()), "<i8")
+        total = piece.copy() if total is None else total + piece
+    return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def _summed(pieces: DataFrame, bits: int) -> np.ndarray:
+    """Counts of all buckets: at most _PARTS rows of fixed size come to the driver."""
+    total = np.zeros((_PARTS, (1 << bits) // _PARTS), np.int64)
+    for row in pieces.select("part", "counts").groupBy("part").applyInArrow(_add, "part int, counts binary").collect():
+        total[row["part"]] = np.frombuffer(row["counts"], "<i8")
+    return total.ravel()
 
 
 def _levels(first: DataFrame) -> np.ndarray:
     """Level of each bucket: 0 unless its count stands out of the mean."""
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
-    size = len(total) // _PARTS
-    summed = first.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_add, "part int, counts binary")
-    for row in summed.collect():  # at most _PARTS rows of fixed size
-        total[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["counts"], "<i8")
+    total = _summed(first.where("part is not null"), SKETCH_BITS)
     limit = total.mean() + 6 * np.sqrt(total.mean()) + 6
     return np.where(total <= limit, 0, 1 + np.log2(np.maximum(total, 1) / limit) * 2).astype(np.uint8)
 
 
-def _prefixes(k: int, percent: int, levels):
+def _prefixes(k: int, percent: int, levels, bits: int = SKETCH_BITS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
         for batch in batches:
@@ -94,7 +126,7 @@ def _prefixes(k: int, percent: int, levels):
             for row, data, offsets in shingles.slices(batch.column("text")):
                 s, at = shingles.sets(data, offsets, k)
                 n = np.diff(at)
-                lv = level[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)]
+                lv = level[(s >> _U(64 - bits)).astype(np.int64)]
                 ids_of = _class_ids(s, at)
                 for r in np.unique(np.searchsorted(at, np.flatnonzero(lv), "right") - 1):
                     a, b = at[r], at[r + 1]
@@ -152,7 +184,7 @@ class _Join:
         self.classes, _ = stored(self.rows.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("rep")), "ngram-classes")
 
     def incidence(self) -> None:
-        raw = self.docs.mapInArrow(_prefixes(self.k, self.percent, self.levels), "doc_id long, cls long, n int, last_level int, last_key long, keys array<long>")
+        raw = self.docs.mapInArrow(_prefixes(self.k, self.percent, self.levels), PREFIXES)
         own = small_or_not(self.classes.select("rep", F.col("cls").alias("own")), "ngram-reps")
         raw = raw.where("cls <> 0").join(own, (F.col("doc_id") == F.col("rep")) & (F.col("cls") == F.col("own")), "left_semi").drop("doc_id")
         prefix, _ = stored(raw, "ngram-prefix")
@@ -170,54 +202,92 @@ class _Join:
         fits = (100 * na >= self.percent * nb) & (100 * nb >= self.percent * na)
         return fits & (F.least(na - ia, nb - ib) >= need)
 
-    def hub_pairs(self) -> DataFrame:
-        e = self.entries
-        hub = e.groupBy("key").agg(F.min(F.struct(F.xxhash64("cls", "key").alias("r"), "cls", "n", "at")).alias("h"))
-        c = e.join(hub, "key").where(F.col("cls") != F.col("h.cls"))
+    def meet(self, entries: DataFrame, rank: DataFrame) -> DataFrame:
+        """(x, a, b): each class x and one member of each of its blocks.
+
+        The member with the fewest prefix shingles of its own is met, as copies
+        have most in common with the least edited one; hashes break ties.
+        """
+        hub = entries.join(rank, "cls").groupBy("key").agg(F.min(F.struct("alone", F.xxhash64("cls", "key").alias("r"), "cls", "n", "at")).alias("h"))
+        c = entries.join(hub, "key").where(F.col("cls") != F.col("h.cls"))
         c = c.where(self.room(F.col("n"), F.col("at"), F.col("h.n"), F.col("h.at")))
-        return c.select(F.least("cls", "h.cls").alias("a"), F.greatest("cls", "h.cls").alias("b")).distinct()
+        return c.select(F.col("cls").alias("x"), F.least("cls", "h.cls").alias("a"), F.greatest("cls", "h.cls").alias("b")).distinct()
+
+    @staticmethod
+    def best(near: DataFrame) -> DataFrame:
+        """The two pairs of each x that share most."""
+        w = Window.partitionBy("x").orderBy(F.desc("share"), "a", "b")  # at most a prefix of rows
+        return near.withColumn("k", F.row_number().over(w)).where("k <= 2").select("a", "b").distinct()
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, share): pairs whose overlap over the prefixes can still reach the threshold."""
+        """(x, a, b, share): pairs whose overlap over the prefixes can still reach the threshold."""
         side = lambda s: self.info.select(F.col("cls").alias(s), *[F.col(c).alias(c + s) for c in ("n", "p", "last", "keys")])
         c = pairs.join(side("a"), "a").join(side("b"), "b")
         over = F.size(F.array_intersect("keysa", "keysb"))
         rest = F.when(F.col("lasta") <= F.col("lastb"), F.col("na") - F.col("pa")).otherwise(F.col("nb") - F.col("pb"))
-        c = c.select("a", "b", over.alias("o"), (over + rest).alias("most"), "na", "nb")
-        return c.where((100 + self.percent) * F.col("most") >= self.percent * (F.col("na") + F.col("nb"))).select("a", "b", (F.col("o") / F.least("na", "nb")).alias("share"))
+        c = c.select("x", "a", "b", over.alias("o"), (over + rest).alias("most"), "na", "nb")
+        return c.where((100 + self.percent) * F.col("most") >= self.percent * (F.col("na") + F.col("nb"))).select("x", "a", "b", (F.col("o") / F.least("na", "nb")).alias("share"))
 
     def counted(self, pairs: DataFrame) -> DataFrame:
         """(a, b, linked) with the overlap of the whole sets counted."""
-        need = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(self.classes, "cls").select("rep", "cls")
-        need = small_or_not(need, "ngram-needed")
-        texts = self.docs.join(need.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select("text")
+        texts, need = self.texts_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
         sets, _ = stored(texts.mapInArrow(_set_rows(self.k), "cls long, shingles binary").join(need.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "ngram-sets")
         c = pairs.select("a", "b").join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
         done, _ = stored(c.mapInArrow(_count(self.percent), "a long, b long, linked boolean"), "ngram-counted")
         return done
 
-    def remaining(self, roots: DataFrame) -> DataFrame:
-        e = self.entries.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    def texts_of(self, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The texts of one document per class of classes(cls), and the classes."""
+        need = small_or_not(classes.join(self.classes, "cls").select("rep", "cls"), "ngram-needed")
+        return self.docs.join(need.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select("text"), need
+
+    def crowd_entries(self, crowd: DataFrame) -> DataFrame:
+        """Entries of classes(cls) again, the prefixes ordered by counts within the crowd."""
+        texts, need = self.texts_of(crowd)
+        level = np.round(4 * np.log2(_summed(texts.mapInArrow(_sketch(self.k, CROWD_BITS), "part int, counts binary"), CROWD_BITS) + 1)).astype(np.uint8)
+        level = self.spark.sparkContext.broadcast(level)  # 2**CROWD_BITS bytes
+        raw = texts.select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(_prefixes(self.k, self.percent, level, CROWD_BITS), PREFIXES)
+        raw = raw.join(need.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+        found, _ = stored(raw.select("cls", "n", F.posexplode("keys").alias("at", "key")), "ngram-crowd")
+        return found
+
+    def across(self, entries: DataFrame, roots: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """Pairs (a, b) of different components from the blocks of at most ``most`` classes; classes of larger blocks."""
+        e = entries.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         sizes = e.groupBy("key", "root").agg(F.count("*").alias("c"))
-        main = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("c", "root")).alias("m")).where("roots > 1").select("key", F.col("m.root").alias("main"))
-        e, _ = stored(e.join(main, "key"), "ngram-left")
+        main = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("members")).where("roots > 1")
+        e, _ = stored(e.join(main.select("key", F.col("m.root").alias("main"), "members"), "key"), "ngram-left")
+        crowd = e.where(F.col("members") > most).select("cls").distinct() if most else None
+        if most:
+            e = e.where(F.col("members") <= most)
         few = e.where("root <> main").select("key", F.col("cls").alias("ca"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("root").alias("ra"))
         every = e.select("key", F.col("cls").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("root").alias("rb"), "main")
         c = few.join(every, "key").where("ra <> rb").where((F.col("rb") == F.col("main")) | (F.col("ca") < F.col("cb")))
         c = c.where(self.room(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib")))
-        return c.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+        return c.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")), crowd
 
     def run(self) -> DataFrame:
         self.incidence()
-        near, _ = stored(self.bounded(self.hub_pairs()), "ngram-near")
-        ends = near.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "share")
-        best = ends.groupBy("node").agg(F.max(F.struct("share", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-        done = self.counted(best)
-        links = done.where("linked").select("a", "b")
-        roots = components(links, "ngram")
-        left, _ = stored(self.bounded(self.remaining(roots)).select("a", "b").join(done.select("a", "b"), ["a", "b"], "left_anti"), "ngram-rest")
-        links = links.unionByName(self.counted(left).where("linked").select("a", "b"))
-        roots = components(links, "ngram")
+        rank = self.info.select("cls", (F.col("p") - F.size("keys")).alias("alone"))
+        near, _ = stored(self.bounded(self.meet(self.entries, rank)), "ngram-near")
+        done = self.counted(self.best(near))
+        roots = components(done.where("linked"), "ngram")
+        pairs, crowd = self.across(self.entries, roots, CROWD)
+        crowd, _ = stored(crowd, "ngram-crowd-classes")
+        if not crowd.isEmpty():
+            e = self.crowd_entries(crowd)
+            shared = e.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.lit(True).alias("shared"))
+            e, _ = stored(e.join(shared, "key", "left"), "ngram-crowd")
+            rank = e.groupBy("cls").agg(F.count_if(F.col("shared").isNull()).alias("alone"))
+            e = e.where("shared").drop("shared")
+            near = self.bounded(self.meet(e, rank)).join(done.select("a", "b"), ["a", "b"], "left_anti")
+            done = done.unionByName(self.counted(self.best(near)))
+            roots = components(done.where("linked"), "ngram")
+            pairs = pairs.unionByName(self.across(e, roots)[0])
+        left = self.bounded(pairs.distinct().withColumn("x", F.col("a"))).select("a", "b").join(done.select("a", "b"), ["a", "b"], "left_anti")
+        left, _ = stored(left, "ngram-rest")
+        if not left.isEmpty():
+            roots = components(done.unionByName(self.counted(left)).where("linked"), "ngram")
         member = self.classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
         least = member.groupBy("root").agg(F.min("rep").alias("component_id"))
         member = member.join(least, "root").select("cls", "component_id")
@@ -242,3 +312,16 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 4, 85)
+
+
+#: The same in DuckDB's SQL: all pairs that share a shingle, then all that can be reached.
+ORACLE = r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws from documents),
+s as (select distinct doc_id, g from (select doc_id, unnest(case when len(ws) >= 4 then list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) g from w)),
+z as (select doc_id, count(*) n from s group by doc_id),
+p as (select a.doc_id x, b.doc_id y, count(*) o from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select x, y from p join z a on a.doc_id = x join z b on b.doc_id = y where 100 * o >= 85 * (a.n + b.n - o)),
+e as (select x, y from l union all select y, x from l),
+reach as (select doc_id, doc_id as root from documents union select e.y, reach.root from reach join e on e.x = reach.doc_id where reach.root < e.y)
+select d.doc_id, coalesce(z.n, 0)::bigint n_shingles, m.c component_id from documents d left join z using (doc_id) join (select doc_id, min(root) c from reach group by doc_id) m using (doc_id)
+"""

@@ -7,6 +7,8 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from terradelta.llm.common import ship
+
 #: query: (module of this subpackage, function)
 FOUND = {
     "op7_tool_chat": "tool_chat",
@@ -22,11 +24,19 @@ FOUND = {
 }
 
 
+def _shipping(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(import_module(f"terradelta.llm.{module}"), name) for name, module in FOUND.items()}
+    return {name: _shipping(getattr(import_module(f"terradelta.llm.{module}"), name)) for name, module in FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from terradelta.llm import tool_chat
+    from terradelta.llm import ngram_join, quality_rules, tool_chat
 
-    return {"op7_tool_chat": tool_chat.ORACLE}
+    return {"op4_quality_rules": quality_rules.ORACLE, "op7_tool_chat": tool_chat.ORACLE, "op10_ngram_join": ngram_join.ORACLE}

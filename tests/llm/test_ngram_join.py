@@ -1,6 +1,7 @@
 import random
 import re
 
+from terradelta.llm import ngram_join
 from terradelta.llm.ngram_join import keep_one, ngram_components
 
 SCHEMA = "doc_id long, text string, root string"
@@ -54,6 +55,21 @@ def test_matches_brute_force(spark):
         assert sorted(map(tuple, got.collect())) == brute(rows, k, percent)
 
 
+def test_crowds_of_edited_copies(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CROWD", 4)
+    rnd = random.Random(8)
+    rows = []
+    for group in range(3):
+        base = [f"g{group}w{i}" for i in range(90)]
+        for i in range(60):
+            copy = list(base)
+            for _ in range(rnd.randrange(8)):
+                copy[rnd.randrange(90)] = f"e{rnd.randrange(500)}"
+            rows.append((len(rows), " ".join(copy), "x"))
+    got = ngram_components(spark.createDataFrame(rows, SCHEMA).repartition(3), 4, 85)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 4, 85)
+
+
 def test_long_text_empty_table_and_keep_one(spark):
     long = " ".join(f"t{i}" for i in range(40_000))
     rows = [(5, long, "a"), (3, long + " end", "b"), (9, None, "c")]
