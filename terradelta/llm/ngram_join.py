@@ -189,10 +189,14 @@ class _Join:
         raw = raw.where("cls <> 0").join(own, (F.col("doc_id") == F.col("rep")) & (F.col("cls") == F.col("own")), "left_semi").drop("doc_id")
         prefix, _ = stored(raw, "ngram-prefix")
         entries = prefix.select("cls", "n", F.posexplode("keys").alias("at", "key"))
-        shared = entries.groupBy("key").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select(F.col("key").alias("shared"))
+        # two classes whose sizes or places leave no room don't make a block; most chance meetings end here
+        shared = entries.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.min("n").alias("n"), F.min(F.col("n") - F.col("at")).alias("rest"))
+        two = (100 * F.col("n") >= self.percent * (F.col("s") - F.col("n"))) & ((100 + self.percent) * F.col("rest") >= self.percent * F.col("s"))
+        shared = shared.where("c > 1").select(F.col("key").alias("shared"), ((F.col("c") > 2) | two).alias("block"))
         shared = small_or_not(shared, "ngram-shared")
-        self.entries, _ = stored(entries.join(shared, F.col("key") == F.col("shared"), "left_semi"), "ngram-entries")
-        keys = self.entries.groupBy("cls").agg(F.collect_list("key").alias("keys"))  # at most a text's prefix
+        every, _ = stored(entries.join(shared, F.col("key") == F.col("shared")).drop("shared"), "ngram-entries")
+        self.entries = every.where("block").drop("block")
+        keys = every.groupBy("cls").agg(F.collect_list("key").alias("keys"))  # at most a text's prefix
         info = prefix.select("cls", "n", F.size("keys").alias("p"), F.struct("last_level", "last_key").alias("last"))
         self.info, _ = stored(info.join(keys, "cls"), "ngram-info")
 
@@ -208,7 +212,7 @@ class _Join:
         The member with the fewest prefix shingles of its own is met, as copies
         have most in common with the least edited one; hashes break ties.
         """
-        hub = entries.join(rank, "cls").groupBy("key").agg(F.min(F.struct("alone", F.xxhash64("cls", "key").alias("r"), "cls", "n", "at")).alias("h"))
+        hub = entries.join(small_or_not(rank, "ngram-rank"), "cls").groupBy("key").agg(F.min(F.struct("alone", F.xxhash64("cls", "key").alias("r"), "cls", "n", "at")).alias("h"))
         c = entries.join(hub, "key").where(F.col("cls") != F.col("h.cls"))
         c = c.where(self.room(F.col("n"), F.col("at"), F.col("h.n"), F.col("h.at")))
         return c.select(F.col("cls").alias("x"), F.least("cls", "h.cls").alias("a"), F.greatest("cls", "h.cls").alias("b")).distinct()
