@@ -9,9 +9,9 @@ the tokens of some doc_ids, and skip all other pages.  Spark's committer writes
 the files: a lost executor repeats its own part only.
 
 Encoding.  The tokenizers library encodes each distinct run of text between
-safe cuts once per worker; a cut before a single space between two other
-characters never falls inside a pre-token, so the ids of the runs, one after
-the other, are the ids of the whole text.  The cache is bounded and has no
+safe cuts once per worker; a cut before a single space, or around a single line
+break, between two other characters never falls inside a pre-token, so the ids
+of the runs, one after the other, are the ids of the whole text.  The cache is bounded and has no
 influence on the result.
 
 Edge cases: a null or empty text has only the end id; repeated doc_ids keep
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ from terradelta.llm.common import scratch, stored
 END_ID = 0
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 128 << 10
-CACHED_RUNS = 400_000
+CACHED_RUNS = 600_000
 _BLANKS = re.compile(r"\s\s|^\s|\s$")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _tokenizers: dict[str, tuple[object, dict[str, bytes], dict[str, bytes]]] = {}
@@ -59,32 +60,44 @@ def _tokenizer(path: str):
 
 
 def _learn(tokenizer, cache: dict[str, bytes], runs: list[str], before: str) -> None:
-    for run, found in zip(runs, tokenizer.encode_batch([before + x for x in runs], add_special_tokens=False), strict=True):
-        cache[run] = np.asarray(found.ids, "<u4").tobytes()
+    """Adds runs to the cache; a word with a stop or comma is the word and the sign, each a pre-token of its own."""
+    signed = [x for x in runs if x[-1:] in (".", ",") and x[-2:-1].isalpha()]
+    plain = {x for x in runs if not (x[-1:] in (".", ",") and x[-2:-1].isalpha())} | {x[:-1] for x in signed}
+    plain = [x for x in plain if x not in cache]
+    for at in range(0, len(plain), 20_000):
+        part = plain[at : at + 20_000]
+        for run, found in zip(part, tokenizer.encode_batch([before + x for x in part], add_special_tokens=False), strict=True):
+            cache[run] = array("I", found.ids).tobytes()
+    signs = {x: array("I", tokenizer.encode(x, add_special_tokens=False).ids).tobytes() for x in ".,"}
+    for x in signed:
+        cache[x] = cache[x[:-1]] + signs[x[-1]]
 
 
 def encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
     """Ids of each text as little-endian unsigned 32-bit integers."""
     tokenizer, first, rest = _tokenizer(path)
+    line_end = array("I", tokenizer.encode("\n", add_special_tokens=False).ids).tobytes()
 
     def encode(texts: list[str | None]) -> list[bytes]:
-        split = [(x.split(" ") if not _BLANKS.search(x) else _CUT.split(x)) if x else [] for x in texts]
-        for cache, before, wanted in ((first, "", {s[0] for s in split if s}), (rest, " ", {x for s in split for x in s[1:]})):
-            if len(cache) + len(wanted) > CACHED_RUNS:
+        # lines of runs; a single line break between other characters is a pre-token of its own
+        split = [([y.split(" ") for y in x.split("\n")] if not _BLANKS.search(x) else [_CUT.split(x)]) if x else [] for x in texts]
+        heads = [[s.pop(0) for s in t] for t in split]
+        wanted: set[str] = set()
+        for t in split:
+            wanted.update(*t)
+        for cache, before, words in ((first, "", set().union(*heads)), (rest, " ", wanted)):
+            new = [x for x in words if x not in cache]
+            if len(cache) + len(new) > CACHED_RUNS:
+                again = {x: cache[x] for x in words if x in cache}  # what comes back is worth keeping
                 cache.clear()
-            new = [x for x in wanted if x not in cache]
-            for at in range(0, len(new), 20_000):
-                _learn(tokenizer, cache, new[at : at + 20_000], before)
-        out = [first[s[0]] + b"".join(map(rest.__getitem__, s[1:])) if s else b"" for s in split]
-        for cache in (first, rest):
-            if len(cache) > CACHED_RUNS:
-                cache.clear()
-        return out
+                cache.update(again)
+            _learn(tokenizer, cache, new, before)
+        return [line_end.join([first[h] + b"".join(map(rest.__getitem__, s)) for h, s in zip(hs, t, strict=True)]) for hs, t in zip(heads, split, strict=True)]
 
     return encode
 
 
-def groups(texts: list[str | None], size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def groups(texts: list[str | None], size: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Runs of texts of about size characters."""
     a = total = 0
     for i, x in enumerate(texts):

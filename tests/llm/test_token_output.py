@@ -6,7 +6,7 @@ from tokenizers import Tokenizer
 
 from terradelta.llm import token_output as t
 
-TEXTS = ["it's  we'll\n\n x  y <|endoftext|> z<|endoftext|>", " ", "\n", None, "", " lead", "trail ", "a b  c", "日本語 の テキスト", "one two  three\tfour " * 500, "x" * 3000, "😀 emoji"]
+TEXTS = ["it's  we'll\n\n x  y <|endoftext|> z<|endoftext|>", " ", "\n", None, "", " lead", "trail ", "a b  c", "日本語 の テキスト", "one two  three\tfour " * 500, "x" * 3000, "😀 emoji", "One, two.\nThree... (four), 5, é. ª.\n's, x_.\n—. a\n\tb c\u2028d, e\x1c f.", "\nlead", "a.\nb.\nc."]
 
 
 def test_runs_equal_whole_texts():
