@@ -314,7 +314,7 @@ def search_ids_places(spark, d):
     return _search(spark, d, " Customer#00000001 ")
 
 
-@query("select 2::bigint source, n_nationkey::bigint ord, n_name as name from nation where contains(lower(n_name || ' ' || r_name), 'nation') order by n_nationkey limit 5".replace("from nation", "from nation join region on n_regionkey = r_regionkey"))
+@query("select 2::bigint source, n_nationkey::bigint ord, n_name as name from nation join region on n_regionkey = r_regionkey where contains(lower(n_name || ' ' || r_name), 'nation') order by n_nationkey limit 5")
 def search_places(spark, d):
     return _search(spark, d, "NATION")
 
