@@ -25,12 +25,19 @@ GAP = "[\\x20\\x09-\\x0D]+"
 BROADCAST_BYTES = 24 << 20
 
 
+#: Rows of an Arrow batch, at most.
+BATCH_ROWS = 1000
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application, wherever the driver found it."""
+    """Send this package to the Python workers, once per application, wherever the driver found it.
+
+    Also makes Arrow batches smaller than by default: texts are long.
+    """
     context = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     package = Path(__file__).resolve().parents[1]
     if context.applicationId in _shipped or not package.is_dir():
         return

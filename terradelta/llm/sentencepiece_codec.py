@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ from terradelta.llm.token_output import groups
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 _RUN = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -60,7 +61,7 @@ class Pieces:
         self.least = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
         self.pairs: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
-        self.seen: dict[str, tuple[int, ...]] = {}
+        self.seen: dict[str, bytes] = {}
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -149,39 +150,42 @@ class Pieces:
             end -= lengths[end]
         return out[::-1]
 
-    def ids_of(self, run: str) -> tuple[int, ...]:
-        out: list[int] = []
+    def ids_of(self, run: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        out = array("I")
         for piece in self.segments(run):
             i = self.ids.get(piece)
             if i is not None:
                 out.append(i)
             elif self.bytes_at:
-                out += [self.bytes_at[b] for b in piece.encode()]
+                out.extend(self.bytes_at[b] for b in piece.encode())
             else:
                 out.append(self.unknown)
-        return tuple(out)
+        return out.tobytes()
 
-    def encode(self, text: str | None) -> list[int]:
+    def encoded(self, text: str | None) -> bytes:
         if not text:
-            return []
+            return b""
         if not self.apart:
-            return list(self.ids_of(MARK + text.replace(" ", MARK)))
+            return self.ids_of(MARK + text.replace(" ", MARK))
         if MARK in text or "  " in text or text[-1] == " " or text[0] == " ":
             runs = _RUN.findall(MARK + text.replace(" ", MARK))
         else:
             runs = [MARK + x for x in text.split(" ")]
-        out: list[int] = []
-        seen = self.seen
+        out, seen = [], self.seen
         for run in runs:
             ids = seen.get(run)
             if ids is None:
                 ids = self.ids_of(run)
                 if len(run) <= 64:
-                    if len(seen) > REMEMBERED:
+                    if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen[run] = ids
-            out += ids
-        return out
+            out.append(ids)
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encoded(text), "<u4").tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         raw = b"".join(map(self.texts.__getitem__, ids))
@@ -202,20 +206,19 @@ def _run(path: str, with_ids: bool):
         m = pieces(path)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in groups(texts):
-                found = [m.encode(x) for x in texts[a:b]]
-                back = [m.decode(x) for x in found]
-                flat = [np.asarray(x, "<u4") for x in found]
+            for a, b in groups(texts, 1 << 20):
+                found = [m.encoded(x) for x in texts[a:b]]
+                back = [m.decode(np.frombuffer(x, "<u4").tolist()) for x in found]
                 columns = {
                     "doc_id": batch.column("doc_id").slice(a, b - a),
-                    "n_ids": pa.array([len(x) for x in found], pa.int64()),
-                    "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for x in flat], pa.int64()),
+                    "n_ids": pa.array([len(x) // 4 for x in found], pa.int64()),
+                    "ids_crc32": pa.array([zlib.crc32(x) for x in found], pa.int64()),
                     "decoded_crc32": pa.array([zlib.crc32(x.encode()) for x in back], pa.int64()),
                     "round_trip": pa.array([x == (y or "") for x, y in zip(back, texts[a:b], strict=True)], pa.bool_()),
                 }
                 if with_ids:
-                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                    columns["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat).astype(np.int32)))
+                    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4")))
                 yield pa.RecordBatch.from_pydict(columns)
 
     return run
