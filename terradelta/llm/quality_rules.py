@@ -4,13 +4,11 @@ Line frequency.  Every line of a document is normalised (lower case, digits as
 one ``0``, everything else than letters and digits as one space) and hashed.
 For each host (the ``source`` column) the operator counts the distinct
 documents of each line.  A line goes when more than ``max_docs`` documents of
-its host hold it, in more than ``max_docs`` different surroundings (the hashes
-of the lines before and after it): whole copies repeat a line in the same
-surroundings, and copies are for the deduplication operators to judge.  A
-document whose remaining words are under ``min_left`` of its words is depleted
-and rejected.
+its host with different texts hold it: whole copies count once, as copies are
+for the deduplication operators to judge.  A document whose remaining words are
+under ``min_left`` of its words is depleted and rejected.
 
-Plan: the counts aggregate on (host, line, surroundings) and then on
+Plan: the counts aggregate on (host, line, hash of the text) and then on
 (host, line), both with partial sums before the shuffle, so a line that a
 third of the documents hold is one row per task.  The lines above the limit
 are stored; they are broadcast if their stored size is under the bound of
@@ -95,13 +93,10 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def common_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """(host, h, n_docs) of the lines above the limit."""
-    around = F.transform("lines", lambda x, i: F.struct(x["h"].alias("h"), i.alias("i"), F.xxhash64(F.get("lines", i - 1)["h"], F.get("lines", i + 1)["h"]).alias("c")))
-    d = _lines(docs).select("host", F.sort_array(around).alias("s"))
-    first = F.filter("s", lambda x, i: ~F.coalesce(F.get("s", i - 1)["h"] == x["h"], F.lit(False)))
-    d = d.select("host", F.inline(first))
-    d = d.groupBy("host", "h", "c").agg(F.count("*").alias("n"))
-    d = d.groupBy("host", "h").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_around"))
-    return d.where((F.col("n_docs") > max_docs) & (F.col("n_around") > max_docs)).select("host", "h", "n_docs")
+    d = _lines(docs).select("host", "copy", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    d = d.groupBy("host", "h", "copy").agg(F.count("*").alias("n"))
+    d = d.groupBy("host", "h").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_texts"))
+    return d.where(F.col("n_texts") > max_docs).select("host", "h", "n_docs")
 
 
 def depleted(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:

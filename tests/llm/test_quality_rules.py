@@ -82,3 +82,10 @@ def test_long_empty_and_clashing_columns(spark):
     docs = docs.drop("n_words").withColumnRenamed("h", "kept_of")
     assert q.judge(docs).first().n_repeat_words == 30_000
     assert q.judge(docs.limit(0)).count() == 0 and q.keep(docs.limit(0)).columns == docs.columns
+
+
+def test_inner_lines_of_a_block_go(spark):
+    block = "\n".join(f"clause {c} " + " ".join(f"{c}{j}" for j in "pqrstuvwxy") for c in "abcdefgh")
+    docs = spark.createDataFrame([(i, "a", f"{block}\nown " + " ".join(f"w{chr(97 + i)}{chr(97 + j)}" for j in range(20))) for i in range(12)], "doc_id long, source string, text string")
+    assert q.common_lines(docs, 5).count() == 8
+    assert not any(r.kept for r in q.judge(docs, max_docs=5).collect()) and q.keep(docs, max_docs=5).count() == 0
