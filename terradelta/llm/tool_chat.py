@@ -131,11 +131,14 @@ REPLY = [("reply", "text", "string", True), ("reply", "turn", "integer", True)]
 
 
 def op7_tool_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user turn as a call that is named by its place, every assistant turn as the result of the turn before it."""
+    """Tool calls and results of the table; every user turn as a call named by its place, every other assistant turn as the result of the turn before it."""
     m = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     name = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
     users = m.where("role = 'user'").select("conv_id", "turn", name(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct("text", "turn"), {"ignoreNullFields": "false"}).alias("arguments"), F.array().cast("array<string>").alias("after"))
-    answers = m.where("role = 'assistant'").select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    # an assistant's tool calls and a tool's results are read as such; only the other turns are stand-ins
+    plain = F.coalesce(F.size(F.from_json("text", CALLS)["tool_calls"]), F.lit(0)) <= 0
+    answers = m.where("role = 'assistant'").where(plain | ~F.col("text").rlike("^ *\\{")).select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    users, answers = users.unionByName(calls_of(m)), answers.unionByName(results_of(m))
     schemas = spark.createDataFrame(REPLY, SCHEMA)
     d = link(users, answers, schemas)
     return d.select("conv_id", "call_id", "turn", "level", "status", "result_turn", F.size("errors").cast("long").alias("n_errors"), "json")
