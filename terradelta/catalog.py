@@ -359,11 +359,25 @@ def bbox_summary(spark, d):
 @query(REGIONS + ", g as (select ord, (floor((lon - 145.2) / 0.1) * 10 + floor((lat + 38.7) / 0.1))::bigint area_id, lon, lat from rg) select ord point_id, area_id from g where not (lon = 145.2 or lat = -38.7) and (round(lon * 1000) % 100 not in (0, 1, 99)) and (round(-lat * 1000) % 100 not in (0, 1, 99))")
 def point_in_area(spark, d):
     """Squares of a tenth of a degree and the points well inside them."""
+    edge = lambda c: (F.round(c * 1000) % 100).isin(0, 1, 99)
+    return _hit_squares(spark, d, ~edge(F.col("lon")) & ~edge(-F.col("lat")))
+
+
+SQUARES = """, q as (select i * 10 + j area_id, 145.2::double + i * 0.1::double w, 145.2::double + (i + 1) * 0.1::double e, -38.7::double + j * 0.1::double s, -38.7::double + (j + 1) * 0.1::double n from range(6) a(i), range(10) b(j))
+"""
+
+
+@query(REGIONS + SQUARES + "select ord point_id, min(area_id)::bigint area_id from rg join q on lon >= w and lon < e and lat >= s and lat < n group by ord")
+def point_in_area_edges(spark, d):
+    """The same squares and every point; a square holds its west and south edges only."""
+    return _hit_squares(spark, d, F.lit(True))
+
+
+def _hit_squares(spark, d, wanted):
     square = lambda x, y: F.array(*[F.struct((145.2 + (F.col("i") + a) * 0.1).alias("x"), (-38.7 + (F.col("j") + b) * 0.1).alias("y")) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1))])
     areas = spark.range(60).select(F.floor(F.col("id") / 10).alias("i"), (F.col("id") % 10).alias("j")).withColumn("area_id", F.col("i") * 10 + F.col("j")).withColumn("ring", square(0, 0)).select("area_id", "ring")
     points = s.regions(spark, d).select(F.col("ord").alias("point_id"), "lon", "lat")
-    edge = lambda c: (F.round(c * 1000) % 100).isin(0, 1, 99)
-    return regions.hit(points.where(~edge(F.col("lon")) & ~edge(-F.col("lat"))), areas, 0.1)
+    return regions.hit(points.where(wanted), areas, 0.1)
 
 
 @query(None)
