@@ -31,8 +31,8 @@ only after its stored size has been checked.
 Edge cases: a null or empty text has no lines and comes back as it was; rows
 of one doc_id share their verdicts; a document left without a word is dropped
 by ``dedup`` (all it said stands earlier); an empty table gives an empty
-result; other columns pass through, whatever their names; no length of line is
-exempt.
+result; other columns pass through, whatever their names; lines under MIN_WORDS
+words are exempt, those under NEAR_WORDS words from the near step.
 """
 
 from __future__ import annotations
