@@ -175,7 +175,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     sized, _ = stored(sized, "mix-sizes")
     chosen = mix_sizes(sized, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
     chosen = small_or_not(chosen, "mix-chosen")
-    d = docs.join(chosen, F.col("doc_id") == F.col("_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
+    d = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
     return d.select(*docs.columns)
 
 

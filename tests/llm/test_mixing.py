@@ -69,3 +69,9 @@ def test_overlapping_sources_and_empty(spark):
     assert mixing.mix_sizes(docs.limit(0)).count() == 0
     docs = docs.select("doc_id", F.lit("t u").alias("text"), F.lit(None).cast("string").alias("source"), F.lit(1).alias("size"))
     assert mixing.mix_documents(docs).count() == 450 and mixing.mix_documents(docs).columns == docs.columns
+
+
+def test_documents_without_id_stay(spark):
+    docs = spark.createDataFrame([(None, "a", "one two three"), (1, "b", "four five six")], "doc_id long, source string, text string")
+    got = mixing.mix_documents(docs, weights=[1.0], share=1.0).collect()
+    assert {r.doc_id for r in got} == {None, 1}
