@@ -9,10 +9,15 @@ the tokens of some doc_ids, and skip all other pages.  Spark's committer writes
 the files: a lost executor repeats its own part only.
 
 Encoding.  The tokenizers library encodes each distinct run of text between
-safe cuts once per worker; a cut before a single space, or around a single line
-break, between two other characters never falls inside a pre-token, so the ids
-of the runs, one after the other, are the ids of the whole text.  The cache is bounded and has no
-influence on the result.
+safe cuts once (``runs.RunIds``); a cut before a single space, or around a single
+line break, between two other characters never falls inside a pre-token, so the
+ids of the runs, one after the other, are the ids of the whole text.  This holds
+for byte-level pre-tokenizers without a normaliser; with any other tokenizer a
+text is one run.
+
+Each row also stores its file's number and the tokens before it in that file, so
+``start`` is its place in the files, whatever doc_ids repeat.  ``read_metadata``
+reads no tokens, ``read_tokens`` only the pages of the doc_ids that are asked for.
 
 Edge cases: a null or empty text has only the end id; repeated doc_ids keep
 all rows, ordered by their text in the files; an empty table gives an empty
@@ -21,25 +26,29 @@ result; other columns are not written and may have any name.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
-from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terradelta.llm.common import scratch, stored
+from terradelta.llm.common import scratch, ship
+from terradelta.llm.runs import RunIds, groups, ragged
 
 END_ID = 0
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 128 << 10
-CACHED_RUNS = 600_000
-_BLANKS = re.compile(r"\s\s|^\s|\s$")
+#: White space of Python's and of the pre-tokenizer's rules other than space and line break.
+_OTHER_BLANKS = [chr(c) for c in (9, 11, 12, 13, 28, 29, 30, 31, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)]
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_tokenizers: dict[str, tuple[object, dict[str, bytes], dict[str, bytes]]] = {}
+#: Words in one call's string; longer strings take longer for each word.
+_JOINED = 200
+_encoders: dict[str, Encoder] = {}
 
 
 def default_tokenizer() -> str:
@@ -48,88 +57,126 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
+def _cuttable(path: str) -> bool:
+    """Whether the tokenizer's own rules allow the cuts."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    before = rules.get("pre_tokenizer") or {}
+    return not rules.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+
+
+class Encoder:
+    """Ids of texts.  A run after a space is named by what follows the space, all others have a line break before."""
+
+    def __init__(self, path: str):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {}, {})
-    return _tokenizers[path]
-
-
-def _learn(tokenizer, cache: dict[str, bytes], runs: list[str], before: str) -> None:
-    """Adds runs to the cache; a word with a stop or comma is the word and the sign, each a pre-token of its own."""
-    signed = [x for x in runs if x[-1:] in (".", ",") and x[-2:-1].isalpha()]
-    plain = {x for x in runs if not (x[-1:] in (".", ",") and x[-2:-1].isalpha())} | {x[:-1] for x in signed}
-    plain = [x for x in plain if x not in cache]
-    for at in range(0, len(plain), 20_000):
-        part = plain[at : at + 20_000]
-        for run, found in zip(part, tokenizer.encode_batch([before + x for x in part], add_special_tokens=False), strict=True):
-            cache[run] = array("I", found.ids).tobytes()
-    signs = {x: array("I", tokenizer.encode(x, add_special_tokens=False).ids).tobytes() for x in ".,"}
-    for x in signed:
-        cache[x] = cache[x[:-1]] + signs[x[-1]]
-
-
-def encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
-    """Ids of each text as little-endian unsigned 32-bit integers."""
-    tokenizer, first, rest = _tokenizer(path)
-    line_end = array("I", tokenizer.encode("\n", add_special_tokens=False).ids).tobytes()
-
-    def encode(texts: list[str | None]) -> list[bytes]:
-        # lines of runs; a single line break between other characters is a pre-token of its own
-        split = [([y.split(" ") for y in x.split("\n")] if not _BLANKS.search(x) else [_CUT.split(x)]) if x else [] for x in texts]
-        heads = [[s.pop(0) for s in t] for t in split]
-        wanted: set[str] = set()
-        for t in split:
-            wanted.update(*t)
-        for cache, before, words in ((first, "", set().union(*heads)), (rest, " ", wanted)):
-            new = [x for x in words if x not in cache]
-            if len(cache) + len(new) > CACHED_RUNS:
-                again = {x: cache[x] for x in words if x in cache}  # what comes back is worth keeping
-                cache.clear()
-                cache.update(again)
-            _learn(tokenizer, cache, new, before)
-        return [line_end.join([first[h] + b"".join(map(rest.__getitem__, s)) for h, s in zip(hs, t, strict=True)]) for hs, t in zip(heads, split, strict=True)]
-
-    return encode
-
-
-def groups(texts: list[str | None], size: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about size characters."""
-    a = total = 0
-    for i, x in enumerate(texts):
-        total += len(x or "")
-        if total >= size:
-            yield a, i + 1
-            a, total = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
+        self.tokenizer, self.cuttable = Tokenizer.from_file(path), _cuttable(path)
+        ends = self._ids(["\n"])[0]
+        self.line_end = ends[0] if self.cuttable and len(ends) == 1 else None
+        self.signs = {x: self._ids([x])[0] for x in ".,"}
+        self.runs = RunIds(self._learn)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word with a space before it has, and all of them; many in one call, with line breaks between."""
+        if self.line_end is not None and words:
+            lines = [f"\n {x}" for x in words]
+            found = self._ids(["".join(lines[at : at + _JOINED]) for at in range(0, len(lines), _JOINED)])
+            ids = np.fromiter(chain.from_iterable(found), np.int32)
+            cuts = np.flatnonzero(ids == self.line_end)
+            if len(cuts) == len(words):
+                return np.diff(np.append(cuts, len(ids))) - 1, ids[ids != self.line_end]
+        found = self._ids([" " + x for x in words])
+        return np.array([len(x) for x in found], np.int64), np.fromiter(chain.from_iterable(found), np.int32)
+
+    def _learn(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # a word with a stop or comma is the word and the sign, each a pre-token of its own
+        at: dict[str, int] = {}
+        stem, sign = [], []
+        for i, x in enumerate(runs):
+            end = x[-1:]
+            if self.cuttable and end in (".", ",") and x[-2:-1].isalpha() and "\n" not in x:
+                x = x[:-1]
+                sign.append((i, self.signs[end]))
+            stem.append(at.setdefault(x, len(at)))
+        words = [x for x in at if "\n" not in x]
+        others = [x for x in at if "\n" in x]
+        counts, ids = self._words(words)
+        more = self._ids([x[1:] if x[0] == "\n" else " " + x for x in others])
+        counts = np.concatenate([counts, np.array([len(x) for x in more], np.int64)])
+        ids = np.concatenate([ids, np.array([y for x in more for y in x], np.int32)])
+        place = np.empty(len(at), np.int64)
+        place[[at[x] for x in words] + [at[x] for x in others]] = np.arange(len(at))
+        which = place[np.array(stem, np.int64)]
+        lengths = counts[which]
+        signed = np.array([i for i, _ in sign], np.int64)
+        if len(signed) and any(len(x) != 1 for x in self.signs.values()):
+            raise ValueError("a stop or comma is more than one token")
+        total = lengths.copy()
+        total[signed] += 1
+        upto = np.cumsum(total)
+        out = np.empty(upto[-1], np.int32)
+        out[ragged(upto - total, lengths)] = ids[ragged(np.cumsum(counts)[which] - lengths, lengths)]
+        out[upto[signed] - 1] = [x[0] for _, x in sign]
+        return total, out
+
+    def _cut(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if not self.cuttable:
+            return ["\n" + text]
+        if text[0].isspace() or text[-1].isspace() or any(x in text for x in ("  ", " \n", "\n ", "\n\n")) or any(x in text for x in _OTHER_BLANKS):
+            first, *rest = _CUT.split(text)
+            return ["\n" + first, *rest]
+        out: list[str] = []
+        for i, line in enumerate(text.split("\n")):
+            words = line.split(" ")
+            words[0] = ("\n\n" if i else "\n") + words[0]
+            out += words
+        return out
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has."""
+        return self.runs.take([self._cut(x) for x in texts])
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
-        end = np.array([END_ID], "<u4").tobytes()
+        e, before = encoder(path), 0
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in groups(texts):
-                ids = [x + end for x in encode(texts[a:b])]
-                n = np.array([len(x) // 4 for x in ids], np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), values)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n), lists], names=["doc_id", "n_tokens", "ids"])
+                ids, n = e.encode(texts[a:b])
+                at = np.concatenate([[0], np.cumsum(n + 1)])
+                values = np.full(at[-1], END_ID, np.int32)
+                inner = np.ones(at[-1], bool)
+                inner[at[1:] - 1] = False
+                values[inner] = ids
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array((n + 1).astype(np.int32)), pa.array(before + at[:-1]), lists], names=["doc_id", "n_tokens", "before", "ids"])
+                before += int(at[-1])
 
     return run
 
 
 def write_tokens(docs: DataFrame, where: str, tokenizer: str | None = None, row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES) -> None:
     """Write the ids of docs(doc_id, text) below where, ascending by doc_id and part."""
-    d = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    d = d.mapInArrow(_encode(tokenizer or default_tokenizer()), "doc_id long, n_tokens int, ids array<int>")
-    d = d.select("doc_id", F.spark_partition_id().alias("part"), "n_tokens", "ids")
+    ship(docs.sparkSession)
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    d = d.mapInArrow(_encode(tokenizer or default_tokenizer()), "doc_id long, n_tokens int, before long, ids array<int>")
+    d = d.select("doc_id", F.spark_partition_id().alias("part"), "n_tokens", "before", "ids")
     options = {
         "parquet.writer.version": "PARQUET_2_0",
         "parquet.enable.dictionary": "true",
@@ -148,20 +195,28 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = lists.offsets.to_numpy()
         raw = memoryview(values).cast("B")
         crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], names=["part", "doc_id", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), batch.column("before"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], names=["part", "doc_id", "before", "n_tokens", "ids_crc32"])
+
+
+def read_metadata(spark: SparkSession, where: str) -> DataFrame:
+    """(doc_id, part, n_tokens, before) of each row; the token column is not read."""
+    return spark.read.parquet(where).select("doc_id", "part", "n_tokens", "before")
+
+
+def read_tokens(spark: SparkSession, where: str, doc_ids: list[int]) -> DataFrame:
+    """(doc_id, ids) of some documents: row groups by statistics and pages by the page index."""
+    return spark.read.parquet(where).where(F.col("doc_id").isin(doc_ids)).select("doc_id", "ids")
 
 
 def read_digest(spark: SparkSession, where: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each row, from the files."""
-    rows, _ = stored(spark.read.parquet(where).select("part", "doc_id", "ids").mapInArrow(_digest, "part int, doc_id long, n_tokens long, ids_crc32 long"), "token-digest")
     total, starts = 0, []
-    for row in rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():  # one row per file
+    for row in read_metadata(spark, where).groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():  # one row per file
         starts.append((row["part"], total))
         total += row["n"]
     starts = F.broadcast(spark.createDataFrame(starts, "part int, base long"))
-    before = Window.partitionBy("part").orderBy("doc_id", "ids_crc32", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    return rows.join(starts, "part").select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    rows = spark.read.parquet(where).select("part", "doc_id", "before", "ids").mapInArrow(_digest, "part int, doc_id long, before long, n_tokens long, ids_crc32 long")
+    return rows.join(starts, "part").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import pytest
 import sentencepiece
 
 from terradelta.llm import sentencepiece_codec as s
@@ -20,6 +21,37 @@ def test_ids_equal_the_library():
     assert m.encode(None) == []
 
 
+def test_lattices_of_words_equal_merging():
+    rnd = random.Random(5)
+    for _ in range(25):
+        scores, made = {c: -100.0 for c in "abcd"}, list("abcd")
+        while len(scores) < 22:
+            x = rnd.choice(made) + rnd.choice(made)
+            if len(x) < 9 and x not in scores:
+                scores[x] = -float(len(scores))
+                made.append(x)
+        m = s.Pieces({k: (i, v) for i, (k, v) in enumerate(scores.items())}, None, 99, True)
+        words = ["".join(rnd.choice("abcde") for _ in range(rnd.randrange(1, 14))) for _ in range(80)]
+        counts, symbols, where, codes = m.lattice.segment(words)
+        ends = iter(where.tolist())
+        at = 0
+        for word, n in zip(words, counts.tolist(), strict=True):
+            cuts = [next(ends) + 1 - at for _ in range(n)]
+            got = [word[a:b] for a, b in itertools.pairwise([0, *cuts])]
+            assert got == m.merges.merged(word)[0] == list(m.segments(word))
+            at += len(word)
+
+
+def test_other_rules_are_refused(monkeypatch):
+    class Other(sentencepiece.SentencePieceProcessor):
+        def encode(self, text, **options):
+            return super().encode(text.strip(), **options)
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Other)
+    with pytest.raises(ValueError):
+        s.Pieces.load(s.default_model())
+
+
 def test_unigram_lattice_is_the_best_path():
     rnd = random.Random(3)
     for _ in range(60):
@@ -39,7 +71,7 @@ def test_unigram_lattice_is_the_best_path():
 def test_window_stays_bounded():
     m = s.Pieces.load(s.default_model())
     given = m.segments(c for c in "ab" * 50_000)
-    assert sum(map(len, given)) == 100_000
+    assert sum(map(len, given)) == 100_000 and m.commits > 4000
 
 
 def test_rows(spark):

@@ -12,8 +12,48 @@ TEXTS = ["it's  we'll\n\n x  y <|endoftext|> z<|endoftext|>", " ", "\n", None, "
 def test_runs_equal_whole_texts():
     path = t.default_tokenizer()
     whole = Tokenizer.from_file(path)
-    for text, ids in zip(TEXTS, t.encoder(path)(TEXTS)):
-        assert list(np.frombuffer(ids, "<u4")) == whole.encode(text or "", add_special_tokens=False).ids
+    e = t.Encoder(path)
+    for bound in (e.runs.bound, 4000):  # the second forgets all the time
+        e.runs.bound = bound
+        for texts in (TEXTS, TEXTS[::-1], TEXTS):
+            ids, n = e.encode(texts)
+            for text, part in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+                assert part.tolist() == whole.encode(text or "", add_special_tokens=False).ids
+
+
+def test_other_tokenizers_take_whole_texts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    e, whole = t.Encoder(path), Tokenizer.from_file(path)
+    assert not e.cuttable
+    ids, n = e.encode(TEXTS)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [whole.encode(x or "", add_special_tokens=False).ids for x in TEXTS]
+
+
+def test_start_is_the_place_in_the_file(spark, tmp_path):
+    docs = spark.createDataFrame([(5, x) for x in ("a b c d e", "b", "c d e", "d", None)], "doc_id long, text string")
+    t.write_tokens(docs, f"{tmp_path}/s")
+    rows = spark.read.parquet(f"{tmp_path}/s").select("part", "before", "ids").orderBy("part", "before").collect()
+    got = t.read_digest(spark, f"{tmp_path}/s").orderBy("start").collect()
+    start = 0
+    for row, digest in zip(rows, got, strict=True):
+        assert (digest.start, digest.n_tokens, digest.ids_crc32) == (start, len(row.ids), zlib.crc32(np.array(row.ids, "<u4").tobytes()))
+        start += len(row.ids)
+
+
+def test_selective_reads(spark, tmp_path):
+    docs = spark.range(4000).selectExpr("id doc_id", "concat('word ', id, repeat(concat(' text ', id * 7), 30)) text").coalesce(1)
+    t.write_tokens(docs, f"{tmp_path}/r", row_group_bytes=1 << 20, page_bytes=4096)
+    meta = t.read_metadata(spark, f"{tmp_path}/r")
+    assert "ids" not in meta._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    some = t.read_tokens(spark, f"{tmp_path}/r", [17, 3001])
+    assert sorted(r.doc_id for r in some.collect()) == [17, 3001]
+    scan = spark.read.parquet(f"{tmp_path}/r").where("doc_id in (17, 3001)").select("doc_id", "ids")
+    plan = scan._jdf.queryExecution().executedPlan()
+    scan._jdf.queryExecution().toRdd().count()
+    leaf = plan.collectLeaves().apply(0)
+    assert leaf.metrics().apply("numOutputRows").value() < 2000  # the page index skips the other pages
 
 
 def test_files_and_digest(spark, tmp_path):
