@@ -100,8 +100,8 @@ class Encoder:
         at: dict[str, int] = {}
         stem, sign = [], []
         for i, x in enumerate(runs):
-            end = x[-1:]
-            if self.cuttable and end in (".", ",") and x[-2:-1].isalpha() and "\n" not in x:
+            end = x[-1]
+            if (end == "." or end == ",") and x[-2:-1].isalpha() and self.cuttable and "\n" not in x:
                 x = x[:-1]
                 sign.append((i, self.signs[end]))
             stem.append(at.setdefault(x, len(at)))
@@ -183,7 +183,7 @@ def write_tokens(docs: DataFrame, where: str, tokenizer: str | None = None, row_
         "parquet.dictionary.page.size": str(1 << 20),
         "parquet.block.size": str(row_group_bytes),
         "parquet.page.size": str(page_bytes),
-        "compression": "zstd",
+        "compression": "lz4_raw",
     }
     d.write.options(**options).parquet(where)
 
