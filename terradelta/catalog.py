@@ -50,11 +50,11 @@ REGIONS = (
     + " from customer)"
 )
 YEARS = """
-with oc as (select o_custkey feature_id, year(o_orderdate) as year, o_orderpriority as class, o_totalprice price from orders where year(o_orderdate) between 1995 and 2001),
+with oc as (select o_custkey feature_id, year(o_orderdate) as year, o_orderpriority as class, round(o_totalprice * 100)::bigint cents from orders),
 cc as (select feature_id, year, class, count(*) n from oc group by all),
 rk as (select *, sum(n) over (partition by feature_id, year) total, row_number() over (partition by feature_id, year order by n desc, class) k from cc),
 dom as (select feature_id, year, max(class) filter (k = 1) as class, max(n / total) filter (k = 1) class_share, max(class) filter (k = 2) secondary, max(n / total) filter (k = 2) secondary_share from rk group by all),
-nd as (select feature_id, year, avg(price) / 500000 ndvi_mean from oc group by all),
+nd as (select feature_id, year, ((2 * sum(cents) + 50 * count(*)) // (100 * count(*)))::double / 1e6 ndvi_mean from oc group by all),
 ry as (select feature_id, year, class, class_share, ndvi_mean from dom join nd using (feature_id, year)),
 tr as (select *, lag(year) over w as previous_year, lag(class) over w as pc, ndvi_mean - lag(ndvi_mean) over w as ndvi_step from ry window w as (partition by feature_id order by year)),
 ev as (select *, previous_year is not null and pc is distinct from class as land_changed, coalesce(abs(ndvi_step) >= 0.0527, false) as ndvi_event from tr),
@@ -67,9 +67,8 @@ def _changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _region_years(spark: SparkSession, d: str) -> DataFrame:
-    cells = s.class_cells(spark, d)
-    ndvi = cells.groupBy("feature_id", "year").agg((F.avg("price") / 500000).alias("ndvi_mean"))
-    return history.dominant(cells, ["feature_id", "year"]).select("feature_id", "year", "class", "class_share").join(ndvi, ["feature_id", "year"])
+    r = history.dominant(s.class_cells(spark, d), ["feature_id", "year"], sums=("cents",))
+    return r.select("feature_id", "year", "class", "class_share", "secondary", "secondary_share", s.greenness(F.col("cents"), F.col("rows")).alias("ndvi_mean"))
 
 
 @query(CELLS + "select region_id::bigint region_id, cell_id, interval, end_year::bigint end_year, round(change, 6) change from ch")
@@ -208,14 +207,13 @@ LONG = ", lo as (" + " union all ".join(f"select feature_id, ord, '{iv}' as inte
 @query(
     REGIONS
     + LONG
-    + """, ndv as (select o_custkey, (2017 + year(o_orderdate) - 1994)::int as year, avg(o_totalprice) / 500000 ndvi_mean from orders group by all)
+    + """, ndv as (select o_custkey, (2017 + year(o_orderdate) - 1994)::int as year, ((2 * sum(round(o_totalprice * 100)::bigint) + 50 * count(*)) // (100 * count(*)))::double / 1e6 ndvi_mean from orders group by all)
 select feature_id, interval, replace(interval, '_', ' → ') as label, interval[3:4] || '–' || interval[8:9] short_label, round(change, 6) change, round(hotspot, 6) hotspot, round(ndvi_mean, 6) ndvi_mean from lo left join ndv on o_custkey = ord and year = split_part(interval, '_', 2)::int"""
 )
 def timeline_table(spark, d):
-    r = s.regions(spark, d)
-    ndvi = s.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("ord"), (2017 + F.year("o_orderdate") - 1994).alias("year")).agg((F.avg("o_totalprice") / 500000).alias("ndvi_mean"))
-    names = r.select("ord", "feature_id")
-    return rounded(history.timeline(regions.stacked_intervals(r, ["feature_id"]), ndvi.join(names, "ord").select("feature_id", "year", "ndvi_mean")))
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    ndvi = s.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("ord"), (2017 + F.year("o_orderdate") - 1994).alias("year")).agg(s.greenness(F.sum(cents), F.count("*")).alias("ndvi_mean"))
+    return rounded(history.timeline(regions.stacked_intervals(s.regions(spark, d), ["feature_id", "ord"]), ndvi, "ord"))
 
 
 @query(REGIONS + LONG + " select feature_id, interval, round(change, 6) change, round(hotspot, 6) hotspot from lo")
@@ -279,7 +277,7 @@ def _targets(spark, d):
 
 @query(NEAREST + "select * from near")
 def capture_nearest(spark, d):
-    return rounded(captures.nearest(_targets(spark, d), s.captures(spark, d), "region", CAPTURE_DAYS))
+    return rounded(captures.nearest_sorted(_targets(spark, d), s.captures(spark, d), "region", CAPTURE_DAYS))
 
 
 @query(NEAREST + "select year, count(*) filter (available) available, count(*) filter (kind = 'same year') same_year, count(*) targets from near group by all")
@@ -290,8 +288,7 @@ def capture_availability(spark, d):
 
 @query(NEAREST + "select region, year, case when nearest_day is not null then distance_days end distance_days from near")
 def capture_nearest_sorted(spark, d):
-    n = captures.nearest_sorted(_targets(spark, d), s.captures(spark, d), "region")
-    return rounded(n.select("region", "year", F.abs(F.datediff("nearest_day", F.make_date("year", F.lit(7), F.lit(1)))).alias("distance_days")))
+    return rounded(captures.nearest_sorted(_targets(spark, d), s.captures(spark, d), "region", CAPTURE_DAYS).select("region", "year", "distance_days"))
 
 
 @query("select o_orderkey, strftime(o_orderdate, '%Y%m%d') src_date, o_orderdate::date as day from orders")
@@ -356,37 +353,42 @@ def bbox_summary(spark, d):
     return rounded(b.withColumn("lon", lon).withColumn("lat", lat))
 
 
-@query(REGIONS + ", g as (select ord, (floor((lon - 145.2) / 0.1) * 10 + floor((lat + 38.7) / 0.1))::bigint area_id, lon, lat from rg) select ord point_id, area_id from g where not (lon = 145.2 or lat = -38.7) and (round(lon * 1000) % 100 not in (0, 1, 99)) and (round(-lat * 1000) % 100 not in (0, 1, 99))")
-def point_in_area(spark, d):
-    """Squares of a tenth of a degree and the points well inside them."""
-    edge = lambda c: (F.round(c * 1000) % 100).isin(0, 1, 99)
-    return _hit_squares(spark, d, ~edge(F.col("lon")) & ~edge(-F.col("lat")))
-
-
 SQUARES = """, q as (select i * 10 + j area_id, 145.2::double + i * 0.1::double w, 145.2::double + (i + 1) * 0.1::double e, -38.7::double + j * 0.1::double s, -38.7::double + (j + 1) * 0.1::double n from range(6) a(i), range(10) b(j))
 """
+SIDES = """, v as (select 2 * area_id + k area_id, unnest(case k when 0 then [(w, s, e, s), (e, s, e, n), (e, n, w, s)] else [(w, s, e, n), (e, n, w, n), (w, n, w, s)] end) t from q, range(2) z(k)),
+l as (select area_id, t[1] px, t[2] py, t[3] qx, t[4] qy from v),
+x as (select ord, area_id, count(*) c from rg join l on ((py > lat) <> (qy > lat)) and lon < (qx - px) * (lat - py) / (qy - py) + px group by all)
+"""
+
+
+@query(REGIONS + SQUARES + SIDES + "select ord point_id, min(area_id)::bigint area_id from x where c % 2 = 1 group by ord")
+def point_in_area(spark, d):
+    """Every point in the triangles that halve squares of a tenth of a degree."""
+    return _hit(spark, d, ((0, 0), (1, 0), (1, 1)), ((0, 0), (1, 1), (0, 1)))
 
 
 @query(REGIONS + SQUARES + "select ord point_id, min(area_id)::bigint area_id from rg join q on lon >= w and lon < e and lat >= s and lat < n group by ord")
 def point_in_area_edges(spark, d):
-    """The same squares and every point; a square holds its west and south edges only."""
-    return _hit_squares(spark, d, F.lit(True))
+    """Every point in the squares; a square holds its west and south edges only."""
+    return _hit(spark, d, ((0, 0), (1, 0), (1, 1), (0, 1)))
 
 
-def _hit_squares(spark, d, wanted):
-    square = lambda x, y: F.array(*[F.struct((145.2 + (F.col("i") + a) * 0.1).alias("x"), (-38.7 + (F.col("j") + b) * 0.1).alias("y")) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1))])
-    areas = spark.range(60).select(F.floor(F.col("id") / 10).alias("i"), (F.col("id") % 10).alias("j")).withColumn("area_id", F.col("i") * 10 + F.col("j")).withColumn("ring", square(0, 0)).select("area_id", "ring")
+def _hit(spark, d, *shapes):
+    ring = lambda shape: F.array(*[F.struct((145.2 + (F.col("i") + a) * 0.1).alias("x"), (-38.7 + (F.col("j") + b) * 0.1).alias("y")) for a, b in shape])
+    squares = spark.range(60).select(F.floor(F.col("id") / 10).alias("i"), (F.col("id") % 10).alias("j"))
+    areas = squares.select(F.posexplode(F.array(*map(ring, shapes))).alias("k", "ring"), (F.col("i") * 10 + F.col("j")).alias("square"))
     points = s.regions(spark, d).select(F.col("ord").alias("point_id"), "lon", "lat")
-    return regions.hit(points.where(wanted), areas, 0.1)
+    return regions.hit(points, areas.select((F.col("square") * len(shapes) + F.col("k")).alias("area_id"), "ring"), 0.1)
 
 
-@query(None)
+@query(
+    """with recursive c as (select c_custkey cell_id, c_custkey % 40 x, c_custkey // 40 y, c_mktsegment state from customer),
+e as (select a.cell_id a, b.cell_id b from c a join c b on a.state = b.state and abs(a.x - b.x) + abs(a.y - b.y) = 1),
+reach as (select cell_id, cell_id root from c union select e.b, reach.root from reach join e on e.a = reach.cell_id where reach.root < e.b)
+select cell_id, min(root) patch from reach group by cell_id"""
+)
 def connected_patches(spark, d):
-    """Patches of equal segment on a grid of customers; iterative, checked against union-find in the tests."""
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    """Patches of equal segment on a grid of customers."""
     c = s.table(spark, d, "customer").select(F.col("c_custkey").alias("cell_id"), (F.col("c_custkey") % 40).alias("x"), F.floor(F.col("c_custkey") / 40).alias("y"), F.col("c_mktsegment").alias("state"))
     return regions.patches(c)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from terradelta.functions.numbers import number_text
+
 MISSING = "Not available"
 # fixed values: the words shown for each state
 BEHAVIOUR_LABELS = {
@@ -75,6 +77,11 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def first_of(*parts: Column) -> Column:
+    """The first that is neither missing nor empty."""
+    return F.coalesce(*[blank_to_null(p) for p in parts])
+
+
 def joined(*parts: Column) -> Column:
     """Non-empty parts with a middle dot between."""
     return F.concat_ws(" · ", *[blank_to_null(p) for p in parts])
@@ -135,6 +142,26 @@ def land_headline(outcome: Column, first: Column, last: Column) -> Column:
     return F.when(outcome == "stayed", F.concat(F.lit("Stayed "), first)).when(outcome == "returned", F.concat(F.lit("Returned to "), last)).otherwise(F.concat(first, F.lit(" → "), last))
 
 
+def land_note(outcome: Column, first_change: Column, last_year: int = 2024) -> Column:
+    """When a region's class changed first; the year is missing for 0 and less."""
+    year = F.when(first_change > 0, first_change.cast("string"))
+    return (
+        F.when(outcome == "stayed", F.lit("The dominant mapped broad class was unchanged in every annual DEA map."))
+        .when(outcome == "returned", F.concat(F.lit("The dominant mapped broad class first changed in "), F.coalesce(year, F.lit("an intermediate year")), F.lit(f", then returned by {last_year}.")))
+        .otherwise(F.concat(F.lit("The first change in the dominant mapped broad class was detected in "), F.coalesce(year, F.lit("the annual sequence")), F.lit(".")))
+    )
+
+
+def ndvi_note(change: Column) -> Column:
+    amount = F.when(change == 0, F.lit("")).otherwise(F.concat(F.lit(" by "), number_text(F.abs(change), 3)))
+    return F.concat(F.lit("Average NDVI "), ndvi_action(change), amount, F.lit(" between the first and last study years."))
+
+
+def place_title(feature_type: Column, locality: Column) -> Column:
+    near = F.when(feature_type.eqNullSafe(F.lit("coldspot_patch")), F.lit("Low-change area near ")).otherwise(F.lit("Landscape change near "))
+    return F.concat(near, locality)
+
+
 def ndvi_action(change: Column) -> Column:
     return F.when(change > 0, "increased").when(change < 0, "decreased").when(change.isNotNull(), "was unchanged")
 

@@ -55,5 +55,12 @@ def resolution_text(c: Column) -> Column:
     return F.when(v < 1, F.concat(F.format_string("%.2f", v), F.lit(" m"))).when(v.isNotNull(), F.concat(F.format_string("%.1f", v), F.lit(" m")))
 
 
+def number_text(c: Column, digits: int = 2) -> Column:
+    """At most so many decimals, thousands with commas; a dash for missing and NaN."""
+    text = F.format_number(F.round(c.cast("double"), digits), digits)
+    text = F.regexp_replace(text, r"\.?0+$", "") if digits else text
+    return F.when(F.coalesce(c.cast("double"), F.lit(float("nan"))) != F.lit(float("nan")), F.when(text == "-0", F.lit("0")).otherwise(text)).otherwise("—")
+
+
 def percent_text(c: Column, digits: int = 0) -> Column:
     return F.when(F.coalesce(c, F.lit(float("nan"))) != F.lit(float("nan")), F.concat(F.format_string(f"%.{digits}f", c * 100), F.lit("%"))).otherwise("—")

@@ -56,6 +56,13 @@ def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
     return F.size(F.filter(edges, crosses)) % 2 == 1
 
 
-def lookup_point(*choices: Column) -> Column:
-    """The first place that is there, of a detail, a feature, a marker, a box centre, the map centre."""
-    return F.coalesce(*choices)
+NEAR_ZOOM = 10.5
+
+
+def lookup_point(detail: Column, feature: Column, marker: Column, zoom: Column, box: Column, middle: Column) -> Column:
+    """The place to look at: of the open detail, the chosen feature, the marker, then the box's centre from afar or the map's centre.
+
+    Places are struct<lon, lat>; box is struct<west, south, east, north>.
+    """
+    lon, lat = centre(box["west"], box["south"], box["east"], box["north"])
+    return F.coalesce(detail, feature, marker, F.when(zoom < NEAR_ZOOM, F.struct(lon.alias("lon"), lat.alias("lat"))).otherwise(middle))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terradelta.functions.dates import capture_kind, day_distance
+from terradelta.functions.dates import capture_date, capture_kind, day_distance, middle_of
+from terradelta.functions.labels import first_of
+from terradelta.functions.places import NEARBY, nearby_box, within_box
 from terradelta.plans.params import Thresholds
 
 NO_RESOLUTION = 9999.0
@@ -25,35 +27,70 @@ def top_of(rows: DataFrame, keys: list[str], draw: Column, resolution: Column, t
     return d.select("b.row.*")
 
 
+def top_dated(rows: DataFrame, keys: list[str], draw: Column, resolution: Column, date_text: str, tie: list[str]) -> DataFrame:
+    """top_of, with its day; a key whose top row has no valid date gives none."""
+    return top_of(rows, keys, draw, resolution, tie).withColumn("day", capture_date(F.col(date_text))).where("day is not null")
+
+
+def identify(requests: DataFrame, snapshot: DataFrame, delta: float = NEARBY) -> DataFrame:
+    """The capture on top at each requested point: (request_id, day, resolution, provider), for those that have one.
+
+    requests: (request_id, user_id, seq, lon, lat); only the latest of a user counts.
+    snapshot: (lon, lat, object_id, src_date, resolution, draw, description, name);
+    captures within delta of the point are candidates, equal ones count once.
+    Both sides are dealt to squares of twice delta, so the join is on equal squares.
+    """
+    last = requests.groupBy("user_id").agg(F.max(F.struct("seq", "request_id", "lon", "lat")).alias("r")).select("r.*")
+    size = 2 * delta
+    at = lambda c: F.floor(c / size).cast("long")
+    west, south, east, north = nearby_box(F.col("lon"), F.col("lat"), delta)
+    near = last.withColumns({"west": west, "south": south, "east": east, "north": north})
+    near = near.withColumn("gx", F.explode(F.sequence(at(F.col("west")), at(F.col("east"))))).withColumn("gy", F.explode(F.sequence(at(F.col("south")), at(F.col("north")))))
+    shots = snapshot.select(F.col("lon").alias("x"), F.col("lat").alias("y"), "object_id", "src_date", "resolution", "draw", "description", "name").withColumns({"gx": at(F.col("x")), "gy": at(F.col("y"))})
+    d = near.join(shots, ["gx", "gy"]).where(within_box(F.col("x"), F.col("y"), *map(F.col, ("west", "south", "east", "north"))))
+    d = d.dropDuplicates(["request_id", "object_id", "src_date", "resolution", "description"])
+    top = top_dated(d, ["request_id"], F.col("draw"), F.col("resolution"), "src_date", ["object_id", "src_date", "description"])
+    return top.select("request_id", "day", "resolution", first_of(F.col("description"), F.col("name")).alias("provider"))
+
+
+def _chosen(d: DataFrame, key: str, days: int) -> DataFrame:
+    """d(key, year, b struct<distance, fine, capture_id, day>) as a table."""
+    available = F.coalesce(F.col("b.distance") <= days, F.lit(False))
+    kind = F.when(available, capture_kind(F.col("b.day"), F.col("year"), F.lit(False)))
+    return d.select(key, "year", F.col("b.day").alias("nearest_day"), F.col("b.distance").alias("distance_days"), available.alias("available"), F.when(available, F.col("b.capture_id")).alias("capture_id"), kind.alias("kind"))
+
+
+def _daily(captures: DataFrame, key: str) -> DataFrame:
+    """The best capture of each key and day: the finest, a missing resolution last, then the least id."""
+    fine = F.struct(F.coalesce("resolution", F.lit(float("inf"))).alias("fine"), F.col("capture_id").alias("capture_id"))
+    return captures.where("day is not null").groupBy(key, "day").agg(F.min(fine).alias("c"))
+
+
 def nearest(targets: DataFrame, captures: DataFrame, key: str, days: int = Thresholds.capture_days) -> DataFrame:
     """targets(key, year) each with its nearest capture(key, day, resolution, capture_id).
 
     The finest of equally near ones, a missing resolution last, then the least
     id.  Every target stays: the nearest day is told even if it is too far, and
-    available says whether it is near enough.
+    available says whether it is near enough.  Captures are first reduced to one
+    per key and day, so a key gives at most its days times its targets as pairs.
     """
-    c = captures.where("day is not null")
-    d = targets.join(c, key, "left").withColumn("distance", day_distance(F.col("day"), F.col("year")))
-    pick = F.struct(F.col("distance").alias("distance"), F.coalesce("resolution", F.lit(float("inf"))).alias("fine"), F.col("capture_id").alias("capture_id"), F.col("day").alias("day"))
-    d = d.groupBy(key, "year").agg(F.min(F.when(F.col("day").isNotNull(), pick)).alias("b"))
-    available = F.coalesce(F.col("b.distance") <= days, F.lit(False))
-    kind = F.when(available, capture_kind(F.col("b.day"), F.col("year"), F.lit(False)))
-    return d.select(key, "year", F.col("b.day").alias("nearest_day"), F.col("b.distance").alias("distance_days"), available.alias("available"), F.when(available, F.col("b.capture_id")).alias("capture_id"), kind.alias("kind"))
+    d = targets.join(_daily(captures, key), key, "left").withColumn("distance", day_distance(F.col("day"), F.col("year")))
+    pick = F.struct(F.col("distance").alias("distance"), F.col("c.fine").alias("fine"), F.col("c.capture_id").alias("capture_id"), F.col("day").alias("day"))
+    return _chosen(d.groupBy(key, "year").agg(F.min(F.when(F.col("day").isNotNull(), pick)).alias("b")), key, days)
 
 
-def nearest_sorted(targets: DataFrame, captures: DataFrame, key: str) -> DataFrame:
-    """(key, year, nearest_day) where keys have very many captures: one sort, no pairs.
+def nearest_sorted(targets: DataFrame, captures: DataFrame, key: str, days: int = Thresholds.capture_days) -> DataFrame:
+    """The same without pairs: one sort of each key's targets and days.
 
-    Targets and captures are put in one order by day; the last capture before
-    and the first after each target are the only candidates.
+    The last day with a capture before and the first after each target are the
+    only candidates.  A key has as many rows as it has days and targets.
     """
-    t = targets.select(key, F.make_date("year", F.lit(7), F.lit(1)).alias("at"), "year", F.lit(None).cast("date").alias("day"))
-    c = captures.where("day is not null").select(key, F.col("day").alias("at"), F.lit(None).cast("int").alias("year"), "day").distinct()
+    t = targets.select(key, middle_of(F.col("year")).alias("at"), "year", F.expr("cast(null as struct<day:date,c:struct<fine:double,capture_id:bigint>>)").alias("shot"))
+    c = _daily(captures, key).select(key, F.col("day").alias("at"), F.lit(None).cast("int").alias("year"), F.struct("day", F.struct(F.col("c.fine").cast("double").alias("fine"), F.col("c.capture_id").cast("bigint").alias("capture_id")).alias("c")).alias("shot"))
     both = t.unionByName(c)
     w = Window.partitionBy(key).orderBy("at", F.col("year").isNotNull())
-    back = Window.partitionBy(key).orderBy(F.desc("at"), F.col("year").isNotNull())
-    keep = Window.unboundedPreceding
-    d = both.withColumn("before", F.last("day", ignorenulls=True).over(w.rowsBetween(keep, 0))).withColumn("after", F.last("day", ignorenulls=True).over(back.rowsBetween(keep, 0)))
-    gap = lambda c: F.abs(F.datediff(c, F.col("at")))
-    near = F.when(F.col("after").isNull() | (gap(F.col("before")) <= gap(F.col("after"))), F.col("before")).otherwise(F.col("after"))
-    return d.where("year is not null").select(key, "year", F.coalesce(near, "after").alias("nearest_day"))
+    on = Window.unboundedPreceding, 0
+    ahead = Window.partitionBy(key).orderBy("at", F.col("year").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
+    d = both.withColumn("before", F.last("shot", ignorenulls=True).over(w.rowsBetween(*on))).withColumn("after", F.first("shot", ignorenulls=True).over(ahead))
+    pick = lambda s: F.when(F.col(s).isNotNull(), F.struct(day_distance(F.col(f"{s}.day"), F.col("year")).alias("distance"), F.col(f"{s}.c.fine").alias("fine"), F.col(f"{s}.c.capture_id").alias("capture_id"), F.col(f"{s}.day").alias("day")))
+    return _chosen(d.where("year is not null").select(key, "year", F.least(pick("before"), pick("after")).alias("b")), key, days)

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from terradelta.functions.numbers import band, euclidean
 from terradelta.plans.params import Thresholds
+from terradelta.session import use_checkpoints
+
+
+BUCKETS = 4096
 
 
 def intervals(cell_year: DataFrame) -> DataFrame:
@@ -74,7 +78,8 @@ def activity(stats: DataFrame, tiles: int = 3) -> DataFrame:
     """
     spark = stats.sparkSession
     d = stats.select("region_id", F.round("cumulative_change_mean", 9).alias("total")).repartitionByRange("total", "region_id")
-    d = d.withColumn("part", F.spark_partition_id()).persist()
+    use_checkpoints(spark)
+    d = d.withColumn("part", F.spark_partition_id()).checkpoint()  # the ranges must not be cut anew
     sizes = {r["part"]: r["count"] for r in d.groupBy("part").count().collect()}  # one row per partition
     n, base, bases = sum(sizes.values()), 0, []
     for part in sorted(sizes):
@@ -90,10 +95,37 @@ def activity(stats: DataFrame, tiles: int = 3) -> DataFrame:
     return d.select("region_id", "total", "tile", label.alias("overall_activity"))
 
 
-def threshold(values: DataFrame, column: str, share: float = 0.95, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
-    """A quantile of all cells; the sketch is for tables whose values do not fit one task."""
-    q = F.percentile(column, share) if exact else F.percentile_approx(column, share, accuracy)
-    return values.agg(q.alias("threshold"), F.count(column).alias("n"))
+def threshold(values: DataFrame, column: str, share: float = 0.95, exact: bool = True, accuracy: int = 10_000, most: int = 100_000) -> DataFrame:
+    """(threshold, n): a quantile of all cells, linear between neighbours; null without any.
+
+    Exact: counts by bucket narrow the range that holds the two values around
+    the quantile until at most ``most`` values, or one value, are left in it; only these
+    are put together.  Each round divides the range by BUCKETS.
+    """
+    v = values.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    if not exact:
+        return v.agg(F.percentile_approx("v", share, accuracy).alias("threshold"), F.count("v").alias("n"))
+    low, high, n = v.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    total, place = n, share * max(n - 1, 0)  # place counts from the least value of the range
+    while n > most and low < high:
+        width = (high - low) / BUCKETS
+        at = F.least(F.floor((F.col("v") - low) / width), F.lit(BUCKETS - 1)).cast("int")
+        inside = v.where(F.col("v").between(low, high))
+        sizes = inside.groupBy(at.alias("b")).agg(F.count("*").alias("c"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("b").collect()  # at most BUCKETS rows
+        before, chosen = 0, []
+        for r in sizes:
+            if before <= place + 1 and before + r["c"] > place:
+                chosen.append((before, r))
+            before += r["c"]
+        if chosen[0][1]["low"] == low and chosen[-1][1]["high"] == high:
+            break
+        place -= chosen[0][0]
+        low, high, n = chosen[0][1]["low"], chosen[-1][1]["high"], sum(r["c"] for _, r in chosen)
+    if not total:
+        return v.agg(F.max("v").alias("threshold"), F.count("v").alias("n"))
+    inside = v.where(F.col("v").between(low, high)).groupBy("v").agg(F.count("*").alias("c"))
+    rest = F.percentile("v", F.lit(min(1.0, place / max(n - 1, 1))), F.col("c"))
+    return inside.agg(rest.alias("threshold")).select("threshold", F.lit(total).cast("long").alias("n"))
 
 
 def state_summary(states: DataFrame) -> DataFrame:

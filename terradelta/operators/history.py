@@ -5,20 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terradelta.functions.labels import interval_label, interval_short, land_headline, ndvi_action
+from terradelta.functions.labels import detailed_class, interval_label, interval_short, land_headline, ndvi_action
+from terradelta.functions.numbers import percent_text
 from terradelta.plans.params import Thresholds
 
 
-def dominant(cells: DataFrame, keys: list[str], column: str = "class", t: Thresholds = Thresholds()) -> DataFrame:
+def dominant(cells: DataFrame, keys: list[str], column: str = "class", t: Thresholds = Thresholds(), sums: tuple[str, ...] = ()) -> DataFrame:
     """The two most frequent classes of each group with their shares; ties by name.
 
-    The second one counts as present from the secondary share on.
+    The second one counts as present from the secondary share on.  cells is
+    aggregated once, with sums of other columns and the number of rows on the way.
     """
-    counts = cells.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("n"))
-    d = counts.groupBy(*keys).agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col(column).alias("c")))).alias("s"))  # as long as there are classes
+    counts = cells.groupBy(*keys, column).agg(F.count("*").alias("n"), *[F.sum(x).alias(x) for x in sums])
+    has = F.col(column).isNotNull()
+    pair = F.when(has, F.struct((-F.col("n")).alias("m"), F.col(column).alias("c")))
+    d = counts.groupBy(*keys).agg(F.sum(F.when(has, F.col("n"))).alias("total"), F.sum("n").alias("rows"), *[F.sum(x).alias(x) for x in sums], F.sort_array(F.collect_list(pair)).alias("s"))  # as long as there are classes
+    d = d.where(F.size("s") > 0)
     top, second = F.get("s", F.lit(0)), F.get("s", F.lit(1))
     share = -second["m"] / F.col("total")
-    return d.select(*keys, top["c"].alias("class"), (-top["m"] / F.col("total")).alias("class_share"), second["c"].alias("secondary"), share.alias("secondary_share"), F.coalesce(share >= t.secondary, F.lit(False)).alias("secondary_shown"))
+    more = ["rows", *sums] if sums else []
+    return d.select(*keys, top["c"].alias("class"), (-top["m"] / F.col("total")).alias("class_share"), second["c"].alias("secondary"), share.alias("secondary_share"), F.coalesce(share >= t.secondary, F.lit(False)).alias("secondary_shown"), *more)
+
+
+def annual(region_year: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """The yearly table of each region: classes with shares, what else is there, what changed.
+
+    region_year: (feature_id, year, class, class_share, secondary,
+    secondary_share, detail_class, detail_share, ndvi_mean).
+    """
+    d = transitions(region_year, t)
+    shown = F.coalesce(F.col("secondary_share") >= t.secondary, F.lit(False))
+    return d.select(
+        "feature_id",
+        "year",
+        "class",
+        "class_share",
+        detailed_class(F.col("detail_class")).alias("detail"),
+        "detail_share",
+        F.when(shown, F.concat(F.lit("Also present: "), F.col("secondary"), F.lit(" ("), percent_text(F.col("secondary_share")), F.lit(")"))).alias("also"),
+        F.when(F.col("land_changed"), F.lit("Land-cover change")).alias("land_event"),
+        F.when(F.col("ndvi_event"), F.concat(F.lit("Vegetation change from "), F.col("previous_year").cast("string"))).alias("ndvi_event"),
+        "ndvi_mean",
+    )
 
 
 def transitions(region_year: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
@@ -49,8 +77,8 @@ def outcomes(changes: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     return d.withColumn("ndvi_direction", direction).withColumn("ndvi_action", ndvi_action(F.col("ndvi_change")))
 
 
-def timeline(region_interval: DataFrame, region_year: DataFrame) -> DataFrame:
+def timeline(region_interval: DataFrame, region_year: DataFrame, key: str = "feature_id") -> DataFrame:
     """A row per region and interval: labels, change, strong share, greenness of its end year."""
     d = region_interval.where("interval <> 'endpoint'").withColumn("end_year", F.get(F.split("interval", "_"), F.lit(1)).cast("int"))
-    ndvi = region_year.select("feature_id", F.col("year").alias("end_year"), "ndvi_mean")
-    return d.join(ndvi, ["feature_id", "end_year"], "left").select("feature_id", "interval", interval_label(F.col("interval")).alias("label"), interval_short(F.col("interval")).alias("short_label"), "change", "hotspot", "ndvi_mean")
+    ndvi = region_year.select(key, F.col("year").alias("end_year"), "ndvi_mean")
+    return d.join(ndvi, [key, "end_year"], "left").select("feature_id", "interval", interval_label(F.col("interval")).alias("label"), interval_short(F.col("interval")).alias("short_label"), "change", "hotspot", "ndvi_mean")

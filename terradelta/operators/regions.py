@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terradelta.functions.labels import behaviour_colour, behaviour_label, shard_of, zero_padded
+from terradelta.functions.labels import behaviour_colour, behaviour_label, interval_label, shard_of, zero_padded
 from terradelta.functions.places import in_ring
-from terradelta.plans.params import INTERVALS, RegionFilter
+from terradelta.plans.params import ENDPOINT, INTERVALS, RegionFilter
+from terradelta.session import use_checkpoints
 
 
 def select_regions(regions: DataFrame, f: RegionFilter = RegionFilter()) -> DataFrame:
-    return regions.where(f.predicate())
+    return regions.where(f.conditions())
 
 
 def count_regions(regions: DataFrame, f: RegionFilter = RegionFilter()) -> DataFrame:
@@ -32,15 +33,8 @@ def evidence_counts(regions: DataFrame) -> DataFrame:
     return regions.agg(*[F.count_if(c).alias(k) for k, c in has.items()], F.count_if(has["embedding"] & has["dea"] & has["ndvi"]).alias("all_three"))
 
 
-def long_intervals(wide: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, interval, change, hotspot) from the columns change_<iv> and hotspot_<iv>."""
-    change = wide.unpivot(keys, [f"change_{i}" for i in INTERVALS], "c", "change").select(*keys, F.expr("substring(c, 8)").alias("interval"), "change")
-    hot = wide.unpivot(keys, [f"hotspot_{i}" for i in INTERVALS], "c", "hotspot").select(*keys, F.expr("substring(c, 9)").alias("interval"), "hotspot")
-    return change.join(hot, [*keys, "interval"])
-
-
 def stacked_intervals(wide: DataFrame, keys: list[str]) -> DataFrame:
-    """The same as long_intervals from one scan, without a join."""
+    """(keys, interval, change, hotspot) from the columns change_<iv> and hotspot_<iv>, by one scan."""
     rows = F.array(*[F.struct(F.lit(i).alias("interval"), F.col(f"change_{i}").alias("change"), F.col(f"hotspot_{i}").alias("hotspot")) for i in INTERVALS])
     return wide.select(*keys, F.inline(rows))
 
@@ -50,8 +44,30 @@ def wide_intervals(long: DataFrame, keys: list[str]) -> DataFrame:
     return long.groupBy(*keys).pivot("interval", list(INTERVALS)).agg(F.first("change"))
 
 
-def with_details(regions: DataFrame, details: DataFrame) -> DataFrame:
-    return regions.join(details, "feature_id", "left")
+def with_details(regions: DataFrame, details: DataFrame, order: str = "ord") -> DataFrame:
+    """regions with their details, where there are any; of details of one id the last counts."""
+    rest = [c for c in details.columns if c != "feature_id"]
+    last = details.groupBy("feature_id").agg(F.max_by(F.struct(*rest), F.struct(order, *[c for c in rest if c != order])).alias("d"))
+    return regions.join(last.select("feature_id", *[F.col(f"d.{c}").alias(c) for c in rest if c != order]), "feature_id", "left")
+
+
+def hectares(area_m2: Column) -> Column:
+    return area_m2 / 10000
+
+
+def metric(details: DataFrame, interval: str) -> DataFrame:
+    """(feature_id, change, strong_fraction, change_label, fraction_label) of one period, or from the first to the last year."""
+    whole = interval == ENDPOINT
+    change = "endpoint_change_mean" if whole else f"annual_change_{interval}"
+    strong = "endpoint_hotspot_fraction" if whole else f"annual_hotspot_{interval}_fraction"
+    label = F.lit("Start-to-end change") if whole else F.concat(F.lit("Change "), interval_label(F.lit(interval)))
+    fraction = F.lit("Area with strong change" if whole else "Area with strong change this period")
+    return details.select("feature_id", F.col(change).alias("change"), F.col(strong).alias("strong_fraction"), label.alias("change_label"), fraction.alias("fraction_label"))
+
+
+def with_overlay(rows: DataFrame, overlays: DataFrame) -> DataFrame:
+    """rows(interval, ...) with the path of each interval's overlay; overlays(interval, overlay) has a row per interval."""
+    return rows.join(F.broadcast(overlays), "interval", "left")
 
 
 def with_shard(regions: DataFrame, size: int = 1000) -> DataFrame:
@@ -90,8 +106,10 @@ def patches(cells: DataFrame, rounds: int = 50) -> DataFrame:
 
     Labels spread along edges and jump to the label of their label, so the
     rounds grow with the logarithm of a patch's width; each round is written by
-    checkpoint().
+    checkpoint().  A round at least halves the longest way to a least id, so 50 rounds
+    are enough for 2**50 cells.
     """
+    use_checkpoints(cells.sparkSession)
     edges = neighbours(cells)
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     label = cells.select("cell_id", F.col("cell_id").alias("patch")).checkpoint()

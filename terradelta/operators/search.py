@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terradelta.functions.labels import behaviour_label, trimmed_lower
+from terradelta.functions.labels import behaviour_label, first_of, place_title, trimmed_lower
 from terradelta.functions.places import coordinates, within_box
 
 PER_SOURCE, IN_ALL, REMOTE, REMOTE_LENGTH = 5, 8, 4, 3
@@ -53,3 +53,17 @@ def search(query: str, regions: DataFrame, places: DataFrame, remote: DataFrame
             more = more.where(within_box(F.col("lon"), F.col("lat"), *map(F.lit, box)))
         found = found.unionByName(more.orderBy("ord").limit(REMOTE).select(F.lit(3).alias("source"), *RESULT[1:]))
     return found.orderBy("source", "ord").limit(IN_ALL)
+
+
+def reverse(points: DataFrame, addresses: DataFrame) -> DataFrame:
+    """(feature_id, title, locality) of points(feature_id, feature_type, lon, lat): the nearest of a small address table.
+
+    addresses(ord, display_name, town, village, city, municipality, county, lon,
+    lat) is a fixed list of places, small enough to stand in each row's comparison.
+    """
+    a = F.broadcast(addresses.groupBy().agg(F.collect_list(F.struct(*addresses.columns)).alias("all")))  # one row: a fixed list
+    gap = lambda p: (p["lon"] - F.col("lon")) * (p["lon"] - F.col("lon")) + (p["lat"] - F.col("lat")) * (p["lat"] - F.col("lat"))
+    d = points.join(a).withColumn("p", F.array_min(F.transform("all", lambda p: F.struct(gap(p).alias("gap"), p["ord"].alias("ord"), p.alias("place"))))["place"])
+    place = lambda k: F.col(f"p.{k}")
+    locality = first_of(*map(place, ("town", "village", "city", "municipality", "county")), F.get(F.split(place("display_name"), ","), F.lit(0)))
+    return d.select("feature_id", place_title(F.col("feature_type"), locality).alias("title"), locality.alias("locality"))

@@ -49,30 +49,33 @@ class RegionFilter:
         return self.behaviour != ALL or self.min_area > 0 or self.active_only or self.direction != ALL or bool(self.evidence)
 
     def predicate(self, hotspot: Column | None = None, active: float = Thresholds.active) -> Column:
+        """conditions() as true or false, for other uses than filters."""
+        return F.coalesce(self.conditions(hotspot, active), F.lit(False))
+
+    def conditions(self, hotspot: Column | None = None, active: float = Thresholds.active) -> Column:
         """One column for all criteria; those that pass everything are left out.
 
         hotspot: the share of the chosen interval; by default the wide column of it.
         Unknown types count as hot spots, a missing area as 0, a missing share or
-        signal as none.
+        signal as none.  What is missing may give null, which a filter takes as
+        false; so bare comparisons reach the scan.
         """
         terms = []
         cold = F.col("feature_type").eqNullSafe(F.lit("coldspot_patch"))
         if not (self.hotspots and self.coldspots):
-            terms.append((cold & F.lit(self.coldspots)) | (~cold & F.lit(self.hotspots)))
+            terms.append(~cold if self.hotspots else cold if self.coldspots else F.lit(False))
         if self.behaviour != ALL:
             terms.append(F.col("behaviour") == self.behaviour)
         if self.min_area > 0:
-            # a missing area fails above 0 either way; the bare comparison can be pushed to the scan
             terms.append(F.col("area_ha") >= self.min_area)
         if self.active_only and self.interval != ENDPOINT:
             share = hotspot if hotspot is not None else F.col(f"hotspot_{self.interval}")
-            terms.append(F.nanvl(F.coalesce(share, F.lit(0.0)), F.lit(0.0)) >= active)
+            terms.append((share >= active) & ~F.isnan(share))
         if self.direction != ALL:
             terms.append(F.col("ndvi_direction") == self.direction)
         if self.evidence:
-            signals = [F.coalesce(F.col(e), F.lit(False)) for e in self.evidence]
-            terms.append(reduce(and_ if self.match == ALL else or_, signals))
-        return F.coalesce(reduce(and_, terms), F.lit(False)) if terms else F.lit(True)
+            terms.append(reduce(and_ if self.match == ALL else or_, map(F.col, self.evidence)))
+        return reduce(and_, terms) if terms else F.lit(True)
 
 
 def imagery_year(interval: str, years: tuple[int, ...] = IMAGERY_YEARS) -> int:

@@ -2,9 +2,33 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only on a local master."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="terradelta-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
+def use_checkpoints(spark: SparkSession) -> None:
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_dir(spark)}/terradelta/{name}-{uuid.uuid4().hex}"
+
+
 def session(master: str = "local[*]", app: str = "terradelta", **settings: str) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app)
     base = {

@@ -55,6 +55,11 @@ def write_details(details: DataFrame, path: str, size: int = SHARD_SIZE) -> None
     sharded.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
+def stored_details(spark: SparkSession, path: str) -> DataFrame:
+    """The sharded details; Spark remembers the list of folders, as callers would remember shards."""
+    return spark.read.parquet(path)
+
+
 def shard_number(feature_id: str, size: int = SHARD_SIZE) -> int | None:
     digits = re.sub("[^0-9]", "", feature_id)
     return (int(digits) - 1) // size if digits else None

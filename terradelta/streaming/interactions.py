@@ -52,3 +52,8 @@ def results(events: DataFrame, late: str = GAP, window: str = "1 day") -> DataFr
 def without_stale(events: DataFrame, late: str = GAP) -> DataFrame:
     """Repeated requests of one id are dropped as long as they may still come."""
     return timed(events).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+
+
+def newest(requests: DataFrame, key: str, order: str) -> DataFrame:
+    """The same for a table: one row per key, the newest."""
+    return requests.groupBy(key).agg(F.max(order).alias(order))

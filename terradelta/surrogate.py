@@ -6,13 +6,12 @@ and exercise the semantics only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terradelta.plans.params import INTERVALS
 
 STRONG = 1.41  # unit vectors of the test data are about that far apart
-REGION_YEARS = (1995, 2001)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,8 +46,12 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def class_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("feature_id"), F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("class"), F.col("o_totalprice").alias("price"))
-    return d.where(F.col("year").between(*REGION_YEARS))
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("feature_id"), F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("class"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+
+
+def greenness(cents: Column, rows: Column) -> Column:
+    """Mean price as a share of 500,000, to the millionth; whole numbers, so that it is the same everywhere."""
+    return F.floor((2 * cents + 50 * rows).cast("decimal(30,0)") / (100 * rows).cast("decimal(20,0)")).cast("long") / 1e6
 
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from terradelta import catalog
+from terradelta import catalog, catalog_detail  # noqa: F401
 
 SF = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
@@ -22,7 +22,7 @@ def con():
 
 def same(a, b):
     if isinstance(a, float) and isinstance(b, float):
-        return a == b or math.isclose(a, b, rel_tol=1e-9, abs_tol=1.1e-6) or math.isnan(a) and math.isnan(b)
+        return a == b or math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-12) or math.isnan(a) and math.isnan(b)
     return a == b
 
 

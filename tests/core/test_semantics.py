@@ -197,3 +197,37 @@ def test_years_and_steps():
     assert imagery_year("2019_2020") == 2020 and imagery_year("endpoint") == 2024 and clamped(2030) == 2025
     assert stepped(INTERVALS, "2017_2018", -1) == "2017_2018" and stepped(IMAGERY_YEARS, 2017, 1) == 2018
     assert Thresholds().capture_days == 548
+
+
+def test_region_filters_reach_the_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    d = regions.select_regions(spark.read.parquet("/root/testdata/sf0.001/customer.parquet").selectExpr("c_acctbal area_ha", "c_mktsegment feature_type", "c_name behaviour", "c_acctbal hotspot_2019_2020"), RegionFilter(coldspots=False, min_area=3, behaviour="x", active_only=True, interval="2019_2020"))
+    pushed = d._jdf.queryExecution().executedPlan().toString().split("PushedFilters: ")[1].split("]")[0]
+    assert "GreaterThanOrEqual(c_acctbal,3.0)" in pushed and "EqualTo(c_name,x)" in pushed and "GreaterThanOrEqual(c_acctbal,0.05)" in pushed
+
+
+def test_quantile_in_rounds(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    for values in ([1.0], [2.0, 2.0, 2.0], rnd.normal(size=900).tolist(), [0.0] * 500 + rnd.random(300).tolist(), [float(x) for x in range(7)]):
+        d = spark.createDataFrame([(x,) for x in values] + [(None,), (float("nan"),)], "v double")
+        for share in (0.0, 0.5, 0.95, 1.0):
+            got = change.threshold(d, "v", share, most=20).first()
+            assert abs(got.threshold - np.quantile(values, share)) < 1e-12 and got.n == len(values)
+    assert tuple(change.threshold(spark.createDataFrame([], "v double"), "v").first()) == (None, 0)
+
+
+def test_number_texts(spark):
+    from terradelta.functions.numbers import number_text
+
+    d = spark.createDataFrame([(1234.5,), (0.0,), (-0.001,), (1200.0,), (float("nan"),), (None,)], "x double")
+    assert [r[0] for r in d.select(number_text(F.col("x"))).collect()] == ["1,234.5", "0", "0", "1,200", "—", "—"]
+
+
+def test_both_nearest_forms_agree(spark):
+    rows = [("a", "2019-06-30", 2.0, 1), ("a", "2019-07-02", 1.0, 2), ("a", "2019-07-02", 1.0, 3), ("a", "2016-01-01", None, 4), ("b", None, 1.0, 5), ("c", "2019-07-01", None, 6), ("c", "2019-07-01", 9.0, 7)]
+    shots = spark.createDataFrame(rows, "k string, day string, resolution double, capture_id long").withColumn("day", F.to_date("day"))
+    targets = spark.createDataFrame([(k, y) for k in "abcd" for y in (2017, 2019)], "k string, year int")
+    one, two = (sorted(map(tuple, f(targets, shots, "k").collect()), key=str) for f in (captures.nearest, captures.nearest_sorted))
+    assert one == two and ("a", 2019) in [(r[0], r[1]) for r in one if r[5] == 2]
