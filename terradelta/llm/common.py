@@ -8,6 +8,7 @@ lost executor costs a re-read and never a recomputation from the start.
 from __future__ import annotations
 
 import atexit
+import logging
 import os
 import tempfile
 import uuid
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: White space between words, for split().
 GAP = "[\\x20\\x09-\\x0D]+"
-#: A table of at most so many bytes on disk may be broadcast.
-BROADCAST_BYTES = 24 << 20
+#: A table of at most so many bytes on disk and so many rows may be broadcast.
+BROADCAST_BYTES, BROADCAST_ROWS = 24 << 20, 2_000_000
 
 
 #: Rows of an Arrow batch, at most.
@@ -70,8 +71,8 @@ def remove(spark: SparkSession, where: str) -> None:
     try:
         fs, path = _path(spark, where)
         fs.delete(path, True)
-    except Exception:  # the session may have ended; the folder is scratch
-        pass
+    except Exception as e:  # the session may have ended; the folder is scratch
+        logging.getLogger(__name__).info("%s stays: %s", where, e)
 
 
 def stored_bytes(spark: SparkSession, where: str) -> int:
@@ -107,12 +108,13 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> tuple[DataFrame, str
 
 
 def small_or_not(df: DataFrame, name: str, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Store df; mark it for a broadcast only if what was written is below limit.
+    """Store df; mark it for a broadcast only if what was written is below limit, in rows too.
 
     A larger table keeps the ordinary join, whose skewed partitions Spark splits.
     """
     back, where = stored(df, name)
-    return F.broadcast(back) if stored_bytes(df.sparkSession, where) <= limit else back
+    small = stored_bytes(df.sparkSession, where) <= limit and back.count() <= BROADCAST_ROWS  # the count reads footers
+    return F.broadcast(back) if small else back
 
 
 def ascii_lower(text: Column) -> Column:

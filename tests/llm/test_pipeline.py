@@ -32,8 +32,8 @@ def test_stages_and_run(spark, tmp_path):
     rows = rows_of()
     docs = spark.createDataFrame(rows, SCHEMA)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    gone = test_quality_rules.rejected([(r[0], r[3], r[1]) for r in rows], quality_rules.MAX_DOCS, quality_rules.MIN_LEFT)
-    want = [r for r in rows if not test_quality_rules.base(r[1])[5] and r[0] not in gone]
+    left = {d: (t, s) for d, s, t in test_quality_rules.kept([(r[0], r[3], r[1]) for r in rows], quality_rules.MAX_DOCS, quality_rules.MIN_LEFT)}
+    want = [(r[0], left[r[0]][0], r[2], r[3], r[4] if left[r[0]][0] == r[1] else len(left[r[0]][0])) for r in rows if r[0] in left]
     docs = corpus_pipeline.quality(spark, docs, str(tmp_path))
     assert sorted(map(tuple, docs.collect())) == sorted(want)
 
