@@ -37,6 +37,7 @@ _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style title textarea iframe noscript template svg math object canvas noembed noframes xmp".split())
+CHARACTER_TAGS = frozenset("script style title textarea iframe noscript xmp noembed noframes".split())
 #: Tags that close an open one of their kind.
 ALONE = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCES = frozenset("ul ol dl table article section div nav aside main body html form select".split())
@@ -53,17 +54,17 @@ FEATURES = ("words", "links", "words_before", "links_before", "words_after", "li
 
 
 class Block:
-    __slots__ = ("text", "words", "linked", "tag", "boiler_tag", "name_at", "comment", "in_article", "content", "header", "label")
+    __slots__ = ("text", "words", "linked", "tag", "boiler_tag", "name_at", "comment", "in_article", "content", "header", "label", "form_at")
 
 
 class _Open:
-    __slots__ = ("tag", "boiler_tag", "name_at", "comment", "in_article", "content", "header", "label")
+    __slots__ = ("tag", "boiler_tag", "name_at", "comment", "in_article", "content", "header", "label", "form_at")
 
 
 def _opened(tag: str, raw: str, outer: _Open | None, at: int) -> _Open:
     o = _Open()
     o.tag = tag
-    for name, default in (("boiler_tag", False), ("name_at", -1), ("comment", False), ("in_article", False), ("content", False), ("header", False), ("label", None)):
+    for name, default in (("boiler_tag", False), ("name_at", -1), ("comment", False), ("in_article", False), ("content", False), ("header", False), ("label", None), ("form_at", -1)):
         setattr(o, name, getattr(outer, name) if outer is not None else default)
     attributes = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTRIBUTE.findall(raw)} if raw and not raw.isspace() else {}
     role = attributes.get("role", "").lower()
@@ -74,9 +75,12 @@ def _opened(tag: str, raw: str, outer: _Open | None, at: int) -> _Open:
         o.comment = True
     if main:
         o.in_article = True
+        o.form_at = -1
     elif words & BOILER_WORDS and o.name_at < 0:
         o.name_at = at
-    if tag in BOILER_TAGS or role in BOILER_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
+    if tag == "form" and not o.in_article:
+        o.form_at = at if o.form_at < 0 else o.form_at
+    elif tag in BOILER_TAGS or role in BOILER_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
         o.boiler_tag = True
     if tag == "header" or "header" in words:
         o.header = True
@@ -86,13 +90,25 @@ def _opened(tag: str, raw: str, outer: _Open | None, at: int) -> _Open:
     return o
 
 
+def _raw_end(page: str, tag: str, at: int) -> int:
+    """Where an element ends whose content is no text; elements of the same tag inside count, but for those that hold characters only."""
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?![\w:-])[^>]*(?:>|\Z)", re.I).finditer(page, at):
+        if m[1]:
+            depth -= 1
+        elif tag not in CHARACTER_TAGS and not m[0].endswith("/>"):
+            depth += 1
+        if not depth:
+            return m.end()
+    return len(page)
+
+
 def blocks(page: str) -> tuple[list[Block], dict[int, int]]:
     """The flat blocks of a page, and the unlinked words of each marked element by its number."""
     found: list[Block] = []
     stack: list[_Open] = []
     parts: list[tuple[str, bool]] = []
     link, number, at, n = False, 0, 0, len(page)
-    low = ""
 
     def end_block() -> None:
         nonlocal parts
@@ -107,7 +123,7 @@ def blocks(page: str) -> tuple[list[Block], dict[int, int]]:
         b.words = b.text.count(" ") + 1
         b.tag = stack[-1].tag if stack else "body"
         top = stack[-1] if stack else _opened("body", "", None, 0)
-        for name in ("boiler_tag", "name_at", "comment", "in_article", "content", "header", "label"):
+        for name in ("boiler_tag", "name_at", "comment", "in_article", "content", "header", "label", "form_at"):
             setattr(b, name, getattr(top, name))
         found.append(b)
 
@@ -146,10 +162,7 @@ def blocks(page: str) -> tuple[list[Block], dict[int, int]]:
             if tag in BLOCK_TAGS:
                 end_block()
             if not raw.rstrip().endswith("/"):
-                low = low or page.lower()
-                stop = low.find(f"</{tag}", at)
-                stop = n if stop < 0 else page.find(">", stop) + 1 or n
-                at = stop
+                at = _raw_end(page, tag, at)
         elif tag in BLOCK_TAGS:
             end_block()
             if tag in CLOSES_P:
@@ -172,8 +185,13 @@ def blocks(page: str) -> tuple[list[Block], dict[int, int]]:
     end_block()
     shares: dict[int, int] = {}
     for b in found:
-        if b.name_at >= 0:
-            shares[b.name_at] = shares.get(b.name_at, 0) + b.words - b.linked
+        for k in {b.name_at, b.form_at} - {-1}:
+            shares[k] = shares.get(k, 0) + b.words - b.linked
+    # some sites wrap the whole page in a form; only a form that holds less than half of its words is one
+    total = sum(b.words - b.linked for b in found)
+    for b in found:
+        if b.form_at >= 0 and 2 * shares[b.form_at] < total:
+            b.boiler_tag = True
     return found, shares
 
 

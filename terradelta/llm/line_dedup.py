@@ -1,10 +1,11 @@
 """Line dedup: lines within one word of an earlier line go, the earliest stays.
 
-A line is normalised to lower case with single spaces.  Lines of at least
-MIN_WORDS words are compared: equal ones always, and those of at least
-NEAR_WORDS words also if one inserted, deleted or replaced word turns one into
-the other (edit bound 1).  Order is (doc_id, line number); an occurrence goes
-if an earlier line, kept or not, is equal or within the bound.
+A line is normalised to lower case with single spaces.  All lines with a word are
+compared for equality.  The edit bound is one word in NEAR_WORDS, one word at
+most: lines of at least NEAR_WORDS words also go if one inserted, deleted or
+replaced word turns them into an earlier one; in shorter lines one word is too
+much of the line.  Order is (doc_id, hash of the text, line number); an occurrence
+goes if an earlier line, kept or not, is equal or within the bound.
 
 Plan, all of it DataFrame expressions:
 
@@ -28,11 +29,12 @@ Plan, all of it DataFrame expressions:
 Tables that two jobs need are stored in the shared folder; a side is broadcast
 only after its stored size has been checked.
 
-Edge cases: a null or empty text has no lines and comes back as it was; rows
-of one doc_id share their verdicts; a document left without a word is dropped
-by ``dedup`` (all it said stands earlier); an empty table gives an empty
-result; other columns pass through, whatever their names; lines under MIN_WORDS
-words are exempt, those under NEAR_WORDS words from the near step.
+Edge cases: a null or empty text has no lines and comes back as it was; rows of
+one doc_id with different texts are documents of their own, in the order of
+their hashes; repeated rows (same doc_id, same text) share their verdicts; rows
+without doc_id come first; a document left without a word is dropped by ``dedup``
+(all it said stands earlier); an empty table gives an empty result; other
+columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ from pyspark.sql import functions as F
 
 from terradelta.llm.common import GAP, small_or_not, stored
 
-MIN_WORDS = 3
+#: Words of a line from which on one edited word is within the bound.
 NEAR_WORDS = 8
 BLOCK = 64
 
@@ -56,11 +58,11 @@ def normalised(line: Column) -> Column:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, t, n, h): each compared line of docs(doc_id, text)."""
-    d = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "raw"))
-    d = d.select("doc_id", "at", normalised(F.col("raw")).alias("t"))
+    """(doc_id, copy, at, t, n, h): each line with a word of docs(doc_id, text); copy is a hash of the whole text."""
+    d = docs.select("doc_id", F.xxhash64("text").alias("copy"), F.posexplode(F.split("text", "\n", -1)).alias("at", "raw"))
+    d = d.select("doc_id", "copy", "at", normalised(F.col("raw")).alias("t"))
     d = d.withColumn("n", F.when(F.col("t") == "", 0).otherwise(1 + F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit("")))))
-    return d.where(F.col("n") >= MIN_WORDS).withColumn("h", F.xxhash64("t"))
+    return d.where(F.col("n") > 0).withColumn("h", F.xxhash64("t"))
 
 
 def _half(side: str, q: Column) -> Column:
@@ -119,8 +121,8 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").select(F.col("key").alias("shared"))
     shared = small_or_not(shared, "line-halves")
     some = keys.join(shared, F.col("key") == F.col("shared"), "left_semi").select("h").distinct().join(distinct, "h")
-    some = some.groupBy(F.col("first.doc_id").alias("id")).agg(F.collect_list(F.struct("h", "n", "first")).alias("some"))  # lines of one document
-    lines = docs.join(small_or_not(some, "line-some"), F.col("doc_id") == F.col("id")).select("some", F.split("text", "\n", -1).alias("raw"))
+    some = some.groupBy(F.col("first.copy").alias("id")).agg(F.collect_list(F.struct("h", "n", "first")).alias("some"))  # lines of one document
+    lines = docs.join(small_or_not(some, "line-some"), F.xxhash64("text") == F.col("id")).select("some", F.split("text", "\n", -1).alias("raw"))
     lines = lines.select(F.inline(F.transform("some", lambda x: F.struct(x["h"].alias("h"), x["n"].alias("n"), x["first"].alias("first"), F.get("raw", x["first"]["at"]).alias("line")))))
     lines = lines.select("h", "n", "first", normalised(F.col("line")).alias("t")).where(F.xxhash64("t") == F.col("h"))
     lines, _ = stored(lines.dropDuplicates(["h"]), "line-texts")
@@ -134,49 +136,53 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, near): the occurrences that go."""
+    """(doc_id, copy, at, near): the occurrences that go."""
     docs = docs.select("doc_id", "text")
     rows, _ = stored(_halves(line_rows(docs)).drop("t"), "line-rows")  # texts are normalised once
-    d = rows.groupBy("h", "n", "f0", "l0", "f1", "l1").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("c"))
+    d = rows.groupBy("h", "n", "f0", "l0", "f1", "l1").agg(F.min(F.struct("doc_id", "copy", "at")).alias("first"), F.count("*").alias("c"))
     distinct, _ = stored(d, "line-distinct")
     near, _ = stored(near_lines(docs, distinct).select(F.col("h").alias("nh")), "line-near")
     going = distinct.join(near, F.col("h") == F.col("nh"), "left").where("c > 1 or nh is not null")
     going = small_or_not(going.select(F.col("h").alias("gh"), F.col("n").alias("gn"), "first", F.col("nh").isNotNull().alias("near")), "line-going")
-    d = rows.select("doc_id", "at", "h", "n").join(going, (F.col("h") == F.col("gh")) & (F.col("n") == F.col("gn")))
-    return d.where(F.col("near") | (F.struct("doc_id", "at") != F.col("first"))).select("doc_id", "at", "near")
+    d = rows.select("doc_id", "copy", "at", "h", "n").join(going, (F.col("h") == F.col("gh")) & (F.col("n") == F.col("gn")))
+    return d.where(F.col("near") | ~F.struct("doc_id", "copy", "at").eqNullSafe(F.col("first"))).select("doc_id", "copy", "at", "near")
 
 
 def with_removed(docs: DataFrame) -> DataFrame:
-    """docs with _gone, the numbers of the lines that go (null: none), and _near, how many of these are near."""
-    gone = removed_lines(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("at").alias("_gone"), F.count_if("near").alias("_near"))
-    return docs.join(small_or_not(gone, "line-gone"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    """(row, doc_id, text, gone, near): row holds all columns of docs, gone the numbers of the lines that go (null: none), near how many of these are near."""
+    gone = removed_lines(docs).groupBy(F.col("doc_id").alias("id"), "copy").agg(F.collect_set("at").alias("gone"), F.countDistinct(F.when(F.col("near"), F.col("at"))).alias("near"))
+    d = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    d = d.join(small_or_not(gone, "line-gone"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("copy")), "left")
+    return d.select("row", "doc_id", "text", "gone", "near")
 
 
-def _left(lines: Column) -> Column:
-    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    return F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n")
+def _left() -> Column:
+    """The text without the lines that go."""
+    lines = F.split("text", "\n", -1)
+    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    return F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs without the lines that go and without documents that lose all words; n_chars follows, if there."""
-    d = with_removed(docs).withColumn("_lines", F.split("text", "\n", -1))
-    d = d.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(_left(F.col("_lines"))))
-    d = d.where(F.col("_gone").isNull() | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return d.select(*docs.columns)
+    d = with_removed(docs).select("row", "gone", _left().alias("left"))
+    d = d.where(F.col("gone").isNull() | F.col("left").rlike("[^\\x20\\x09-\\x0D]"))
+    own = {c: F.col("row")[c] for c in docs.columns}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("gone").isNull(), own["n_chars"]).otherwise(F.length("left")).cast(docs.schema["n_chars"].dataType)
+    own["text"] = F.col("left")
+    return d.select(*[c.alias(k) for k, c in own.items()])
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, those that go, the near ones of these, and the code points and hash of what is left."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    d = with_removed(docs).withColumn("_lines", F.split("text", "\n", -1))
-    d = d.withColumn("left", F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(_left(F.col("_lines"))))
+    d = with_removed(docs).withColumn("left", F.coalesce(_left(), F.lit("")))
     return d.select(
         "doc_id",
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("_near", F.lit(0)).cast("long").alias("n_near"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("near", F.lit(0)).cast("long").alias("n_near"),
         F.length("left").cast("long").alias("n_chars_left"),
         F.crc32(F.encode("left", "utf-8")).alias("left_crc32"),
     )

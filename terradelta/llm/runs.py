@@ -14,7 +14,7 @@ from itertools import chain
 import numpy as np
 
 #: Bytes of remembered runs in a worker, and what a run counts besides its characters and ids.
-REMEMBERED_BYTES, RUN_BYTES = 160 << 20, 180
+REMEMBERED_BYTES, RUN_BYTES = 112 << 20, 180
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -5,10 +5,9 @@ the strips or tiles of each, undoes PackBits, LZW or deflate and the
 horizontal predictor, and gives one 8-bit (or 16-bit) array per page.
 ``encode`` writes such files for texts: the UTF-8 bytes, padded with 255 to a
 positive multiple of 576, become grey rows of 576 samples, at most ROWS rows
-to a page.  Payloads of one row take PackBits, LZW, or LZW with the predictor,
-by their checksum; longer ones take deflate in strips, and every fourth of
-them deflate in tiles with the predictor.  The choice rests on the bytes alone,
-so equal texts give equal files.
+to a page.  PackBits, LZW, LZW with the predictor, deflate, and deflate in tiles
+with the predictor take turns by the payload's checksum, whatever its size, so
+equal texts give equal files.
 
 Nothing is shuffled: each file is written, read back and described in the task
 that read its row, one at a time.
@@ -43,6 +42,8 @@ NONE, LZW, ADOBE_DEFLATE, DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 IMAGE_WIDTH, IMAGE_LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
+#: Compression, predictor and tiles of the files that encode() writes.
+LAYOUTS = ((PACKBITS, 1), (LZW, 1), (LZW, 2), (ADOBE_DEFLATE, 1), (ADOBE_DEFLATE, 2, TILE))
 KINDS = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i"}
 
 
@@ -284,10 +285,8 @@ def payload(text: str | None) -> bytes:
 def encode(text: str | None) -> bytes:
     raw = np.frombuffer(payload(text), np.uint8).reshape(-1, WIDTH)
     check = zlib.crc32(raw.tobytes())
-    if len(raw) == 1:
-        return write([raw], *((PACKBITS, 1), (LZW, 1), (LZW, 2))[check % 3])
     images = [raw[a : a + ROWS] for a in range(0, len(raw), ROWS)]
-    return write(images, ADOBE_DEFLATE, 2, TILE) if check % 4 == 0 else write(images, ADOBE_DEFLATE)
+    return write(images, *LAYOUTS[check % len(LAYOUTS)])
 
 
 def feature(images: list[np.ndarray]) -> str:

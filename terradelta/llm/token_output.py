@@ -183,7 +183,8 @@ def write_tokens(docs: DataFrame, where: str, tokenizer: str | None = None, row_
         "parquet.dictionary.page.size": str(1 << 20),
         "parquet.block.size": str(row_group_bytes),
         "parquet.page.size": str(page_bytes),
-        "compression": "lz4_raw",
+        "compression": "zstd",
+        "parquet.compression.codec.zstd.level": "1",
     }
     d.write.options(**options).parquet(where)
 

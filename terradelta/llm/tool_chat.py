@@ -6,9 +6,10 @@ from messages.  ``link`` joins both by (conv_id, call_id), both sides reduced
 to one row per identifier before: the earliest call, and the earliest result
 that follows it.  Order: calls of an earlier turn come first; within a turn, a
 call comes after those it refers to (``after``, or "$id" in its arguments).
-Levels within a turn grow round by round, at most as many rounds as one message
-has calls; calls on a cycle have no level, and a reference to a later turn or
-an unknown call is an error.
+Levels within a turn grow round by round: each round peels the calls all of whose
+references have a level, so there are as many rounds as the longest chain has
+calls; what is never peeled hangs on a cycle and has no level.  A reference to a
+later turn or an unknown call is an error.
 
 Arguments are parsed as variants and held against a schema table
 (name, field, type, required): errors name missing, unknown and wrongly typed
@@ -66,20 +67,18 @@ def ordered(calls: DataFrame) -> DataFrame:
     one = one.join(bad, ["conv_id", "call_id"], "left").withColumn("bad_refs", F.coalesce("bad_refs", F.lit(0)))
     if inner.isEmpty():
         return one.withColumn("level", F.lit(0).cast("long"))
-    nodes = one.join(inner.select("conv_id", "call_id").union(inner.select("conv_id", "dep")).distinct(), ["conv_id", "call_id"], "left_semi").select("conv_id", "call_id", "turn")
-    most = nodes.groupBy("conv_id", "turn").agg(F.count("*").alias("c"))
-    level = nodes.select("conv_id", "call_id", F.lit(0).cast("long").alias("level"))
-    rounds = most.agg(F.max("c")).first()[0]
-    for _ in range(rounds):
-        up = inner.join(level.withColumnRenamed("call_id", "dep"), ["conv_id", "dep"]).groupBy("conv_id", "call_id").agg((F.max("level") + 1).alias("up"))
-        new = level.join(up, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.coalesce("up", F.lit(0)).cast("long").alias("new"), "level")
-        new, _ = stored(new, "chat-level")
-        level = new.select("conv_id", "call_id", F.col("new").alias("level"))
-        if new.where("new <> level").isEmpty():
+    own = ["conv_id", "call_id"]
+    level, _ = stored(one.select(*own).join(inner, own, "left_anti").withColumn("level", F.lit(0).cast("long")), "chat-level")
+    last, waiting, k = level, inner, 0
+    while not waiting.isEmpty():
+        k += 1
+        met = last.select("conv_id", F.col("call_id").alias("dep"))
+        left, _ = stored(waiting.join(met, ["conv_id", "dep"], "left_anti"), "chat-waiting")
+        last, _ = stored(waiting.select(*own).distinct().join(left, own, "left_anti").withColumn("level", F.lit(k).cast("long")), "chat-level")
+        if last.isEmpty():
             break
-    level = level.join(nodes, ["conv_id", "call_id"]).join(most, ["conv_id", "turn"]).select("conv_id", "call_id", F.when(F.col("level") < F.col("c"), F.col("level")).alias("level"), F.lit(True).alias("inner"))
-    out = one.join(level, ["conv_id", "call_id"], "left")
-    return out.withColumn("level", F.when(F.col("inner").isNull(), F.lit(0).cast("long")).otherwise(F.col("level"))).drop("inner")
+        level, waiting = level.unionByName(last), left
+    return one.join(level, own, "left")
 
 
 def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -126,32 +125,64 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     return d.select("conv_id", "call_id", "turn", "level", "status", "result_turn", "errors", json.alias("json"))
 
 
-#: The conversations hold no tool calls: a user's turn is taken as a call of ``reply``, the next turn as its result.
-REPLY = [("reply", "text", "string", True), ("reply", "turn", "integer", True)]
+#: Tools of the stand-in calls; ``note`` is none of them.
+TOOLS = [("reply", "text", "string", True), ("reply", "turn", "integer", True), ("score", "of", "string", True), ("score", "weight", "number", True)]
+
+
+def stand_ins(m: DataFrame) -> DataFrame:
+    """Messages with tool calls and results, (conv_id, turn, role, text), from plain ones.
+
+    The conversations hold none, so a user's turn makes two calls: a ``reply`` and a
+    ``score`` that refers to it.  The next assistant's turn answers these.  All other
+    roles but ``tool`` make a call of ``note``.  By the number of the conversation some
+    calls refer to each other, to a later turn or an unknown call, have a field
+    that the tool doesn't know or one of the wrong type, stay without a result, or
+    have two results.
+    """
+    name = lambda turn, kind: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"), F.lit(kind))
+    k, turn, text = F.col("conv_id"), F.col("turn"), F.col("text")
+    none = F.array().cast("array<string>")
+    json = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
+    call = lambda i, n, a, after: F.struct(i.alias("id"), F.lit(n).alias("name"), a.alias("arguments"), after.alias("after"))
+    reply = call(name(turn, "a"), "reply", json(F.struct("text", "turn")), F.when(k % 5 == 2, F.array(name(turn, "b"))).otherwise(none))
+    of = F.concat(F.lit("$"), name(turn, "a")).alias("of")
+    plain, heavy = json(F.struct(of, turn.alias("weight"))), json(F.struct(of, F.lit("heavy").alias("weight")))
+    arguments = F.when(turn % 3 == 0, heavy).otherwise(plain)
+    arguments = F.when(k % 4 == 1, F.concat(F.lit('{"extra":true,'), F.substring(arguments, 2, 1 << 20))).otherwise(arguments)
+    score = call(name(turn, "b"), "score", arguments, F.when(k % 7 == 3, F.array(name(turn + 2, "a"))).otherwise(none))
+    note = call(name(turn, "n"), "note", json(F.struct("text")), none)
+    made = F.when(F.col("role") == "user", F.array(reply, score)).when(~F.col("role").isin("assistant", "tool"), F.array(note))
+    calls = m.select("conv_id", "turn", F.lit("assistant").alias("role"), F.when(made.isNotNull(), F.to_json(F.struct(made.alias("tool_calls")))).alias("text")).where("text is not null")
+    result = lambda kind, c: F.struct(name(turn - 1, kind).alias("tool_call_id"), c.alias("content"))
+    results = F.concat(F.array(result("a", text)), F.when(k % 3 != 1, F.array(result("b", F.length(text).cast("string")))).otherwise(F.array()), F.when(k % 6 == 5, F.array(result("a", F.lit("~ again")))).otherwise(F.array()))
+    answers = m.where("role = 'assistant'").select("conv_id", "turn", F.lit("tool").alias("role"), F.explode(results).alias("r"))
+    return calls.unionByName(answers.select("conv_id", "turn", "role", F.to_json("r").alias("text")))
 
 
 def op7_tool_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tool calls and results of the table; every user turn as a call named by its place, every other assistant turn as the result of the turn before it."""
+    """Tool calls and results of the table, and those that its plain turns stand for."""
     m = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
-    name = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
-    users = m.where("role = 'user'").select("conv_id", "turn", name(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct("text", "turn"), {"ignoreNullFields": "false"}).alias("arguments"), F.array().cast("array<string>").alias("after"))
-    # an assistant's tool calls and a tool's results are read as such; only the other turns are stand-ins
-    plain = F.coalesce(F.size(F.from_json("text", CALLS)["tool_calls"]), F.lit(0)) <= 0
-    answers = m.where("role = 'assistant'").where(plain | ~F.col("text").rlike("^ *\\{")).select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
-    users, answers = users.unionByName(calls_of(m)), answers.unionByName(results_of(m))
-    schemas = spark.createDataFrame(REPLY, SCHEMA)
-    d = link(users, answers, schemas)
+    real = F.coalesce(F.size(F.from_json("text", CALLS)["tool_calls"]), F.lit(0)) > 0
+    real = (F.col("role") == "assistant") & F.coalesce(F.startswith(F.ltrim("text"), F.lit("{")) & real, F.lit(False))
+    messages = m.where(real | (F.col("role") == "tool")).unionByName(stand_ins(m.where(~F.coalesce(real, F.lit(False)))))
+    d = link(calls_of(messages), results_of(messages), spark.createDataFrame(TOOLS, SCHEMA))
     return d.select("conv_id", "call_id", "turn", "level", "status", "result_turn", F.size("errors").cast("long").alias("n_errors"), "json")
 
 
 ORACLE = """
-with u as (select conv_id, min(struct_pack(turn := turn::bigint, text := text)) c from conversations where role = 'user' and conv_id is not null group by conv_id, turn),
-a as (select conv_id, turn - 1 as turn, min(struct_pack(turn := turn::bigint, text := text)) r from conversations where role = 'assistant' and conv_id is not null group by conv_id, turn),
-j as (select coalesce(u.conv_id, a.conv_id) conv_id, coalesce(u.c.turn, a.turn) t, u.c, a.r from u full join a on u.conv_id = a.conv_id and u.c.turn = a.turn)
-select conv_id, conv_id || ':' || t as call_id, c.turn as turn, case when c is not null then 0::bigint end as level,
-case when c is null then 'orphan' when r is null then 'unanswered' else 'answered' end as status, r.turn as result_turn,
-case when c is not null and c.text is null then 1::bigint else 0::bigint end as n_errors,
-'{"arguments":' || case when c is null then 'null' else json_object('text', c.text, 'turn', c.turn)::varchar end || ',"content":' || coalesce(to_json(r.text)::varchar, 'null')
-|| ',"id":' || to_json(conv_id || ':' || t)::varchar || ',"name":' || case when c is null then 'null' else '"reply"' end || '}' as json
+with m as (select conv_id, turn::bigint turn, role, text from conversations where conv_id is not null),
+c as (select conv_id, turn, 'a' kind, 'reply' as name, json_object('text', text, 'turn', turn)::varchar args, case when text is null then 1 else 0 end + case when conv_id % 5 = 2 then 1 else 0 end errors, case when conv_id % 5 <> 2 then 0 end lv from m where role = 'user'
+union all select conv_id, turn, 'b', 'score', '{' || case when conv_id % 4 = 1 then '"extra":true,' else '' end || '"of":"$' || conv_id || ':' || turn || ':a","weight":' || case when turn % 3 = 0 then '"heavy"' else turn::varchar end || '}',
+case when conv_id % 4 = 1 then 1 else 0 end + case when turn % 3 = 0 then 1 else 0 end + case when conv_id % 7 = 3 then 1 else 0 end + case when conv_id % 5 = 2 then 1 else 0 end, case when conv_id % 5 <> 2 then 1 end from m where role = 'user'
+union all select conv_id, turn, 'n', 'note', json_object('text', text)::varchar, 1, 0 from m where role not in ('user', 'assistant', 'tool')),
+u as (select conv_id, turn, kind, min(struct_pack(name := name, args := args, errors := errors, lv := lv)) c from c group by all),
+r as (select conv_id, turn - 1 as turn, 'a' kind, turn rt, text content from m where role = 'assistant'
+union all select conv_id, turn - 1, 'b', turn, length(text)::varchar from m where role = 'assistant' and conv_id % 3 <> 1
+union all select conv_id, turn - 1, 'a', turn, '~ again' from m where role = 'assistant' and conv_id % 6 = 5),
+f as (select conv_id, turn, kind, min(struct_pack(rt := rt, content := content)) r from r group by all),
+j as (select conv_id, turn t, kind, u.c, f.r, u.conv_id is not null has from u full join f using (conv_id, turn, kind))
+select conv_id, conv_id || ':' || t || ':' || kind as call_id, case when c is not null then t end as turn, c.lv::bigint as level,
+case when c is null then 'orphan' when r is null then 'unanswered' else 'answered' end as status, r.rt as result_turn, case when c is null then 0 else c.errors end::bigint as n_errors,
+'{"arguments":' || coalesce(c.args, 'null') || ',"content":' || coalesce(to_json(r.content)::varchar, 'null') || ',"id":' || to_json(conv_id || ':' || t || ':' || kind)::varchar || ',"name":' || coalesce('"' || c.name || '"', 'null') || '}' as json
 from j
 """

@@ -46,3 +46,15 @@ def test_odd_input(spark):
     assert sorted((tuple(r) for r in h.extract(pages).collect()), key=str) == sorted([(1, "u", "hello world", 11)] * 2 + [(None, None, "", 0)], key=str)
     assert h.extract(pages.limit(0)).count() == 0
     assert re.fullmatch("page_id,url,text,n_chars", ",".join(h.extract(pages).columns))
+
+
+def test_offsets_forms_and_nested_raw_elements():
+    tree = h.grow(*h.labelled_blocks())
+    text = "real text here that goes on for a good while " * 12
+    assert h.main_text("\u0130" * 30 + f"<script>x</script><p>{text}</p>", tree).endswith(text.strip())
+    page = f"<form><nav><a href=/>Home</a></nav><div id=content><h1>Some title here</h1><p>{text}</p></div></form>"
+    assert text.strip() in h.main_text(page, tree) and "Home" not in h.main_text(page, tree)
+    page = f"<form><article><p>{text}</p></article><p>search terms <input></p></form>"
+    assert text.strip() in h.main_text(page, tree)
+    assert "LEAK" not in h.main_text(f"<article><svg><svg>..</svg><text>LEAK</text></svg><p>{text}</p></article>", tree)
+    assert "LEAK" not in h.main_text(f"<article><script>if (a) '<script>'</script><p>{text}</p></article>", tree)

@@ -20,7 +20,7 @@ def brute(rows):
     for doc, text in sorted(rows, key=lambda r: r[0]):
         for at, line in enumerate((text or "").split("\n") if text is not None else []):
             w = re.sub("[\x20\x09-\x0d]+", " ", line.lower()).strip(" ").split(" ")
-            if len(w) < line_dedup.MIN_WORDS:
+            if w == [""]:
                 continue
             if any(v == w or len(w) >= line_dedup.NEAR_WORDS and len(v) >= line_dedup.NEAR_WORDS and apart(v, w) for v in seen):
                 gone.setdefault(doc, set()).add(at)
@@ -61,7 +61,7 @@ def test_dedup_keeps_rows_and_columns(spark):
     rows = [(2, "one two three four", "x", 18, 1), (1, "ONE  two three four\nrest stays here", "x", 35, 2), (3, None, "y", 0, 3), (4, "", "y", 0, 4), (5, "hi", "y", 2, 5), (6, "hi", "y", 2, 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, h string, n_chars long, at int")
     got = {r.doc_id: r for r in line_dedup.dedup(docs).collect()}
-    assert sorted(got) == [1, 3, 4, 5, 6] and line_dedup.dedup(docs).columns == docs.columns
+    assert sorted(got) == [1, 3, 4, 5] and line_dedup.dedup(docs).columns == docs.columns
     assert got[1].text == rows[1][1] and got[3].text is None and got[4].at == 4
     assert line_dedup.dedup(docs.limit(0)).count() == 0
 
@@ -74,3 +74,13 @@ def test_prefix_xor_over_blocks(spark):
         for v in values:
             want.append(want[-1] ^ v)
         assert got == want
+
+
+def test_rows_are_documents(spark):
+    rows = [(0, "a line that is there first of all lines"), (1, "a line that is there first of all lines"), (1, "totally unique line text"), (None, "no name has this text\na LINE that is there first of all lines"), (None, "no name has this text"), (2, "totally  unique line text\nmore"), (3, "same\nrow"), (3, "same\nrow")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, gone int, near int, row int, left int").repartition(3)
+    got = line_dedup.dedup(docs)
+    assert got.columns == docs.columns and all(tuple(r)[2:] == (1, 2, 3, 4) for r in got.collect())
+    texts = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert (1, "totally unique line text") in texts and (2, "more") in texts and texts.count((3, "same\nrow")) == 2
+    assert sum("first of all lines" in t for _, t in texts) == 1 and sum("no name" in t for _, t in texts) == 1
