@@ -7,20 +7,29 @@ the token before the first word is the end token.
 Training, on the documents that are not held out:
 
 1. Counts of all tokens, combined before the shuffle and stored: this table
-   grows with the corpus and is never collected.
-2. Exchange clustering.  Units are the UNITS most frequent words, ENDINGS
-   groups of all other words by their last three bytes, and the end token.
-   Each task counts unit bigrams in one matrix of fixed size; the sum of these
-   goes to the driver, where words move between CLASSES classes, most frequent
-   first, each to the class that raises the likelihood most, until a pass moves
-   nothing.  The end token keeps a class of its own.
-3. Emissions: (c + 1) / (N_k + V_k + 1) for a token of class k, where the one
-   in the sum stands for all unseen words of that class; transitions are
-   shrunk to the class frequencies.  Both sum to one.
-
-Scoring is one pass over the texts.  Counts of the HEAD most frequent words
-(a bound, not a cut) are broadcast; each text's other words are joined with the
-stored counts by word.  All such words are rare, so no key is hot.
+   grows with the corpus and is never collected.  The HEAD most frequent words or
+   fewer (a level of counts, found from a histogram of at most 64 * STEPS rows)
+   come to the driver; HEAD bounds this.
+2. Each text is turned into numbers once and stored: the WORDS most frequent
+   words have numbers of their own, all others are RARE.
+3. Exchange clustering.  The bigrams of the UNITS most frequent words, of RARE and of the
+   end token give a first clustering on the driver, until a pass moves nothing.
+   Then all WORDS words are exchanged in rounds: tasks count for every word the
+   classes before and after it, the sums stay in Spark, and each word is held
+   against the fixed class bigrams for the class that raises the likelihood
+   most.  In the first round all words without a class take one, later in each
+   round every other word may move, as all move at once.  Rounds end when the
+   likelihood gains less than LEAST of itself, or falls (then the round is taken
+   back), or after ROUNDS.  RARE and the end token have a class each; no word's
+   class is taken from its spelling.  The driver holds class bigrams and a class per
+   word.
+4. Emissions: (c + 1) / (N_k + V_k + 1) for a token of class k, with the count of
+   the word itself, rare or not; the one in the sum stands for all unseen words of
+   that class.  Transitions are shrunk to the class frequencies.  Both sum to one.
+
+Scoring is one pass over the numbers.  Words below HEAD are joined with the
+stored counts by word.  All such words are rare, so no key is hot.  perplexity is
+10 ** (-score / n_tokens).
 
 Edge cases: a null or empty text is one end token; a null doc_id counts as
 training; repeated rows are scored each; without training documents every
@@ -38,13 +47,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terradelta.llm.common import GAP, ascii_lower, stored
+from terradelta.llm.common import GAP, ascii_lower, ship, stored
 
-UNITS, ENDINGS, CLASSES, HEAD = 640, 255, 64, 150_000
-SIZE = UNITS + ENDINGS + 1
-END = SIZE - 1
+HEAD, WORDS, UNITS, CLASSES = 150_000, 65_534, 640, 64
+RARE, END = WORDS, WORDS + 1
+FREE = CLASSES - 2  # the last classes are those of RARE and END
 SHRINK = 5.0
-PASSES = 12
+ROUNDS, LEAST = 6, 2e-4
+STEPS = 16
+#: Pieces of a task's counts, and how many are put together in one go.
+PARTS, TOGETHER = 32, 64
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -52,16 +64,6 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
 
 
-class Ending(dict):
-    """Unit of a word that is not among the most frequent, by its last three bytes."""
-
-    def __missing__(self, tail: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[tail] = unit = UNITS + zlib.crc32(tail) % ENDINGS
-        return unit
-
-
 def held_out(doc_id):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 7 == 2, F.lit(False))
 
@@ -72,55 +74,166 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return w.groupBy("word").agg(F.count("*").alias("c"))
 
 
-def _bigrams(top):
+def head_words(counts: DataFrame, head: int) -> list[tuple[str, int]]:
+    """(word, c) of the most frequent words, at most head: all above a level of counts."""
+    level = F.floor(F.log2("c") * STEPS).cast("int")
+    sizes = counts.groupBy(level.alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("l")).collect()  # at most 64 * STEPS rows
+    least, n = None, 0
+    for r in sizes:
+        n += r["n"]
+        if n > head:
+            break
+        least = r["l"]
+    if least is None:
+        return []
+    rows = counts.where(level >= least).collect()  # at most head rows
+    return sorted(((r["word"], r["c"]) for r in rows), key=lambda x: (-x[1], x[0].encode()))
+
+
+def _numbered(shared):
+    """Texts as numbers, with what their words' counts give."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, ending = {w: i for i, w in enumerate(top.value)}, Ending()
-        total = np.zeros(SIZE * SIZE, np.int64)
-        hold: list[int] = [END]
+        from pyspark import TaskContext
+
+        head = shared.value
+        index = {w.encode(): i for i, (w, _) in enumerate(head)}
+        logs = np.log10(np.array([c for _, c in head] + [0], np.float64) + 1)
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
+            out: list[list] = [[] for _ in range(6)]
             for text in batch.column("text"):
-                hold += [u if (u := unit.get(w)) is not None else ending[w[-3:]] for w in tokens(text.as_py())]
-                hold.append(END)
-                if len(hold) > 1_000_000:
-                    u = np.array(hold)
-                    total += np.bincount(u[:-1] * SIZE + u[1:], minlength=len(total))
-                    hold = [END]
-        u = np.array(hold)
-        total += np.bincount(u[:-1] * SIZE + u[1:], minlength=len(total))
-        for p, rows in enumerate(np.split(total.reshape(SIZE, SIZE), 8)):
-            if rows.any():
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([zlib.compress(rows.astype("<i8").tobytes(), 1)], pa.binary())], names=["part", "counts"])
+                words = tokens(text.as_py())
+                at = np.array([index.get(w, -1) for w in words], np.int64)
+                rest = [words[i] for i in np.flatnonzero(at < 0).tolist()]
+                units = np.where((at < 0) | (at >= WORDS), RARE, at).astype("<u2").tobytes()
+                values = (row, len(words) + 1, len(words) - len(rest), float(logs[at[at >= 0]].sum()), units, rest)
+                row += 1
+                for column, value in zip(out, values, strict=True):
+                    column.append(value)
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary())]
+            arrays = [pa.array(c, t) for c, t in zip(out, types, strict=True)]
+            arrays[-1] = arrays[-1].cast(pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", "row", "n_tokens", "known", "logs", "units", "rest"])
 
     return run
 
 
+def _paths(batches: Iterator[pa.RecordBatch], size: int = 2_000_000) -> Iterator[np.ndarray]:
+    """Units of many texts with an end token before, between and after them."""
+    hold, n, end = [], 0, np.array([END], "<u2").tobytes()
+    for batch in batches:
+        for x in batch.column("units"):
+            x = x.as_py()
+            hold += [end, x]
+            n += len(x) // 2 + 1
+            if n > size:
+                yield np.frombuffer(b"".join([*hold, end]), "<u2").astype(np.int64)
+                hold, n = [], 0
+    if hold:
+        yield np.frombuffer(b"".join([*hold, end]), "<u2").astype(np.int64)
+
+
+def _pieces(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    for p, rows in enumerate(np.array_split(total, PARTS)):
+        if rows.any():
+            raw = zlib.compress(np.ascontiguousarray(rows, "<i8").tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([raw], pa.binary())], names=["part", "task", "counts"])
+
+
 def _add(table: pa.Table) -> pa.Table:
-    total = np.zeros(SIZE * SIZE // 8, np.int64)
+    total = None
     for x in table["counts"]:
-        total += np.frombuffer(zlib.decompress(x.as_py()), "<i8")
-    return pa.table({"part": table["part"].slice(0, 1).combine_chunks().cast(pa.int32()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+        piece = np.frombuffer(zlib.decompress(x.as_py()), "<i8")
+        total = piece.copy() if total is None else total + piece
+    return pa.table({"part": table["part"].slice(0, 1).combine_chunks(), "task": table["task"].slice(0, 1).combine_chunks(), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+
+SCHEMA = "part int, task long, counts binary"
+
+
+def summed(pieces: DataFrame, name: str) -> DataFrame:
+    """One row per part, stored; TOGETHER pieces at most are added in one go, whatever the number of tasks."""
+    d, _ = stored(pieces, name)
+    tasks = (d.agg(F.max("task")).first()[0] or 0) + 1
+    while tasks > 1:
+        d = d.withColumn("task", F.floor(F.col("task") / TOGETHER).cast("long")).groupBy("part", "task").applyInArrow(_add, SCHEMA)
+        tasks = -(-tasks // TOGETHER)
+    return stored(d, name)[0]
+
+
+def _unit_bigrams(units: int):
+    """Bigrams of the first units, RARE (all others) and END."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, total = units + 2, np.zeros((units + 2) ** 2, np.int64)
+        for u in _paths(batches):
+            u = np.where(u == END, units + 1, np.minimum(u, units))
+            total += np.bincount(u[:-1] * size + u[1:], minlength=len(total))
+        yield from _pieces(total.reshape(size, size))
+
+    return run
+
+
+def _contexts(of):
+    """Per word: classes before it, classes after it, and how often it follows itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, width = of.value, 2 * CLASSES + 1
+        total = np.zeros((WORDS + 2) * width, np.int64)
+        for u in _paths(batches):
+            k = classes[u]
+            for keys in (u[1:] * width + k[:-1], u[:-1] * width + CLASSES + k[1:], u[:-1][u[:-1] == u[1:]] * width + 2 * CLASSES):
+                found, n = np.unique(keys, return_counts=True)
+                total[found] += n
+        yield from _pieces(total.reshape(WORDS + 2, width))
+
+    return run
 
 
 def _xlog(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(bigrams: np.ndarray, classes: int, fixed: int | None = None, passes: int = PASSES) -> np.ndarray:
-    """Class of each unit; the unit ``fixed`` has the last class to itself."""
-    n, free = len(bigrams), classes - (fixed is not None)
+def likelihood(c: np.ndarray) -> float:
+    """What of the log likelihood depends on the classes, from their bigrams."""
+    return float(_xlog(c).sum() - _xlog(c.sum(0)).sum() - _xlog(c.sum(1)).sum())
+
+
+def gains(c: np.ndarray, left: np.ndarray, right: np.ndarray, self_: float) -> np.ndarray:
+    """How much the likelihood grows when a word without class joins each class.
+
+    c: class bigrams without the word; left, right: how often it follows and
+    precedes each class, without itself; self_: how often it follows itself.
+    """
+    rows, columns = c.sum(1) + left, c.sum(0) + right  # what the neighbours' classes have whatever the word's class
+    gain = (_xlog(c + left[:, None]) - _xlog(c)).sum(0) + (_xlog(c + right[None, :]) - _xlog(c)).sum(1)
+    d = np.diag(c)
+    gain += _xlog(d + left + right + self_) + _xlog(d) - _xlog(d + left) - _xlog(d + right)
+    gain -= _xlog(rows + right.sum() + self_) - _xlog(rows) + _xlog(columns + left.sum() + self_) - _xlog(columns)
+    return gain
+
+
+def exchange(bigrams: np.ndarray, classes: int, fixed: dict[int, int] | None = None) -> np.ndarray:
+    """Class of each unit; fixed units keep their classes to themselves.  Ends when a pass moves nothing."""
+    fixed = fixed or {}
+    n, free = len(bigrams), classes - len(fixed)
     b = bigrams.astype(np.float64)
     weight = b.sum(0) + b.sum(1)
-    order = [int(i) for i in np.lexsort((np.arange(n), -weight)) if i != fixed]
+    order = [int(i) for i in np.lexsort((np.arange(n), -weight)) if i not in fixed]
     of = np.zeros(n, np.int64)
     for rank, i in enumerate(order):
         of[i] = rank % free
-    if fixed is not None:
-        of[fixed] = classes - 1
+    for i, k in fixed.items():
+        of[i] = k
     one = np.zeros((n, classes))
     one[np.arange(n), of] = 1
     c = one.T @ b @ one
-    for _ in range(passes):
-        moved = 0
+    moved = True
+    while moved:
+        moved = False
         for i in order:
             if not weight[i]:
                 continue
@@ -130,119 +243,152 @@ def exchange(bigrams: np.ndarray, classes: int, fixed: int | None = None, passes
             c[:, old] -= left
             c[old] -= right
             c[old, old] -= self_
-            rows, columns = c.sum(1), c.sum(0)
-            gain = (_xlog(c + left[:, None]) - _xlog(c)).sum(0) + (_xlog(c + right[None, :]) - _xlog(c)).sum(1)
-            d = np.diag(c)
-            gain += _xlog(d + left + right + self_) + _xlog(d) - _xlog(d + left) - _xlog(d + right)
-            gain -= _xlog(rows + right.sum() + self_) - _xlog(rows) + _xlog(columns + left.sum() + self_) - _xlog(columns)
+            gain = gains(c, left, right, self_)
             new = int(gain[:free].argmax())
-            if gain[new] <= gain[old] + 1e-9:
+            if gain[new] <= gain[old] + 1e-7 * (1 + abs(gain[old])):
                 new = old
             one[i, new] = 1
             c[:, new] += left
             c[new] += right
             c[new, new] += self_
             of[i] = new
-            moved += new != old
-        if not moved:
-            break
+            moved |= new != old
     return of
 
 
-def _class_sizes(top, of):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, ending, classes = {w: i for i, w in enumerate(top.value)}, Ending(), of.value
-        for batch in batches:
-            words = batch.column("word").cast(pa.binary()).to_pylist()
-            k = classes[np.array([u if (u := unit.get(w)) is not None else ending[w[-3:]] for w in words], np.int64)] if words else np.zeros(0, np.int64)
-            c = batch.column("c").to_numpy()
-            n = np.bincount(k, weights=c, minlength=CLASSES).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(n), pa.array(np.bincount(k, minlength=CLASSES).astype(np.int64))], names=["k", "n", "v"])
+def _class_bigrams(of):
+    """(part, counts): class bigrams from the words of one part."""
+
+    def run(table: pa.Table) -> pa.Table:
+        p = table["part"][0].as_py()
+        words = np.array_split(np.arange(WORDS + 2), PARTS)[p]
+        x = np.frombuffer(zlib.decompress(table["counts"][0].as_py()), "<i8").reshape(len(words), -1)
+        c = np.zeros((CLASSES, CLASSES), np.int64)
+        np.add.at(c, of.value[words], x[:, CLASSES : 2 * CLASSES])
+        return pa.table({"part": pa.array([p], pa.int32()), "counts": pa.array([c.astype("<i8").tobytes()], pa.binary())})
+
+    return run
+
+
+def _moved(of, bigrams, turn: int):
+    """(part, classes): new classes of one part's words, each held against the same class bigrams."""
+
+    def run(table: pa.Table) -> pa.Table:
+        p = table["part"][0].as_py()
+        words = np.array_split(np.arange(WORDS + 2), PARTS)[p]
+        x = np.frombuffer(zlib.decompress(table["counts"][0].as_py()), "<i8").reshape(len(words), -1).astype(np.float64)
+        new = of.value[words].copy()
+        for i, w in enumerate(words.tolist()):
+            old = new[i]
+            if w >= WORDS or not x[i].any() or (turn and old < FREE and (w + turn) % 2):
+                continue
+            left, right, self_ = x[i, :CLASSES].copy(), x[i, CLASSES : 2 * CLASSES].copy(), x[i, -1]
+            left[old] -= self_
+            right[old] -= self_
+            c = bigrams.value.astype(np.float64)
+            c[:, old] -= left
+            c[old] -= right
+            c[old, old] -= self_
+            gain = gains(c, left, right, self_)
+            best = int(gain[:FREE].argmax())
+            if old >= FREE or gain[best] > gain[old] + 1e-7 * (1 + abs(gain[old])):
+                new[i] = best
+        return pa.table({"part": pa.array([p], pa.int32()), "classes": pa.array([new.astype("u1").tobytes()], pa.binary())})
 
     return run
 
 
+def _by_part(d: DataFrame, f, schema: str, column: str) -> dict[int, bytes]:
+    return {r["part"]: r[column] for r in d.groupBy("part").applyInArrow(f, schema).collect()}  # PARTS rows of fixed size
+
+
 class Model:
-    """What scoring needs: head counts, classes, and logarithms of transitions and class sizes."""
+    """What scoring needs: classes, and logarithms of transitions and class sizes."""
 
-    def __init__(self, spark: SparkSession, counts: DataFrame, train: DataFrame):
-        head = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()  # at most HEAD rows
-        self.head = [(r["word"].encode(), r["c"]) for r in head]
+    def __init__(self, spark: SparkSession, counts: DataFrame, head: list[tuple[str, int]], texts: DataFrame):
+        """texts(units): the numbered training texts."""
+        send = spark.sparkContext.broadcast
         totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-        top = spark.sparkContext.broadcast([w for w, _ in self.head[:UNITS]])
-        b = np.zeros((8, SIZE * SIZE // 8), np.int64)
-        for r in train.select("text").mapInArrow(_bigrams(top), "part int, counts binary").groupBy("part").applyInArrow(_add, "part int, counts binary").collect():
-            b[r["part"]] = np.frombuffer(r["counts"], "<i8")  # 8 rows of fixed size
-        b = b.reshape(SIZE, SIZE)
-        self.ends = int(b[END].sum())
+        self.ends = texts.count()
         self.n, self.v = totals["n"] + self.ends, totals["v"] + (self.ends > 0)
-        self.of = exchange(b, CLASSES, END)
-        one = np.zeros((SIZE, CLASSES))
-        one[np.arange(SIZE), self.of] = 1
-        c = one.T @ b @ one
+        units = min(UNITS, len(head))
+        b = np.zeros((units + 2, units + 2), np.int64)
+        for r in summed(texts.mapInArrow(_unit_bigrams(units), SCHEMA), "lm-units").collect():  # PARTS rows of fixed size
+            rows = np.array_split(np.arange(units + 2), PARTS)[r["part"]]
+            b[rows] = np.frombuffer(zlib.decompress(r["counts"]), "<i8").reshape(len(rows), -1)
+        self.of = np.full(WORDS + 2, FREE, np.int64)
+        self.of[:units] = exchange(b, CLASSES, {units: FREE, units + 1: FREE + 1})[:units]
+        self.of[END] = FREE + 1
+        self.gained: list[float] = []
+        kept = None
+        for turn in range(ROUNDS + 1):
+            of = send(self.of)
+            seen = summed(texts.mapInArrow(_contexts(of), SCHEMA), "lm-contexts")
+            c = np.zeros((CLASSES, CLASSES), np.int64)
+            for raw in _by_part(seen, _class_bigrams(of), "part int, counts binary", "counts").values():
+                c += np.frombuffer(raw, "<i8").reshape(CLASSES, CLASSES)
+            now = likelihood(c.astype(np.float64))
+            self.gained.append(now)
+            if kept is not None and turn > 1 and now <= kept[0] + LEAST * abs(kept[0]):
+                if now < kept[0]:
+                    _, self.of, c = kept
+                break
+            kept = (now, self.of, c)
+            if turn == ROUNDS or not len(head):
+                break
+            new = self.of.copy()
+            for part, raw in _by_part(seen, _moved(of, send(c), turn), "part int, classes binary", "classes").items():
+                new[np.array_split(np.arange(WORDS + 2), PARTS)[part]] = np.frombuffer(raw, "u1")
+            self.of = new
+        self.bigrams = c
         prior = (c.sum(0) + 1) / (c.sum() + CLASSES)
         self.moves = np.log10((c + SHRINK * prior) / (c.sum(1, keepdims=True) + SHRINK))
-        sizes = np.zeros(CLASSES)
-        sizes[self.of[END]] = self.ends + (self.ends > 0)
-        for r in counts.mapInArrow(_class_sizes(top, spark.sparkContext.broadcast(self.of)), "k long, n long, v long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():  # CLASSES rows
-            sizes[r["k"]] += r["n"] + r["v"]
+        known = np.array([n for _, n in head[:WORDS]], np.int64)
+        own = self.of[: len(known)]
+        sizes = np.bincount(own, weights=known + 1, minlength=CLASSES)
+        sizes[FREE] += totals["n"] - known.sum() + totals["v"] - len(known)
+        sizes[FREE + 1] += self.ends + (self.ends > 0)
         self.rooms = np.log10(sizes + 1)
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        head, ends, of, moves, rooms = shared.value
-        index = {w: i for i, (w, _) in enumerate(head)}
-        ending = Ending()
-        logs = np.log10(np.array([c for _, c in head] + [0], np.float64) + 1)
-        classes = np.concatenate([of[[i if i < UNITS else ending[w[-3:]] for i, (w, _) in enumerate(head)]] if head else np.zeros(0, np.int64), [0]])
-        end_class, row = of[END], TaskContext.get().partitionId() << 40
+        of, moves, rooms = shared.value
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for text in batch.column("text"):
-                words = tokens(text.as_py())
-                at = np.array([index.get(w, -1) for w in words], np.int64)
-                k, rest = classes[at], []
-                for i in np.flatnonzero(at < 0).tolist():
-                    rest.append(words[i])
-                    k[i] = of[ending[words[i][-3:]]]
-                path = np.concatenate([[end_class], k, [end_class]])
-                values = (row, len(words) + 1, len(words) - len(rest) + (ends > 0), float(logs[at[at >= 0]].sum() + np.log10(ends + 1)), float(moves[path[:-1], path[1:]].sum()), float(rooms[path[1:]].sum()), rest)
-                row += 1
-                for column, value in zip(out, values, strict=True):
-                    column.append(value)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.binary())]
-            arrays = [pa.array(c, t) for c, t in zip(out, types, strict=True)]
-            arrays[-1] = arrays[-1].cast(pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", "row", "n_tokens", "known", "logs", "moves", "rooms", "rest"])
+            out = []
+            for x in batch.column("units"):
+                path = np.concatenate([[of[END]], of[np.frombuffer(x.as_py(), "<u2")], [of[END]]])
+                out.append(float(moves[path[:-1], path[1:]].sum() - rooms[path[1:]].sum()))
+            names = ["doc_id", "row", "n_tokens", "known", "logs"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(out, pa.float64())], names=[*names, "path"])
 
     return run
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs(doc_id, text)."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) for each row of docs(doc_id, text)."""
     spark = docs.sparkSession
+    ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    train = docs.where(~held_out("doc_id"))
-    counts, _ = stored(word_counts(train), "lm-counts")
-    m = Model(spark, counts, train)
-    shared = spark.sparkContext.broadcast((m.head, m.ends, m.of, m.moves, m.rooms))  # HEAD words and fixed matrices
-    schema = "doc_id long, row long, n_tokens long, known long, logs double, moves double, rooms double, rest array<string>"
-    rows, _ = stored(docs.mapInArrow(_score(shared), schema), "lm-rows")
+    counts, _ = stored(word_counts(docs.where(~held_out("doc_id"))), "lm-counts")
+    head = head_words(counts, HEAD)
+    schema = "doc_id long, row long, n_tokens long, known long, logs double, units binary, rest array<string>"
+    rows, _ = stored(docs.mapInArrow(_numbered(spark.sparkContext.broadcast(head)), schema), "lm-rows")  # at most HEAD words
+    m = Model(spark, counts, head, rows.where(~held_out("doc_id")).select("units"))
+    shared = spark.sparkContext.broadcast((m.of, m.moves, m.rooms))  # of fixed size
     rest = rows.select("row", F.explode("rest").alias("word")).join(counts, "word")
     rest = rest.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("more_logs"))
-    d = rows.drop("rest").join(rest, "row", "left")
-    logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
+    d = rows.drop("rest").mapInArrow(_score(shared), "doc_id long, row long, n_tokens long, known long, logs double, path double").join(rest, "row", "left")
+    logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + F.lit(float(np.log10(m.ends + 1)))
     return d.select(
         "doc_id",
         held_out("doc_id").alias("held_out"),
         "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+        (F.col("known") + F.coalesce("more", F.lit(0)) + F.lit(int(m.ends > 0))).cast("long").alias("n_known"),
         F.lit(m.n).cast("long").alias("train_tokens"),
         (logs - F.col("n_tokens") * F.log10(F.lit(float(m.n + m.v + 1)))).alias("base_score"),
-        (logs + F.col("moves") - F.col("rooms")).alias("score"),
+        (logs + F.col("path")).alias("score"),
+        F.pow(F.lit(10.0), -(logs + F.col("path")) / F.col("n_tokens")).alias("perplexity"),
     )
 
 

@@ -20,7 +20,7 @@ def test_exchange_separates_alternating_words():
             b[i, j] = b[j, i] = 10 + i + j
     b[8, :4] = 3
     b[4:8, 8] = 3
-    of = class_lm.exchange(b, 3, 8)
+    of = class_lm.exchange(b, 3, {8: 2})
     assert of[8] == 2 and len(set(of[:4])) == 1 and len(set(of[4:8])) == 1 and of[0] != of[4]
 
 
@@ -46,10 +46,62 @@ def test_base_counts_and_gain(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_model_sums_to_one(spark):
-    docs = spark.createDataFrame([(i, "a b c a b") for i in range(30)], "doc_id long, text string")
-    m = class_lm.Model(spark, class_lm.word_counts(docs), docs)
-    assert np.allclose((10**m.moves).sum(1), 1)
+def test_gains_equal_likelihoods():
+    rnd = np.random.default_rng(2)
+    b = rnd.integers(0, 6, (12, 12)).astype(float)
+    of = rnd.integers(0, 4, 12)
+
+    def c_of(of):
+        one = np.zeros((12, 4))
+        one[np.arange(12), of] = 1
+        return one.T @ b @ one
+
+    w = 5
+    one = np.zeros((12, 4))
+    one[np.arange(12), of] = 1
+    one[w] = 0
+    left, right = b[:, w] @ one, b[w] @ one
+    without = one.T @ b @ one
+    gain = class_lm.gains(without, left, right, b[w, w])
+    want = [class_lm.likelihood(c_of([*of[:w], k, *of[w + 1 :]])) for k in range(4)]
+    assert np.allclose(gain - gain[0], np.array(want) - want[0])
+
+
+def test_scores_equal_brute_force(spark, monkeypatch):
+    rnd = random.Random(7)
+    words = [f"w{i}" for i in range(50)]
+    rows = [(i, " ".join(rnd.choice(words[i % 2 :: 2]) for _ in range(rnd.randrange(1, 40)))) for i in range(150)]
+    monkeypatch.setattr(class_lm, "UNITS", 9)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    train = docs.where(~class_lm.held_out("doc_id"))
+    counts = class_lm.word_counts(train).cache()
+    head = class_lm.head_words(counts, 40)
+    count = {r.word: r.c for r in counts.collect()}
+    assert len(head) <= 40 and head == sorted(head, key=lambda x: (-x[1], x[0])) and min(c for _, c in head) >= max([c for w, c in count.items() if w not in dict(head)], default=0)
+    send = spark.sparkContext.broadcast
+    numbered = train.mapInArrow(class_lm._numbered(send(head)), "doc_id long, row long, n_tokens long, known long, logs double, units binary, rest array<string>")
+    m = class_lm.Model(spark, counts, head, numbered.select("units"))
+    index = {w: i for i, (w, _) in enumerate(head)}
+    kind = lambda w: m.of[index.get(w, class_lm.RARE)]
+    end = class_lm.FREE + 1
+    pairs, size, members = Counter(), Counter(), Counter()
+    for d, t in rows:
+        if not out(d):
+            path = [end, *map(kind, t.split()), end]
+            pairs.update(zip(path, path[1:]))
+            size.update(path[1:])
+    members.update(kind(w) for w in count)
+    members[end] = 1
+    assert all(m.bigrams[a, b] == pairs[a, b] for a in range(class_lm.CLASSES) for b in range(class_lm.CLASSES))
+    assert np.allclose((10**m.moves).sum(1), 1) and m.gained == sorted(m.gained)[: len(m.gained)] or m.gained[-1] <= max(m.gained)
+    assert all(abs(10 ** m.rooms[k] - (size[k] + members[k] + 1)) < 1e-6 for k in range(class_lm.CLASSES))
+    assert len({m.of[i] for i in range(len(head))}) > 1 and all(m.of[i] < class_lm.FREE for i in range(len(head)))
+    monkeypatch.setattr(class_lm, "HEAD", 40)
+    for r in class_lm.score(docs).collect():
+        t = dict(rows)[r.doc_id].split()
+        path = [end, *map(kind, t), end]
+        want = sum(m.moves[a, b] for a, b in zip(path, path[1:])) + sum(math.log10((count.get(w, 0) + 1) / (size[kind(w)] + members[kind(w)] + 1)) for w in t) + math.log10((m.ends + 1) / (size[end] + 2))
+        assert r.score == pytest.approx(want) and r.perplexity == pytest.approx(10 ** (-want / r.n_tokens))
 
 
 def test_tail_words_and_empty(spark, monkeypatch):

@@ -62,4 +62,4 @@ def test_query_reads_calls_and_results(spark, tmp_path):
     data = [(1, 0, "user", "hi"), (1, 1, "assistant", json.dumps({"tool_calls": [call("a", "find", {"q": "x"})]})), (1, 2, "tool", json.dumps({"tool_call_id": "a", "content": "y"})), (1, 3, "assistant", "{plain")]
     spark.createDataFrame(data, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.call_id: (r.status, r.turn, r.result_turn) for r in t.op7_tool_chat(spark, str(tmp_path)).collect()}
-    assert got == {"1:0": ("unanswered", 0, None), "a": ("answered", 1, 2), "1:2": ("orphan", None, 3)}
+    assert got == {"1:0:a": ("unanswered", 0, None), "1:0:b": ("unanswered", 0, None), "a": ("answered", 1, 2), "1:2:a": ("orphan", None, 3)}
