@@ -49,14 +49,14 @@ from pyspark.sql import functions as F
 
 from terradelta.llm.common import GAP, ascii_lower, ship, stored
 
-HEAD, WORDS, UNITS, CLASSES = 150_000, 65_534, 640, 64
+HEAD, WORDS, UNITS, CLASSES = 150_000, 32_766, 640, 64
 RARE, END = WORDS, WORDS + 1
 FREE = CLASSES - 2  # the last classes are those of RARE and END
 SHRINK = 5.0
-ROUNDS, LEAST = 6, 2e-4
+ROUNDS, LEAST = 4, 2e-4
 STEPS = 16
 #: Pieces of a task's counts, and how many are put together in one go.
-PARTS, TOGETHER = 32, 64
+PARTS, TOGETHER = 32, 256
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -134,21 +134,66 @@ def _paths(batches: Iterator[pa.RecordBatch], size: int = 2_000_000) -> Iterator
         yield np.frombuffer(b"".join([*hold, end]), "<u2").astype(np.int64)
 
 
-def _pieces(total: np.ndarray) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
+class _Counts:
+    """Sums by row * width + column; only keys that occur take room, and rows are cut into PARTS ranges."""
 
-    for p, rows in enumerate(np.array_split(total, PARTS)):
-        if rows.any():
-            raw = zlib.compress(np.ascontiguousarray(rows, "<i8").tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([raw], pa.binary())], names=["part", "task", "counts"])
+    def __init__(self, rows: int, width: int, hold: int = 4_000_000):
+        self.rows, self.width, self.hold, self.n = rows, width, hold, 0
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray) -> None:
+        self.found.append(np.unique(keys, return_counts=True))
+        self.n += len(self.found[-1][0])
+        if self.n > self.hold and len(self.found) > 1:
+            self.found = [self.merged()]
+            self.n = len(self.found[0][0])
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, place = np.unique(np.concatenate([k for k, _ in self.found]), return_inverse=True)
+        return keys, np.bincount(place, weights=np.concatenate([n for _, n in self.found]), minlength=len(keys)).astype(np.int64)
+
+    def pieces(self) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        keys, n = self.merged()
+        firsts = [_rows(self.rows, p).start * self.width for p in range(PARTS + 1)]
+        cuts = np.searchsorted(keys, firsts)
+        for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if b > a:
+                raw = zlib.compress((keys[a:b] - firsts[p]).astype("<i4").tobytes() + n[a:b].astype("<i8").tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([raw], pa.binary())], names=["part", "task", "counts"])
+
+
+def _rows(rows: int, p: int) -> range:
+    """The rows of a part."""
+    return range(rows * p // PARTS, rows * (p + 1) // PARTS)
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(raw)
+    n = len(raw) // 12
+    return np.frombuffer(raw, "<i4", n), np.frombuffer(raw, "<i8", n, 4 * n)
+
+
+def _dense(raw: bytes, rows: int, width: int) -> np.ndarray:
+    out = np.zeros(rows * width, np.int64)
+    keys, n = _unpacked(raw)
+    out[keys] = n
+    return out.reshape(rows, width)
 
 
 def _add(table: pa.Table) -> pa.Table:
-    total = None
+    total = np.zeros(0, np.int64)
     for x in table["counts"]:
-        piece = np.frombuffer(zlib.decompress(x.as_py()), "<i8")
-        total = piece.copy() if total is None else total + piece
-    return pa.table({"part": table["part"].slice(0, 1).combine_chunks(), "task": table["task"].slice(0, 1).combine_chunks(), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+        keys, n = _unpacked(x.as_py())
+        if keys[-1] >= len(total):
+            total = np.concatenate([total, np.zeros(keys[-1] + 1 - len(total), np.int64)])
+        total[keys] += n
+    keys = np.flatnonzero(total)
+    raw = zlib.compress(keys.astype("<i4").tobytes() + total[keys].astype("<i8").tobytes(), 1)
+    return pa.table({"part": table["part"].slice(0, 1).combine_chunks(), "task": table["task"].slice(0, 1).combine_chunks(), "counts": pa.array([raw], pa.binary())})
 
 
 SCHEMA = "part int, task long, counts binary"
@@ -168,11 +213,11 @@ def _unit_bigrams(units: int):
     """Bigrams of the first units, RARE (all others) and END."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, total = units + 2, np.zeros((units + 2) ** 2, np.int64)
+        size, total = units + 2, _Counts(units + 2, units + 2)
         for u in _paths(batches):
             u = np.where(u == END, units + 1, np.minimum(u, units))
-            total += np.bincount(u[:-1] * size + u[1:], minlength=len(total))
-        yield from _pieces(total.reshape(size, size))
+            total.add(u[:-1] * size + u[1:])
+        yield from total.pieces()
 
     return run
 
@@ -182,13 +227,12 @@ def _contexts(of):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, width = of.value, 2 * CLASSES + 1
-        total = np.zeros((WORDS + 2) * width, np.int64)
+        total = _Counts(WORDS + 2, width)
         for u in _paths(batches):
             k = classes[u]
-            for keys in (u[1:] * width + k[:-1], u[:-1] * width + CLASSES + k[1:], u[:-1][u[:-1] == u[1:]] * width + 2 * CLASSES):
-                found, n = np.unique(keys, return_counts=True)
-                total[found] += n
-        yield from _pieces(total.reshape(WORDS + 2, width))
+            own = u[:-1][u[:-1] == u[1:]]
+            total.add(np.concatenate([u[1:] * width + k[:-1], u[:-1] * width + CLASSES + k[1:], own * width + 2 * CLASSES]))
+        yield from total.pieces()
 
     return run
 
@@ -209,7 +253,11 @@ def gains(c: np.ndarray, left: np.ndarray, right: np.ndarray, self_: float) -> n
     precedes each class, without itself; self_: how often it follows itself.
     """
     rows, columns = c.sum(1) + left, c.sum(0) + right  # what the neighbours' classes have whatever the word's class
-    gain = (_xlog(c + left[:, None]) - _xlog(c)).sum(0) + (_xlog(c + right[None, :]) - _xlog(c)).sum(1)
+    before, after = np.flatnonzero(left), np.flatnonzero(right)
+    some = c[before]
+    gain = (_xlog(some + left[before, None]) - _xlog(some)).sum(0)
+    some = c[:, after]
+    gain += (_xlog(some + right[after]) - _xlog(some)).sum(1)
     d = np.diag(c)
     gain += _xlog(d + left + right + self_) + _xlog(d) - _xlog(d + left) - _xlog(d + right)
     gain -= _xlog(rows + right.sum() + self_) - _xlog(rows) + _xlog(columns + left.sum() + self_) - _xlog(columns)
@@ -261,8 +309,8 @@ def _class_bigrams(of):
 
     def run(table: pa.Table) -> pa.Table:
         p = table["part"][0].as_py()
-        words = np.array_split(np.arange(WORDS + 2), PARTS)[p]
-        x = np.frombuffer(zlib.decompress(table["counts"][0].as_py()), "<i8").reshape(len(words), -1)
+        words = np.array(_rows(WORDS + 2, p))
+        x = _dense(table["counts"][0].as_py(), len(words), 2 * CLASSES + 1)
         c = np.zeros((CLASSES, CLASSES), np.int64)
         np.add.at(c, of.value[words], x[:, CLASSES : 2 * CLASSES])
         return pa.table({"part": pa.array([p], pa.int32()), "counts": pa.array([c.astype("<i8").tobytes()], pa.binary())})
@@ -275,8 +323,9 @@ def _moved(of, bigrams, turn: int):
 
     def run(table: pa.Table) -> pa.Table:
         p = table["part"][0].as_py()
-        words = np.array_split(np.arange(WORDS + 2), PARTS)[p]
-        x = np.frombuffer(zlib.decompress(table["counts"][0].as_py()), "<i8").reshape(len(words), -1).astype(np.float64)
+        words = np.array(_rows(WORDS + 2, p))
+        x = _dense(table["counts"][0].as_py(), len(words), 2 * CLASSES + 1).astype(np.float64)
+        all_ = bigrams.value.astype(np.float64)
         new = of.value[words].copy()
         for i, w in enumerate(words.tolist()):
             old = new[i]
@@ -285,7 +334,7 @@ def _moved(of, bigrams, turn: int):
             left, right, self_ = x[i, :CLASSES].copy(), x[i, CLASSES : 2 * CLASSES].copy(), x[i, -1]
             left[old] -= self_
             right[old] -= self_
-            c = bigrams.value.astype(np.float64)
+            c = all_.copy()
             c[:, old] -= left
             c[old] -= right
             c[old, old] -= self_
@@ -299,7 +348,7 @@ def _moved(of, bigrams, turn: int):
 
 
 def _by_part(d: DataFrame, f, schema: str, column: str) -> dict[int, bytes]:
-    return {r["part"]: r[column] for r in d.groupBy("part").applyInArrow(f, schema).collect()}  # PARTS rows of fixed size
+    return {r["part"]: r[column] for r in d.repartition(PARTS, "part").groupBy("part").applyInArrow(f, schema).collect()}  # PARTS rows of fixed size
 
 
 class Model:
@@ -314,8 +363,8 @@ class Model:
         units = min(UNITS, len(head))
         b = np.zeros((units + 2, units + 2), np.int64)
         for r in summed(texts.mapInArrow(_unit_bigrams(units), SCHEMA), "lm-units").collect():  # PARTS rows of fixed size
-            rows = np.array_split(np.arange(units + 2), PARTS)[r["part"]]
-            b[rows] = np.frombuffer(zlib.decompress(r["counts"]), "<i8").reshape(len(rows), -1)
+            rows = _rows(units + 2, r["part"])
+            b[rows.start : rows.stop] = _dense(r["counts"], len(rows), units + 2)
         self.of = np.full(WORDS + 2, FREE, np.int64)
         self.of[:units] = exchange(b, CLASSES, {units: FREE, units + 1: FREE + 1})[:units]
         self.of[END] = FREE + 1
@@ -338,7 +387,7 @@ class Model:
                 break
             new = self.of.copy()
             for part, raw in _by_part(seen, _moved(of, send(c), turn), "part int, classes binary", "classes").items():
-                new[np.array_split(np.arange(WORDS + 2), PARTS)[part]] = np.frombuffer(raw, "u1")
+                new[_rows(WORDS + 2, part)] = np.frombuffer(raw, "u1")
             self.of = new
         self.bigrams = c
         prior = (c.sum(0) + 1) / (c.sum() + CLASSES)
