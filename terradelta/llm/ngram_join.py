@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terradelta.llm import shingles
-from terradelta.llm.common import components, small_or_not, stored
+from terradelta.llm.common import components, remove, small_or_not, stored
 
 _U = np.uint64
 SKETCH_BITS = 18
@@ -187,7 +187,7 @@ class _Join:
         raw = self.docs.mapInArrow(_prefixes(self.k, self.percent, self.levels), PREFIXES)
         own = small_or_not(self.classes.select("rep", F.col("cls").alias("own")), "ngram-reps")
         raw = raw.where("cls <> 0").join(own, (F.col("doc_id") == F.col("rep")) & (F.col("cls") == F.col("own")), "left_semi").drop("doc_id")
-        prefix, _ = stored(raw, "ngram-prefix")
+        prefix, where = stored(raw, "ngram-prefix")
         entries = prefix.select("cls", "n", F.posexplode("keys").alias("at", "key"))
         # two classes whose sizes or places leave no room don't make a block; most chance meetings end here
         shared = entries.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.min("n").alias("n"), F.min(F.col("n") - F.col("at")).alias("rest"))
@@ -199,6 +199,7 @@ class _Join:
         keys = every.groupBy("cls").agg(F.collect_list("key").alias("keys"))  # at most a text's prefix
         info = prefix.select("cls", "n", F.size("keys").alias("p"), F.struct("last_level", "last_key").alias("last"))
         self.info, _ = stored(info.join(keys, "cls"), "ngram-info")
+        remove(self.spark, where)  # all that follows reads the entries and the info
 
     def room(self, na, ia, nb, ib):
         """Sizes and places leave room for the overlap that a link needs."""
@@ -235,9 +236,10 @@ class _Join:
     def counted(self, pairs: DataFrame) -> DataFrame:
         """(a, b, linked) with the overlap of the whole sets counted."""
         texts, need = self.texts_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
-        sets, _ = stored(texts.mapInArrow(_set_rows(self.k), "cls long, shingles binary").join(need.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "ngram-sets")
+        sets, where = stored(texts.mapInArrow(_set_rows(self.k), "cls long, shingles binary").join(need.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "ngram-sets")
         c = pairs.select("a", "b").join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
         done, _ = stored(c.mapInArrow(_count(self.percent), "a long, b long, linked boolean"), "ngram-counted")
+        remove(self.spark, where)
         return done
 
     def texts_of(self, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -245,15 +247,25 @@ class _Join:
         need = small_or_not(classes.join(self.classes, "cls").select("rep", "cls"), "ngram-needed")
         return self.docs.join(need.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select("text"), need
 
-    def crowd_entries(self, crowd: DataFrame) -> DataFrame:
-        """Entries of classes(cls) again, the prefixes ordered by counts within the crowd."""
+    def crowd_entries(self, crowd: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Entries of classes(cls) again that share a key, the prefixes ordered by counts within the crowd.
+
+        With them (cls, alone): how many keys of a class no other class has.
+        """
         texts, need = self.texts_of(crowd)
         level = np.round(4 * np.log2(_summed(texts.mapInArrow(_sketch(self.k, CROWD_BITS), "part int, counts binary"), CROWD_BITS) + 1)).astype(np.uint8)
         level = self.spark.sparkContext.broadcast(level)  # 2**CROWD_BITS bytes
         raw = texts.select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(_prefixes(self.k, self.percent, level, CROWD_BITS), PREFIXES)
         raw = raw.join(need.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
-        found, _ = stored(raw.select("cls", "n", F.posexplode("keys").alias("at", "key")), "ngram-crowd")
-        return found
+        prefix, where = stored(raw.select("cls", "n", "keys"), "ngram-crowd-prefix")
+        entries = prefix.select("cls", "n", F.posexplode("keys").alias("at", "key"))
+        shared = small_or_not(entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "ngram-crowd-shared")
+        found, _ = stored(entries.join(shared, "key"), "ngram-crowd")
+        met = found.groupBy("cls").agg(F.count("*").alias("met"))
+        rank = prefix.select("cls", F.size("keys").alias("p")).join(met, "cls").select("cls", (F.col("p") - F.col("met")).alias("alone"))
+        rank, _ = stored(rank, "ngram-crowd-alone")
+        remove(self.spark, where)
+        return found, rank
 
     def across(self, entries: DataFrame, roots: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
         """Pairs (a, b) of different components from the blocks of at most ``most`` classes; classes of larger blocks."""
@@ -279,11 +291,7 @@ class _Join:
         pairs, crowd = self.across(self.entries, roots, CROWD)
         crowd, _ = stored(crowd, "ngram-crowd-classes")
         if not crowd.isEmpty():
-            e = self.crowd_entries(crowd)
-            shared = e.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.lit(True).alias("shared"))
-            e, _ = stored(e.join(shared, "key", "left"), "ngram-crowd")
-            rank = e.groupBy("cls").agg(F.count_if(F.col("shared").isNull()).alias("alone"))
-            e = e.where("shared").drop("shared")
+            e, rank = self.crowd_entries(crowd)
             near = self.bounded(self.meet(e, rank)).join(done.select("a", "b"), ["a", "b"], "left_anti")
             done = done.unionByName(self.counted(self.best(near)))
             roots = components(done.where("linked"), "ngram")
