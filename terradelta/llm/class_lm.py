@@ -135,29 +135,20 @@ def _paths(batches: Iterator[pa.RecordBatch], size: int = 2_000_000) -> Iterator
 
 
 class _Counts:
-    """Sums by row * width + column; only keys that occur take room, and rows are cut into PARTS ranges."""
+    """Sums by row * width + column in one array of fixed size; only keys that occur leave the task, in PARTS ranges of rows."""
 
-    def __init__(self, rows: int, width: int, hold: int = 4_000_000):
-        self.rows, self.width, self.hold, self.n = rows, width, hold, 0
-        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+    def __init__(self, rows: int, width: int):
+        self.rows, self.width = rows, width
+        self.total = np.zeros(rows * width, np.int64)
 
     def add(self, keys: np.ndarray) -> None:
-        self.found.append(np.unique(keys, return_counts=True))
-        self.n += len(self.found[-1][0])
-        if self.n > self.hold and len(self.found) > 1:
-            self.found = [self.merged()]
-            self.n = len(self.found[0][0])
-
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        keys, place = np.unique(np.concatenate([k for k, _ in self.found]), return_inverse=True)
-        return keys, np.bincount(place, weights=np.concatenate([n for _, n in self.found]), minlength=len(keys)).astype(np.int64)
+        self.total += np.bincount(keys, minlength=len(self.total))
 
     def pieces(self) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        keys, n = self.merged()
+        keys = np.flatnonzero(self.total)
+        n = self.total[keys]
         firsts = [_rows(self.rows, p).start * self.width for p in range(PARTS + 1)]
         cuts = np.searchsorted(keys, firsts)
         for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
