@@ -14,7 +14,7 @@ from itertools import chain
 import numpy as np
 
 #: Bytes of remembered runs in a worker, and what a run counts besides its characters and ids.
-REMEMBERED_BYTES, RUN_BYTES = 112 << 20, 180
+REMEMBERED_BYTES, RUN_BYTES = 80 << 20, 180
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -23,16 +23,16 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def groups(texts: list[str | None], size: int = 1 << 19) -> Iterator[tuple[int, int]]:
-    """Rows of about size characters."""
+def groups(lengths: list[int | None], size: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Rows of about size characters, from the length of each text."""
     a = total = 0
-    for i, x in enumerate(texts):
-        total += len(x or "")
+    for i, x in enumerate(lengths):
+        total += x or 0
         if total >= size:
             yield a, i + 1
             a, total = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
+    if a < len(lengths):
+        yield a, len(lengths)
 
 
 class _Numbers(dict):
@@ -98,6 +98,7 @@ class RunIds:
     def forget(self) -> None:
         """Keep the runs that most batches use, up to half of the bound; runs of one batch go first."""
         runs, at, uses = list(self.numbers), self.at.all(), self.uses.all()
+        self.numbers = _Numbers()  # frees the old numbers before the new ones are made
         lengths = np.diff(at)
         size = RUN_BYTES + 2 * np.fromiter(map(len, runs), np.int64, len(runs)) + 4 * lengths
         order = np.argsort(-uses, kind="stable")

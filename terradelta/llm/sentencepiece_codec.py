@@ -397,7 +397,7 @@ def _run(path: str, with_ids: bool):
         m = pieces(path)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in groups(texts, 1 << 20):
+            for a, b in groups([len(x or "") for x in texts], 1 << 20):
                 ids, n = m.encode_all(texts[a:b])
                 at = np.concatenate([[0], np.cumsum(n)])
                 raw = memoryview(np.ascontiguousarray(ids, "<i4")).cast("B")

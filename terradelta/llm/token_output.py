@@ -34,6 +34,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,56 +76,44 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cuttable = Tokenizer.from_file(path), _cuttable(path)
-        ends = self._ids(["\n"])[0]
-        self.line_end = ends[0] if self.cuttable and len(ends) == 1 else None
-        self.signs = {x: self._ids([x])[0] for x in ".,"}
+        self.spaced = None
+        if self.cuttable:
+            pieces = self.tokenizer.get_vocab()
+            self.spaced = np.zeros(max(pieces.values()) + 1, bool)
+            self.spaced[[i for x, i in pieces.items() if x[0] in "Ġ "]] = True
         self.runs = RunIds(self._learn)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """How many ids each word with a space before it has, and all of them; many in one call, with line breaks between."""
-        if self.line_end is not None and words:
-            lines = [f"\n {x}" for x in words]
-            found = self._ids(["".join(lines[at : at + _JOINED]) for at in range(0, len(lines), _JOINED)])
+        """How many ids each word with a space before it has, and all of them; many words in one call.
+
+        Each word's first id has a space in front, so as many of these as words tell them apart.
+        """
+        if self.spaced is not None:
+            found = self._ids([" " + " ".join(words[at : at + _JOINED]) for at in range(0, len(words), _JOINED)])
             ids = np.fromiter(chain.from_iterable(found), np.int32)
-            cuts = np.flatnonzero(ids == self.line_end)
-            if len(cuts) == len(words):
-                return np.diff(np.append(cuts, len(ids))) - 1, ids[ids != self.line_end]
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) == len(words):
+                return np.diff(np.append(starts, len(ids))), ids
         found = self._ids([" " + x for x in words])
         return np.array([len(x) for x in found], np.int64), np.fromiter(chain.from_iterable(found), np.int32)
 
     def _learn(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        # a word with a stop or comma is the word and the sign, each a pre-token of its own
-        at: dict[str, int] = {}
-        stem, sign = [], []
-        for i, x in enumerate(runs):
-            end = x[-1]
-            if (end == "." or end == ",") and x[-2:-1].isalpha() and self.cuttable and "\n" not in x:
-                x = x[:-1]
-                sign.append((i, self.signs[end]))
-            stem.append(at.setdefault(x, len(at)))
-        words = [x for x in at if "\n" not in x]
-        others = [x for x in at if "\n" in x]
-        counts, ids = self._words(words)
-        more = self._ids([x[1:] if x[0] == "\n" else " " + x for x in others])
-        counts = np.concatenate([counts, np.array([len(x) for x in more], np.int64)])
-        ids = np.concatenate([ids, np.array([y for x in more for y in x], np.int32)])
-        place = np.empty(len(at), np.int64)
-        place[[at[x] for x in words] + [at[x] for x in others]] = np.arange(len(at))
-        which = place[np.array(stem, np.int64)]
-        lengths = counts[which]
-        signed = np.array([i for i, _ in sign], np.int64)
-        if len(signed) and any(len(x) != 1 for x in self.signs.values()):
-            raise ValueError("a stop or comma is more than one token")
-        total = lengths.copy()
-        total[signed] += 1
-        upto = np.cumsum(total)
-        out = np.empty(upto[-1], np.int32)
-        out[ragged(upto - total, lengths)] = ids[ragged(np.cumsum(counts)[which] - lengths, lengths)]
-        out[upto[signed] - 1] = [x[0] for _, x in sign]
-        return total, out
+        others = [i for i, x in enumerate(runs) if "\n" in x]
+        if not others:
+            return self._words(runs)
+        words = np.ones(len(runs), bool)
+        words[others] = False
+        more = self._ids([runs[i][1:] if runs[i][0] == "\n" else " " + runs[i] for i in others])
+        n, ids = self._words([x for x in runs if "\n" not in x])
+        counts = np.empty(len(runs), np.int64)
+        counts[words], counts[others] = n, [len(x) for x in more]
+        upto, out = np.cumsum(counts), np.empty(counts.sum(), np.int32)
+        out[ragged((upto - counts)[words], n)] = ids
+        out[ragged((upto - counts)[others], counts[others])] = np.fromiter(chain.from_iterable(more), np.int32)
+        return counts, out
 
     def _cut(self, text: str | None) -> list[str]:
         if not text:
@@ -134,12 +123,7 @@ class Encoder:
         if text[0].isspace() or text[-1].isspace() or any(x in text for x in ("  ", " \n", "\n ", "\n\n")) or any(x in text for x in _OTHER_BLANKS):
             first, *rest = _CUT.split(text)
             return ["\n" + first, *rest]
-        out: list[str] = []
-        for i, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            words[0] = ("\n\n" if i else "\n") + words[0]
-            out += words
-        return out
+        return ("\n" + text.replace("\n", " \n\n")).split(" ")
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has."""
@@ -156,9 +140,9 @@ def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, before = encoder(path), 0
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in groups(texts):
-                ids, n = e.encode(texts[a:b])
+            texts = batch.column("text")
+            for a, b in groups(pc.utf8_length(texts).to_pylist()):
+                ids, n = e.encode(texts.slice(a, b - a).to_pylist())
                 at = np.concatenate([[0], np.cumsum(n + 1)])
                 values = np.full(at[-1], END_ID, np.int32)
                 inner = np.ones(at[-1], bool)
