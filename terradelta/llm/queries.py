@@ -21,6 +21,7 @@ FOUND = {
     "op5_token_output": "token_output",
     "op4_quality_rules": "quality_rules",
     "op10_ngram_join": "ngram_join",
+    "op13_fill_middle": "fill_middle",
 }
 
 
@@ -37,6 +38,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from terradelta.llm import ngram_join, quality_rules, tool_chat
+    from terradelta.llm import fill_middle, ngram_join, quality_rules, tool_chat
 
-    return {"op4_quality_rules": quality_rules.ORACLE, "op7_tool_chat": tool_chat.ORACLE, "op10_ngram_join": ngram_join.ORACLE}
+    return {"op4_quality_rules": quality_rules.ORACLE, "op7_tool_chat": tool_chat.ORACLE, "op10_ngram_join": ngram_join.ORACLE, "op13_fill_middle": fill_middle.ORACLE}
