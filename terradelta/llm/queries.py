@@ -21,6 +21,7 @@ FOUND = {
     "op5_token_output": "token_output",
     "op4_quality_rules": "quality_rules",
     "op10_ngram_join": "ngram_join",
+    "op11_spelling": "spelling",
     "op13_fill_middle": "fill_middle",
 }
 
