@@ -22,6 +22,7 @@ FOUND = {
     "op4_quality_rules": "quality_rules",
     "op10_ngram_join": "ngram_join",
     "op11_spelling": "spelling",
+    "op12_toxicity": "toxicity",
     "op13_fill_middle": "fill_middle",
 }
 
