@@ -27,7 +27,8 @@ So a group of near copies costs its size times the prefix, not the square.
 The hash of 64 bits stands for a shingle; the overlap is exact on these.
 
 Edge cases: a null or empty text has no shingles, links with nothing and is its
-own component; fewer than k words are one shingle; repeated rows and ties give
+own component; a null doc_id gets its component only from documents with one of
+equal shingles; fewer than k words are one shingle; repeated rows and ties give
 one class; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -187,6 +188,7 @@ class _Join:
         raw = self.docs.mapInArrow(_prefixes(self.k, self.percent, self.levels), PREFIXES)
         own = small_or_not(self.classes.select("rep", F.col("cls").alias("own")), "ngram-reps")
         raw = raw.where("cls <> 0").join(own, (F.col("doc_id") == F.col("rep")) & (F.col("cls") == F.col("own")), "left_semi").drop("doc_id")
+        raw = raw.dropDuplicates(["cls"])  # rows that repeat their doc_id
         prefix, where = stored(raw, "ngram-prefix")
         entries = prefix.select("cls", "n", F.posexplode("keys").alias("at", "key"))
         # two classes whose sizes or places leave no room don't make a block; most chance meetings end here
@@ -316,10 +318,33 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFram
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that are the first of their component, with all columns."""
-    found = ngram_components(docs, k, percent)
-    gone = small_or_not(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "ngram-gone")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The rows of docs that are the first of their component, with all columns.
+
+    A row is told by its doc_id and a hash of its text, so documents that share
+    a doc_id, or have none, count on their own.  First is the least doc_id (null
+    last), then the least hash; of rows that repeat both, one stays, whichever
+    their other columns.  A row without shingles links with nothing and stays.
+    """
+    mark, own = F.xxhash64("text"), F.col("doc_id").cast("long")
+    rows = docs.select(own.alias("_id"), mark.alias("_mark"), F.xxhash64(own, mark).alias("_row"))
+    found = ngram_components(docs.select(F.xxhash64(own, mark).alias("doc_id"), "text"), k, percent)
+    found = found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("_row")).agg(F.min("component_id").alias("_group"))
+    keys, _ = stored(rows.groupBy("_row", "_id", "_mark").agg(F.count("*").alias("_n")).join(found, "_row"), "ngram-keys")
+    place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_mark").alias("mark"))
+    first = keys.groupBy("_group").agg(F.min(place).alias("_first"), F.count("*").alias("_c"))
+    first = small_or_not(first.where("_c > 1").select("_group", "_first"), "ngram-first-rows")
+    gone = keys.join(first, "_group").where(place != F.col("_first")).select("_id", "_mark")
+    again, _ = stored(keys.where("_n > 1").join(first, "_group", "left").where(F.coalesce(place == F.col("_first"), F.lit(True))).select("_id", "_mark"), "ngram-again")
+    tag = "_"
+    while any(c.startswith(tag) for c in docs.columns):
+        tag += "_"
+    told = docs.withColumns({f"{tag}id": own, f"{tag}mark": mark})
+    named = lambda t: t.select(F.col("_id").alias(f"{tag}i"), F.col("_mark").alias(f"{tag}m"))
+    on = F.col(f"{tag}id").eqNullSafe(F.col(f"{tag}i")) & (F.col(f"{tag}mark") == F.col(f"{tag}m"))
+    out = told.join(named(small_or_not(gone.unionByName(again), "ngram-gone")), on, "left_anti")
+    if not again.isEmpty():
+        out = out.unionByName(told.join(named(again), on, "left_semi").dropDuplicates([f"{tag}id", f"{tag}mark"]))
+    return out.select(*docs.columns)
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

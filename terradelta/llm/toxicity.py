@@ -1,6 +1,6 @@
 """Toxicity by weak supervision: many voters, a label model, a linear classifier.
 
-1. Terms.  A bounded sample of labelled rows (LABELLED, those of least hash) gives,
+1. Terms.  A bounded sample of labelled rows (about LABELLED, by hash) gives,
    for every word and every start of a word, in how many toxic and clean texts it
    stands.  Those whose share of toxic texts is surely above the usual one (WILSON
    deviations) are taken by likelihood ratio, none that starts another one, and
@@ -37,14 +37,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terradelta.llm.common import ship, stored
 
 # fixed values: English insults
 INSULTS = ("bastard", "clown", "disgusting", "filthy", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
-#: Labelled rows to learn from, and documents that the classifier is fitted to, at most.
+#: Labelled rows to learn from, and documents that the classifier is fitted to; about so many, never over twice.
 LABELLED, TRAINED = 12_000, 30_000
 #: Lengths of starts of words, toxic texts that a term needs, terms at most.
 STARTS, LEAST_TOXIC, TERMS = range(3, 9), 6, 50
@@ -65,11 +65,16 @@ def learnable(doc_id: str):
     return F.crc32(F.col(doc_id).cast("string")) % 3 != 1
 
 
+def some_of(rows: DataFrame, key: Column, n: int, most: int) -> DataFrame:
+    """All of n rows if they are most or fewer, else about so many, by a hash; never over twice as many."""
+    return rows.where(F.pmod(key, F.lit(-(-n // most))) == 0).limit(2 * most) if n > most else rows
+
+
 def sample_of_labels(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
     """(text, toxic) of a bounded number of labelled rows; equal texts once."""
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learnable("doc_id"))
     own = own.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    own = F.broadcast(own.orderBy(F.xxhash64("_id"), "_id").limit(most))  # at most so many rows of two numbers
+    own = F.broadcast(some_of(own, F.xxhash64("_id"), own.count(), most))  # at most twice so many rows of two numbers
     d = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(own, "_id")
     return d.withColumn("_h", F.xxhash64("text")).groupBy("_h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).drop("_h")
 
@@ -277,7 +282,7 @@ class Model:
         sample, _ = stored(sample_of_labels(docs, labels), "toxic-sample")
         self.terms, toxic, clean = terms_of(sample)
         self.n = len(Voters(self.terms).names)
-        own = features(sample.select(F.lit(None).cast("long").alias("doc_id"), F.col("toxic").cast("long").alias("mark"), "text"), self.terms).collect()  # at most LABELLED rows of numbers
+        own = features(sample.select(F.lit(None).cast("long").alias("doc_id"), F.col("toxic").cast("long").alias("mark"), "text"), self.terms).collect()  # at most twice LABELLED rows of numbers
         seen, marks = _table(own), np.array([r["mark"] for r in own], np.int64)
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
         self.rows, _ = stored(features(texts, self.terms), "toxic-votes")
@@ -287,7 +292,8 @@ class Model:
             sums = self.guessed()
         counts, _ = stored(self.rows.groupBy("votes").agg(F.count("*").alias("c")), "toxic-counts")
         self.labels.fit(counts, sums)
-        some = _table(self.rows.orderBy("mark", "votes").limit(TRAINED).select("votes", "hits", "kinds", "n_words").collect())  # at most TRAINED rows of numbers
+        n = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+        some = _table(some_of(self.rows, F.col("mark"), n, TRAINED).select("votes", "hits", "kinds", "n_words").collect())  # at most twice TRAINED rows of numbers
         x = np.concatenate([design(*some, self.n), design(*seen, self.n)])
         self.weights = logistic(x, self.labels.posterior(x[:, : self.n]))
         if toxic and clean:

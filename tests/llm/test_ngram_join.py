@@ -78,3 +78,19 @@ def test_long_text_empty_table_and_keep_one(spark):
     assert sorted(r.doc_id for r in keep_one(docs).collect()) == [3, 9]
     assert keep_one(docs).columns == ["doc_id", "text", "root"]
     assert ngram_components(docs.limit(0)).count() == 0
+
+
+def test_keep_one_by_row(spark):
+    a, b, c = "one two three four five six seven", "another text of its own with words", "eight nine ten eleven twelve thirteen"
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, source string, _id string")
+    kept = lambda rows: sorted(((r.doc_id, r.text) for r in ngram_join.keep_one(docs([(*r, "s", "clash") for r in rows])).collect()), key=str)
+    # a unique text stays although its id is that of a copy
+    assert kept([(1, a), (5, b), (5, a)]) == [(1, a), (5, b)]
+    # equal texts without an id leave one, repeated rows leave one, an id comes before none
+    assert kept([(None, a), (None, a), (None, b)]) == sorted([(None, a), (None, b)], key=str)
+    assert kept([(2, a), (2, a), (None, a), (3, c), (3, c)]) == [(2, a), (3, c)]
+    # rows without shingles are no group
+    assert kept([(1, ""), (1, ""), (2, None), (None, None)]) == sorted([(1, ""), (1, ""), (2, None), (None, None)], key=str)
+    assert kept([]) == []
+    columns = ngram_join.keep_one(docs([(1, a, "s", "clash")])).columns
+    assert columns == ["doc_id", "text", "source", "_id"]
