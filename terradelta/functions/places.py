@@ -43,17 +43,27 @@ def grid_key(lon: Column, lat: Column, digits: int = 3) -> Column:
     return F.concat_ws(":", F.format_string(f"%.{digits}f", F.round(lon, digits)), F.format_string(f"%.{digits}f", F.round(lat, digits)))
 
 
-def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
-    """Whether a point lies in a closed ring (array of struct(x, y)), by ray casting."""
+def crossings(lon: Column, lat: Column, ring: Column) -> Column:
+    """How many sides of a closed ring (array of struct(x, y)) a ray to the east meets."""
     n = F.size(ring)
-    edges = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(ring, i).alias("p"), F.get(ring, (i + 1) % n).alias("q")))
+    sides = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(ring, i).alias("p"), F.get(ring, (i + 1) % n).alias("q")))
 
     def crosses(e: Column) -> Column:
         p, q = e["p"], e["q"]
         over = (p["y"] > lat) != (q["y"] > lat)
         return F.when(over, lon < (q["x"] - p["x"]) * (lat - p["y"]) / (q["y"] - p["y"]) + p["x"]).otherwise(F.lit(False))
 
-    return F.size(F.filter(edges, crosses)) % 2 == 1
+    return F.when(n > 0, F.size(F.filter(sides, crosses))).otherwise(0)
+
+
+def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
+    """Whether a point lies in a closed ring, by ray casting."""
+    return crossings(lon, lat, ring) % 2 == 1
+
+
+def in_rings(lon: Column, lat: Column, rings: Column) -> Column:
+    """Whether an odd number of rings encloses a point."""
+    return F.aggregate(rings, F.lit(0), lambda n, r: n + crossings(lon, lat, r)) % 2 == 1
 
 
 NEAR_ZOOM = 10.5

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terradelta.functions.labels import behaviour_colour, behaviour_label, interval_label, shard_of, zero_padded
-from terradelta.functions.places import in_ring
+from terradelta.functions.places import in_ring, in_rings
+from terradelta.operators.quadtree import MOST, Quadtree
 from terradelta.plans.params import ENDPOINT, INTERVALS, RegionFilter
 from terradelta.session import use_checkpoints
 
@@ -95,6 +96,27 @@ def hit(points: DataFrame, areas: DataFrame, cell: float = 1.0) -> DataFrame:
     return d.groupBy("point_id").agg(F.min("area_id").alias("area_id"))
 
 
+def hit_top(points: DataFrame, areas: DataFrame, most: int = MOST) -> DataFrame:
+    """(point_id, area_id, draw): the area drawn last of those that hold each point, the least id of equals.
+
+    points: (point_id, lon, lat); areas: (area_id, draw, rings array<array<struct<x,y>>>).
+    An area is what an odd number of its rings encloses, so later rings cut holes
+    or add islands.  The squares of the join follow the points: where these are
+    dense, squares are small, so a crowded place costs as many tests as it has
+    points times areas there, in many tasks.
+    """
+    where = points.where(F.col("lon").isNotNull() & F.col("lat").isNotNull())
+    tree = Quadtree(where, most)
+    ends = lambda axis: F.transform(F.flatten("rings"), lambda p: p[axis])
+    boxes = areas.select("area_id", "draw", "rings", F.array_min(ends("x")).alias("w"), F.array_max(ends("x")).alias("e"), F.array_min(ends("y")).alias("s"), F.array_max(ends("y")).alias("n"))
+    tiles = tree.meeting(boxes.where("w is not null"))
+    d = tree.of_points(where.select("point_id", "lon", "lat"), F.col("point_id")).join(tiles, ["level", "gx", "gy", "salt"])
+    d = d.where(F.col("lon").between(F.col("w"), F.col("e")) & F.col("lat").between(F.col("s"), F.col("n")))
+    d = d.where(in_rings(F.col("lon"), F.col("lat"), F.col("rings")))
+    top = d.groupBy("point_id").agg(F.max(F.struct("draw", (-F.col("area_id")).alias("a"))).alias("t"))
+    return top.select("point_id", (-F.col("t.a")).alias("area_id"), F.col("t.draw").alias("draw"))
+
+
 def neighbours(cells: DataFrame) -> DataFrame:
     """Edges between grid cells (cell_id, x, y) of one state that share a side."""
     moved = cells.select("state", F.col("cell_id").alias("other"), F.inline(F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ((1, 0), (0, 1))])))

@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A table of at most so many bytes on disk and so many rows may be broadcast.
+BROADCAST_BYTES, BROADCAST_ROWS = 8 << 20, 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +33,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/terradelta/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write df to the shared folder and read it back; its place comes second."""
+    where = scratch(df.sparkSession, name)
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where), where
+
+
+def small_or_not(df: DataFrame, name: str) -> DataFrame:
+    """Store df; mark it for a broadcast only if what was written is small, in bytes and in rows."""
+    back, where = stored(df, name)
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    size = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return F.broadcast(back) if size <= BROADCAST_BYTES and back.count() <= BROADCAST_ROWS else back
+
+
 def session(master: str = "local[*]", app: str = "terradelta", **settings: str) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app)
     base = {

@@ -54,6 +54,27 @@ def without_stale(events: DataFrame, late: str = GAP) -> DataFrame:
     return timed(events).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def fresh_answers(requests: DataFrame, answers: DataFrame, within: str = "20 minutes", late: str = GAP) -> DataFrame:
+    """(user_id, event_id, ts, answered): answers whose request was still its user's newest when they came.
+
+    requests: (event_id, user_id, ts); answers: (event_id, answered).  An answer
+    that takes longer than within is given up.  Two joins of streams: each answer
+    meets its request, then the user's later requests up to the answer's time;
+    what met none is fresh, which is known once the watermark has passed the
+    answer.  Both sides of both joins are bounded in time, so state is, too.
+    """
+    r = timed(requests).select("event_id", "user_id", "ts").withWatermark("ts", late)
+    a = answers.select(F.col("event_id").alias("answer_to"), F.col("answered").cast("timestamp").alias("answered")).withWatermark("answered", late)
+    limit = F.expr(f"interval {within}")
+    met = r.join(a, (F.col("event_id") == F.col("answer_to")) & (F.col("answered") >= F.col("ts")) & (F.col("answered") <= F.col("ts") + limit))
+    met = met.select("user_id", "event_id", F.unix_micros("ts").alias("at"), "answered")  # one time of events for the next join
+    newer = timed(requests).select(F.col("user_id").alias("by"), F.col("event_id").alias("newer_id"), F.col("ts").alias("asked")).withWatermark("asked", late)
+    asked = F.unix_micros("asked")
+    later = (asked > F.col("at")) | ((asked == F.col("at")) & (F.col("newer_id") > F.col("event_id")))
+    on = (F.col("user_id") == F.col("by")) & later & (F.col("asked") <= F.col("answered")) & (F.col("asked") >= F.col("answered") - limit)
+    return met.join(newer, on, "left_outer").where("newer_id is null").select("user_id", "event_id", F.timestamp_micros("at").alias("ts"), "answered")
+
+
 def newest(requests: DataFrame, key: str, order: str) -> DataFrame:
     """The same for a table: one row per key, the newest."""
     return requests.groupBy(key).agg(F.max(order).alias(order))

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from terradelta import catalog, catalog_detail  # noqa: F401
+from terradelta import catalog, catalog_detail, catalog_places, catalog_streams  # noqa: F401  (the others add to the first)
 
 SF = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
