@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terradelta import surrogate as s
 from terradelta.catalog import CELLS, FILTERS, LONG, REGIONS, YEARS, T, _changes, _region_years, query, rounded
 from terradelta.functions import labels, numbers, places
 from terradelta.functions.dates import capture_kind, capture_text, middle_of
-from terradelta.operators import captures, change, history, regions, search, series
-from terradelta.plans.params import ENDPOINT, INTERVALS, imagery_year
+from terradelta.operators import captures, change, history, regions, search, series, summary
+from terradelta.plans.params import AREA_STEP, AREA_TOP, ENDPOINT, INTERVALS, imagery_year
 from terradelta.session import scratch
 from terradelta.sources import packages
 from terradelta.streaming import interactions
@@ -124,15 +127,69 @@ def table_sink(spark, d):
     return rounded(spark.read.parquet(where).select("feature_id", "area_ha", "behaviour"))
 
 
-@query("select * from (values " + ", ".join(f"({i}::bigint, '{n}', '{t}', {x}::double, {y}::double)" for i, (n, t, x, y) in enumerate(search.PLACES)) + ") v(ord, name, detail, lon, lat)")
+KNOWN = ", kp as (select * from (values " + ", ".join(f"({i}::bigint, '{n}', '{t}', {x}::double, {y}::double)" for i, (n, t, x, y) in enumerate(search.PLACES)) + ") v(ord, name, detail, px, py))"
+
+
+@query(REGIONS.replace(" ord,", " k,") + KNOWN + " select ord, name, detail, count(k) regions, round(min(area_ha), 6) least_ha from kp left join rg on lon between px - 0.015::double and px + 0.015::double and lat between py - 0.015::double and py + 0.015::double group by all")
 def known_places(spark, d):
-    return search.gazetteer(spark)
+    """The places known without a service, each with the regions in the box around it."""
+    r = s.regions(spark, d).select("feature_id", "area_ha", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    near = places.within_box(F.col("x"), F.col("y"), *places.nearby_box(F.col("lon"), F.col("lat")))
+    d = r.join(F.broadcast(search.gazetteer(spark)), near, "inner").groupBy("ord").agg(F.count("*").alias("regions"), F.min("area_ha").alias("least_ha"))  # a fixed list of ten
+    g = search.gazetteer(spark).join(d, "ord", "left")
+    return rounded(g.select("ord", "name", "detail", F.coalesce("regions", F.lit(0)).alias("regions"), "least_ha"))
+
+
+def _cube(spark, d):
+    """The stored summary of all regions."""
+    where = scratch(spark, "summary")
+    packages.write_table(summary.cube(s.regions(spark, d)), where)
+    return spark.read.parquet(where)
 
 
-@query("select * from (values " + ", ".join(f"('{k}', {str(f.is_active).lower()})" for k, (f, _) in FILTERS.items()) + ") v(name, active)")
+@query(
+    REGIONS
+    + " union all ".join(
+        f" select '{k}' as name, {str(f.is_active).lower()} active, '{'summary' if summary.fits(f) else 'scan'}' as source, count(*) filter ({w}) shown, count(*) filter (({w}) and feature_type <> 'coldspot_patch') hot, count(*) filter (({w}) and feature_type = 'coldspot_patch') cold, count(*) total from rg"
+        for k, (f, w) in FILTERS.items()
+    )
+)
 def filter_activity(spark, d):
-    """Which of the test filters narrow the regions beyond the types."""
-    return spark.createDataFrame([(k, f.is_active) for k, (f, _) in FILTERS.items()], "name string, active boolean")
+    """Whether each filter narrows the regions, where its counts come from, and the counts."""
+    regions_, cube = s.regions(spark, d), _cube(spark, d)
+    rows = [summary.counted(regions_, cube, f).select(F.lit(k).alias("name"), F.lit(f.is_active).alias("active"), "source", "shown", "hot", "cold", "total") for k, (f, _) in FILTERS.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+STEPS = round(AREA_TOP / AREA_STEP)
+SETTINGS = f""", st as (select row_number() over (order by k, b, g, e) setting, k * {AREA_STEP}::double area, nullif(b, '-') b, nullif(g, '-') g, e from range({STEPS + 1}) a(k), (select distinct behaviour b from rg union all select '-'), (select distinct ndvi_direction g from rg union all select '-'), range(5) z(e))
+select setting, area, b behaviour, g direction, e evidence, count(*) filter (area_ha >= area and (b is null or behaviour = b) and (g is null or ndvi_direction = g)
+and case e when 0 then true when 1 then dea_signal when 2 then coalesce(ndvi_signal, false) when 3 then dea_signal and coalesce(ndvi_signal, false) else dea_signal or coalesce(ndvi_signal, false) end) shown from st, rg group by all
+"""
+
+
+@query(REGIONS + SETTINGS)
+def filter_summary(spark, d):
+    """Regions shown for every place of the area slider with every pattern, direction and evidence, all from the summary."""
+    cube = _cube(spark, d)
+    some = lambda c: cube.select(c).distinct().unionByName(spark.sql(f"select '-' {c}"))  # noqa: E731  a few words
+    areas = spark.range(STEPS + 1).select(F.col("id").cast("int").alias("step"))
+    every = areas.join(F.broadcast(some("behaviour"))).join(F.broadcast(some("ndvi_direction"))).join(F.broadcast(spark.range(5).select(F.col("id").alias("evidence"))))
+    order = Window.orderBy("step", "behaviour", "ndvi_direction", "evidence")  # the settings, not the regions
+    e = F.col("evidence")
+    settings = every.select(
+        F.row_number().over(order).alias("setting"),
+        "step",
+        F.nullif("behaviour", F.lit("-")).alias("behaviour"),
+        F.nullif("ndvi_direction", F.lit("-")).alias("direction"),
+        "evidence",
+        *[F.lit(True).alias(c) for c in ("hotspots", "coldspots")],
+        e.isin(1, 3, 4).alias("dea"),
+        e.isin(2, 3, 4).alias("ndvi"),
+        (e == 3).alias("every"),
+    )
+    d = settings.join(summary.for_settings(cube, settings), "setting")
+    return rounded(d.select("setting", (F.col("step") * AREA_STEP).alias("area"), "behaviour", "direction", "evidence", "shown"))
 
 
 IDENTIFY = """
@@ -323,11 +380,17 @@ def nested_context(spark, d):
     return rounded(m.select("feature_id", F.col("c")["1996"]["ndvi_mean"].alias("ndvi_1996"), F.col("c")["1996"]["class"].alias("class_1996"), F.size("c").cast("long").alias("n_years")))
 
 
-@query("select * from (values " + ", ".join(f"('{iv}', {2024 if iv == ENDPOINT else int(iv[5:])}::bigint, '{'2017–2024 overview' if iv == ENDPOINT else iv.replace('_', ' → ')}', '{'overview' if iv == ENDPOINT else iv[2:4] + '–' + iv[7:]}')" for iv in (ENDPOINT, *INTERVALS)) + ") v(interval, imagery_year, label, short_label)")
+LABELS = ", il as (select * from (values " + ", ".join(f"('{iv}', {2024 if iv == ENDPOINT else int(iv[5:])}::bigint, '{'2017–2024 overview' if iv == ENDPOINT else iv.replace('_', ' → ')}', '{'overview' if iv == ENDPOINT else iv[2:4] + '–' + iv[7:]}')" for iv in (ENDPOINT, *INTERVALS)) + ") v(interval, imagery_year, label, short_label))"
+
+
+@query(CELLS + LABELS + ", ep as (select 'endpoint' as interval, list_distance(a.e, b.e) change from cy a join cy b on a.cell_id = b.cell_id and a.year = 2017 and b.year = 2024), al as (select interval, change from ch union all select * from ep) select interval, imagery_year, label, short_label, count(*) cells, round(avg(change), 6) change from al join il using (interval) group by all")
 def interval_labels(spark, d):
-    """Labels of every interval and of the overview, and the year of imagery that goes with each."""
-    rows = spark.createDataFrame([(iv, imagery_year(iv)) for iv in (ENDPOINT, *INTERVALS)], "interval string, imagery_year long")
-    return rows.select("interval", "imagery_year", labels.interval_label(F.col("interval")).alias("label"), labels.interval_short(F.col("interval")).alias("short_label"))
+    """Mean change of the cells by interval and from end to end, with the labels and the year of imagery of each."""
+    whole = change.endpoints(s.cell_year(spark, d), 2017, 2024).select(F.lit(ENDPOINT).alias("interval"), "change")
+    rows = _changes(spark, d).select("interval", "change").unionByName(whole).groupBy("interval").agg(F.count("*").alias("cells"), F.avg("change").alias("change"))
+    iv = F.col("interval")
+    year = reduce(lambda c, x: c.when(iv == x, imagery_year(x)), INTERVALS, F.when(iv == ENDPOINT, imagery_year(ENDPOINT)))
+    return rounded(rows.select("interval", year.cast("long").alias("imagery_year"), labels.interval_label(iv).alias("label"), labels.interval_short(iv).alias("short_label"), "cells", "change"))
 
 
 @query(REGIONS + ", a as (select feature_id, ord from rg union all select feature_id, ord + 1 from rg) select feature_id, max(ord) ord from a group by all")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from terradelta import surrogate as s
 from terradelta.catalog import REGIONS, query
-from terradelta.operators import outlines, regions, search
+from terradelta.operators import outlines, regions, search, search_index
+from terradelta.session import stored
 
 # areas around points that suppliers stand for: a square with a hole, and a triangle that is part of it
 AREAS = """, a as (select s_suppkey area_id, s_suppkey % 7 draw, 145.2::double + (s_suppkey * 37 % 600) / 1000.0::double x, -38.7::double + (s_suppkey * 53 % 350) / 1000.0::double y, 0.01::double + (s_suppkey % 5) * 0.02::double r from supplier),
@@ -95,3 +96,23 @@ def patch_hectares(spark, d):
     """Hectares within the outline of every patch; the SQL counts its cells instead."""
     a = outlines.patch_areas(outlines.rings(_patch_cells(spark, d)), CELL_M2)
     return a.select("patch", F.round("area_m2", 6).alias("area_m2"), F.round(regions.hectares(F.col("area_m2")), 6).alias("area_ha"))
+
+
+@query(
+    """with q as (select s_suppkey query_id, case s_suppkey % 3 when 0 then 'CUSTOMER#' || lpad((s_suppkey % 1000)::varchar, (6 + s_suppkey % 4)::int, '0') when 1 then ' ' || p_name[s_suppkey % 4 + 1:s_suppkey % 4 + 1 + s_suppkey % 5] else p_name[1:1 + s_suppkey % 2] end text from supplier join part on p_partkey = s_suppkey),
+t as (select query_id, lower(trim(text)) t from q where trim(text) <> ''),
+h as (select query_id, 1::bigint source, c_custkey ord, c_name as name from t join customer on starts_with(lower(c_name), t) union all select query_id, 2, p_partkey, p_name from t join part on contains(lower(p_name), t)),
+f as (select * from h qualify row_number() over (partition by query_id, source order by ord) <= 5)
+select query_id, source, ord, name from f qualify row_number() over (partition by query_id order by source, ord) <= 8"""
+)
+def search_many(spark, d):
+    """A query for every supplier over all customers' ids and all parts' names, by stored posting lists."""
+    k, name = F.col("s_suppkey"), F.col("p_name")
+    q = s.table(spark, d, "supplier").join(s.table(spark, d, "part"), F.col("p_partkey") == k)
+    number = F.lpad((k % 1000).cast("string"), 9, "0").substr(F.lit(4) - (k % 4).cast("int"), F.lit(6) + (k % 4).cast("int"))
+    text = F.when(k % 3 == 0, F.concat(F.lit("CUSTOMER#"), number)).when(k % 3 == 1, F.concat(F.lit(" "), name.substr((k % 4 + 1).cast("int"), (k % 5 + 1).cast("int")))).otherwise(name.substr(F.lit(1), (1 + k % 2).cast("int")))
+    ids = s.table(spark, d, "customer").select(F.col("c_custkey").alias("ord"), F.col("c_name").alias("name"))
+    parts = s.table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"))
+    index = [stored(search_index.posting_lists(n), "postings")[0] for n in (ids, parts)]
+    found = search_index.search_all(q.select(k.alias("query_id"), text.alias("text")), ids, index[0], parts, index[1])
+    return found.select("query_id", F.col("source").cast("long").alias("source"), "ord", "name")

@@ -14,6 +14,8 @@ IMAGERY_YEARS = tuple(range(2017, 2026))
 INTERVALS = tuple(f"{a}_{a + 1}" for a in YEARS[:-1])
 ALL = "all"
 ENDPOINT = "endpoint"
+#: The area slider, in hectares.
+AREA_STEP, AREA_TOP = 0.5, 25.0
 
 
 @dataclass(frozen=True)

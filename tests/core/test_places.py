@@ -111,3 +111,26 @@ def test_outline_of_a_long_ring_and_of_nothing(spark):
     _, sides, areas, patches = outline(spark, ["a" * 300, "a" + "." * 298 + "a", "a" * 300])
     assert sorted(a.cells for a in areas.values()) == [-298, 900] and patches[1].perimeter == len(sides) == 606 + 598
     assert outlines.rings(spark.createDataFrame([], "patch long, x long, y long")).collect() == []
+
+
+def test_search_by_index(spark):
+    from terradelta.operators import search_index as x
+
+    names = [(i, n) for i, n in enumerate(["Alpha ring", "alphabet", "beta%_x", "GAMMA alpha", "al", None, "", "aaaa", "Ça va"])] + [(5000 + i, f"alpha {i}") for i in range(40)]
+    d = spark.createDataFrame(names, "ord long, name string")
+    index = x.posting_lists(d).cache()
+    texts = [(1, " ALPHA "), (2, "a"), (3, "%_"), (4, "zzz"), (5, ""), (6, None), (7, "aaaa"), (8, "alpha 39"), (9, "ça"), (10, "l")]
+    q = spark.createDataFrame(texts, "query_id long, text string")
+    for prefix in (True, False):
+        got = {}
+        for r in x.find(q, index, d, prefix, most=6).collect():
+            got.setdefault(r.query_id, []).append((r.place, r.ord))
+        for i, t in texts:
+            t = (t or "").strip().lower()
+            want = [o for o, n in names if t and n is not None and (n.lower().startswith(t) if prefix else t in n.lower())][:6]
+            assert sorted(got.get(i, [])) == list(enumerate(want, 1))
+    assert max(len(r.ords) for r in index.collect()) <= x.BLOCK and index.where("gram = 'alp'").select("block").distinct().count() == 2
+    both = x.search_all(q, d, index, d, index).where("query_id = 1").orderBy("source", "ord").collect()
+    assert [r.source for r in both] == [1] * 5 + [2] * 3
+    plan = x.find(q, index, d, False)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
