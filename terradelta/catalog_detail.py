@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terradelta import surrogate as s
-from terradelta.catalog import CELLS, FILTERS, LONG, REGIONS, YEARS, T, _changes, _region_years, query, rounded
+from terradelta.catalog import CELLS, FILTERS, LONG, REGION_STATS, REGIONS, YEARS, T, _changes, _region_years, query, rounded
 from terradelta.functions import labels, numbers, places
 from terradelta.functions.dates import capture_kind, capture_text, middle_of
-from terradelta.operators import captures, change, history, regions, search, series, summary
+from terradelta.operators import captures, change, history, regions, search, series, summary, yearly
+from terradelta.plans.params import YEARS as YEARS_OF_CELLS
 from terradelta.plans.params import AREA_STEP, AREA_TOP, ENDPOINT, INTERVALS, imagery_year
-from terradelta.session import scratch
-from terradelta.sources import packages
+from terradelta.session import scratch, stored
+from terradelta.sources import loading, packages
 from terradelta.streaming import interactions
 
 # details of the regions, made from the same numbers
@@ -406,3 +408,84 @@ def safe_reads(spark, d):
     """Nested values of texts that may be broken: nothing instead of an error."""
     e = s.table(spark, d, "events")
     return e.select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
+
+
+@query(REGIONS + DETAILS + " select feature_id, behaviour, round(area_m2, 6) area_m2, round(annual_change_2019_2020, 6) annual_change from rg left join de using (feature_id)")
+def details_beside_regions(spark, d):
+    """Every region with its detail, from tables bucketed by id: a join without an exchange."""
+    name = f"t{uuid.uuid4().hex}"
+    r = packages.write_bucketed(s.regions(spark, d).select("feature_id", "behaviour"), f"{name}_regions", scratch(spark, "bucketed-regions"))
+    t = packages.write_bucketed(_details(spark, d).select("feature_id", "ord", "area_m2", "annual_change_2019_2020"), f"{name}_details", scratch(spark, "bucketed-details"))
+    both = regions.with_details(r.hint("merge"), t)
+    return rounded(both.select("feature_id", "behaviour", "area_m2", F.col("annual_change_2019_2020").alias("annual_change")))
+
+
+@query(CELLS + REGION_STATS + "select region_id, n_cells, round(mean_change, 6) mean_change, round(cumulative_change_mean, 6) cumulative_change_mean, round(mean_hotspot_intervals, 6) mean_hotspot_intervals, maximum_hotspot_intervals, round(repeat_change_coverage, 6) repeat_change_coverage, round(variance_mean, 6) variance_mean, round(slope_mean, 6) slope_mean, case when repeat_change_coverage < 0.1 then 'mostly_single_period_change' when repeat_change_coverage < 0.5 then 'mixed_change' else 'repeated_change' end behaviour from st")
+def region_stats_by_year(spark, d):
+    """The regions' statistics from a state that takes one year after the other."""
+    where = scratch(spark, "years")
+    packages.write_table(s.cell_year(spark, d), where, by=("year",))
+    vectors = spark.read.parquet(where)
+    state = yearly.nothing_yet(spark)
+    for year in YEARS_OF_CELLS:  # each reads the folder of its year and the state before
+        state, _ = stored(yearly.advanced(state, vectors.where(F.col("year") == year), T), "year-state")
+    return rounded(yearly.region_stats(state, T))
+
+
+@query(
+    CELLS
+    + """, bu as (select end_year, floor(change / 0.001)::bigint bucket, count(*) n from ch group by all),
+up as (select *, sum(n) over (partition by end_year order by bucket) upto, sum(n) over (partition by end_year) total from bu)
+select end_year::bigint end_year, max(total)::bigint n, round((arg_min(bucket, bucket) + 0.5) * 0.001, 6)::double threshold, round(arg_min(n, bucket) / max(total), 6) rank_error from up where upto >= total * 0.95::double group by end_year"""
+)
+def threshold_by_year(spark, d):
+    """The 95th hundredth of each year's change from counts that are kept by region and year, with the rank error."""
+    where = scratch(spark, "buckets")
+    packages.write_table(yearly.bucket_counts(_changes(spark, d)), where, by=("end_year",))
+    return rounded(yearly.thresholds(spark.read.parquet(where), ["end_year"]))
+
+
+LOADED = """, lf as (select *, (ord - 1) // 100 shard, 'shard=' || ((ord - 1) // 100)::varchar as file, row_number() over (partition by (ord - 1) // 100 order by ord) - 1 place from rg where ord > 0),
+lr as (select *, shard % 5 = 3 cut, case when ord % 41 = 5 then 'no feature_id' when ord % 41 = 7 then 'area_ha is no number' when ord % 41 = 11 then 'no properties' end reason from lf)
+"""
+
+
+def _collections(spark, d):
+    """Regions as files of a hundred, some features broken, every fifth file cut off; the manifest names one file too many."""
+    k = F.col("ord")
+    r = s.regions(spark, d).where("ord > 0").select("feature_id", "feature_type", "behaviour", "area_ha", "ord", F.floor((k - 1) / 100).alias("shard"))
+    area = F.when(k % 41 == 7, F.lit("wide")).otherwise(F.col("area_ha").cast("string"))
+    p = F.when(k % 41 != 11, F.struct(F.when(k % 41 != 5, F.col("feature_id")).alias("feature_id"), "feature_type", "behaviour", area.alias("area_ha")))
+    f = r.groupBy("shard").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.struct(F.lit("Feature").alias("type"), p.alias("properties")).alias("f")))), lambda x: x["f"]).alias("features"))  # a file's hundred
+    text = F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features"))
+    text = F.regexp_replace(text, '"area_ha":"([0-9.E-]+)"', '"area_ha":$1')  # numbers stay numbers
+    text = F.when(F.col("shard") % 5 == 3, F.left(text, F.lit(500))).otherwise(text)
+    where = scratch(spark, "collections")
+    f.select("shard", text.alias("value")).write.partitionBy("shard").text(where)
+    manifest = f.select(F.concat(F.lit("shard="), F.col("shard").cast("string")).alias("file"))
+    return manifest.unionByName(spark.range(1).select(F.lit("shard=none").alias("file"))), where
+
+
+@query(
+    REGIONS
+    + LOADED
+    + """select file, case when cut then 'no collection' when count(reason) > 0 then 'broken records' else 'ok' end status, case when cut then 0 else count(*) end records, case when cut then 0 else count(reason) end broken from lr group by file, cut
+union all select 'shard=none', 'missing', 0, 0"""
+)
+def load_report(spark, d):
+    """What became of every file that a manifest names, each apart from the others."""
+    manifest, path = _collections(spark, d)
+    files = loading.opened(manifest, path, depth=2)
+    return loading.report(files, loading.records(files))
+
+
+@query(REGIONS + LOADED + "select file, place, reason from lr where not cut and reason is not null")
+def load_broken(spark, d):
+    """Broken features with their file, place and reason."""
+    return loading.broken(loading.records(loading.opened(*_collections(spark, d), depth=2))).select("file", "place", "reason")
+
+
+@query(REGIONS + LOADED + "select feature_id, behaviour, round(area_ha, 6) area_ha from lr where not cut and reason is null")
+def load_sound(spark, d):
+    """The features that are sound, read in spite of the others."""
+    return rounded(loading.sound(loading.records(loading.opened(*_collections(spark, d), depth=2))).select("feature_id", "behaviour", "area_ha"))
