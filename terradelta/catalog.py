@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terradelta import surrogate as s
 from terradelta.functions import labels
 from terradelta.functions.dates import capture_date
-from terradelta.functions.places import centre, coordinates
+from terradelta.functions.places import centre, coordinates, corners
 from terradelta.operators import captures, change, history, regions, search, series
 from terradelta.plans.params import INTERVALS, RegionFilter, Thresholds
 from terradelta.streaming import interactions
@@ -213,7 +213,7 @@ select feature_id, interval, replace(interval, '_', ' → ') as label, interval[
 def timeline_table(spark, d):
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
     ndvi = s.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("ord"), (2017 + F.year("o_orderdate") - 1994).alias("year")).agg(s.greenness(F.sum(cents), F.count("*")).alias("ndvi_mean"))
-    return rounded(history.timeline(regions.stacked_intervals(s.regions(spark, d), ["feature_id", "ord"]), ndvi, "ord"))
+    return rounded(history.timeline(s.regions(spark, d), ndvi, "ord"))
 
 
 @query(REGIONS + LONG + " select feature_id, interval, round(change, 6) change, round(hotspot, 6) hotspot from lo")
@@ -277,7 +277,7 @@ def _targets(spark, d):
 
 @query(NEAREST + "select * from near")
 def capture_nearest(spark, d):
-    return rounded(captures.nearest_sorted(_targets(spark, d), s.captures(spark, d), "region", CAPTURE_DAYS))
+    return rounded(captures.nearest(_targets(spark, d), s.captures(spark, d), "region", CAPTURE_DAYS))
 
 
 @query(NEAREST + "select year, count(*) filter (available) available, count(*) filter (kind = 'same year') same_year, count(*) targets from near group by all")
@@ -286,9 +286,10 @@ def capture_availability(spark, d):
     return rounded(n.groupBy("year").agg(F.count_if("available").alias("available"), F.count_if(F.col("kind") == "same year").alias("same_year"), F.count("*").alias("targets")))
 
 
-@query(NEAREST + "select region, year, case when nearest_day is not null then distance_days end distance_days from near")
+@query(NEAREST + "select region, year, nearest_day, distance_days, capture_id from near")
 def capture_nearest_sorted(spark, d):
-    return rounded(captures.nearest_sorted(_targets(spark, d), s.captures(spark, d), "region", CAPTURE_DAYS).select("region", "year", "distance_days"))
+    """The same choice without pairs, by one sort of each region's days and years."""
+    return rounded(captures.nearest_sorted(_targets(spark, d), s.captures(spark, d), "region", CAPTURE_DAYS).select("region", "year", "nearest_day", "distance_days", "capture_id"))
 
 
 @query("select o_orderkey, strftime(o_orderdate, '%Y%m%d') src_date, o_orderdate::date as day from orders")
@@ -353,6 +354,18 @@ def bbox_summary(spark, d):
     return rounded(b.withColumn("lon", lon).withColumn("lat", lat))
 
 
+@query(
+    REGIONS
+    + """, b as (select ord // 100 shard, min(lon) w, min(lat) s, max(lon) e, max(lat) n from rg group by all), c as (select shard, unnest([1, 2, 3, 4]) k, [(w, n), (e, n), (e, s), (w, s)] p from b)
+select shard::bigint shard, k::bigint corner, round(p[k][1], 6) lon, round(p[k][2], 6) lat from c"""
+)
+def bbox_corners(spark, d):
+    """The four corners of the box around every hundred regions, from the north-west on."""
+    b = s.regions(spark, d).groupBy(F.floor(F.col("ord") / 100).alias("shard")).agg(*[f(c).alias(k) for f, c, k in ((F.min, "lon", "w"), (F.min, "lat", "s"), (F.max, "lon", "e"), (F.max, "lat", "n"))])
+    d = b.select("shard", F.posexplode(corners(*map(F.col, "wsen"))).alias("k", "p"))
+    return rounded(d.select("shard", (F.col("k") + 1).alias("corner"), F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat")))
+
+
 SQUARES = """, q as (select i * 10 + j area_id, 145.2::double + i * 0.1::double w, 145.2::double + (i + 1) * 0.1::double e, -38.7::double + j * 0.1::double s, -38.7::double + (j + 1) * 0.1::double n from range(6) a(i), range(10) b(j))
 """
 SIDES = """, v as (select 2 * area_id + k area_id, unnest(case k when 0 then [(w, s, e, s), (e, s, e, n), (e, n, w, s)] else [(w, s, e, n), (e, n, w, n), (w, n, w, s)] end) t from q, range(2) z(k)),

@@ -110,15 +110,11 @@ def interval_short(iv: Column) -> Column:
     return F.when(iv == "endpoint", F.lit("overview")).otherwise(F.concat(F.substring(F.get(years, F.lit(0)), 3, 2), F.lit("–"), F.substring(F.get(years, F.lit(1)), 3, 2)))
 
 
-def interval_start(iv: Column) -> Column:
-    return F.get(F.split(iv, "_"), F.lit(0)).try_cast("int")
-
-
 def interval_end(iv: Column) -> Column:
     return F.get(F.split(iv, "_"), F.lit(1)).try_cast("int")
 
 
-# fixed values: sentences on repeated change; %d is the share in whole percent
+# fixed values: sentences on repeated change; most follow the share in whole percent
 SUMMARY_LOW = "Little or no strong embedding change was detected here across the study period."
 SUMMARY_REPEATED = "% of this area changed strongly in at least two annual periods. Repeated change was therefore widespread across the area."
 SUMMARY_MIXED = "% of this area changed strongly in at least two annual periods. Some parts changed repeatedly, while others changed once or not strongly."
@@ -138,6 +134,7 @@ def repeat_sentence(behaviour: Column, coverage: Column) -> Column:
     )
 
 
+# the sentences below are fixed values, too
 def land_headline(outcome: Column, first: Column, last: Column) -> Column:
     return F.when(outcome == "stayed", F.concat(F.lit("Stayed "), first)).when(outcome == "returned", F.concat(F.lit("Returned to "), last)).otherwise(F.concat(first, F.lit(" → "), last))
 

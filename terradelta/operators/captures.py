@@ -13,11 +13,24 @@ from terradelta.plans.params import Thresholds
 NO_RESOLUTION = 9999.0
 
 
+SALTS = 16
+
+
 def last_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per key: the last one, with the place of the first."""
-    rest = [c for c in rows.columns if c not in keys]
-    d = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r"), F.min(F.struct(*order)).alias("f"))
-    return d.select(*keys, "r.*", *[F.col(f"f.{c}").alias(f"first_{c}") for c in order])
+    """One row per key: the last one, with the place of the first.
+
+    One sort of the rows, in which a key is dealt to SALTS tasks at most, so
+    that a key of a third of all rows is not in one task; then one of what these
+    leave, which is SALTS rows a key.
+    """
+    rest = [c for c in rows.columns if c not in (*keys, *order)]
+    first = [f"first_{c}" for c in order]
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+    w = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    d = salted.select(*keys, *order, *rest, *[F.first(c).over(w).alias(f) for c, f in zip(order, first, strict=True)], F.lead(F.lit(1)).over(w).alias("_more")).where("_more is null")
+    least = F.min(F.struct(*first)).over(Window.partitionBy(*keys))
+    d = d.withColumn("_f", least).withColumn("_more", F.lead(F.lit(1)).over(Window.partitionBy(*keys).orderBy(*order))).where("_more is null")
+    return d.select(*keys, *[c for c in rows.columns if c not in keys], *[F.col(f"_f.{f}").alias(f) for f in first])
 
 
 def top_of(rows: DataFrame, keys: list[str], draw: Column, resolution: Column, tie: list[str]) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terradelta.functions.labels import detailed_class, interval_label, interval_short, land_headline, ndvi_action
+from terradelta.functions.labels import detailed_class, interval_end, interval_label, interval_short, land_headline, ndvi_action
 from terradelta.functions.numbers import percent_text
+from terradelta.operators.regions import stacked_intervals
 from terradelta.plans.params import Thresholds
 
 
@@ -77,8 +78,14 @@ def outcomes(changes: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     return d.withColumn("ndvi_direction", direction).withColumn("ndvi_action", ndvi_action(F.col("ndvi_change")))
 
 
-def timeline(region_interval: DataFrame, region_year: DataFrame, key: str = "feature_id") -> DataFrame:
-    """A row per region and interval: labels, change, strong share, greenness of its end year."""
-    d = region_interval.where("interval <> 'endpoint'").withColumn("end_year", F.get(F.split("interval", "_"), F.lit(1)).cast("int"))
-    ndvi = region_year.select(key, F.col("year").alias("end_year"), "ndvi_mean")
-    return d.join(ndvi, [key, "end_year"], "left").select("feature_id", "interval", interval_label(F.col("interval")).alias("label"), interval_short(F.col("interval")).alias("short_label"), "change", "hotspot", "ndvi_mean")
+def timeline(wide: DataFrame, region_year: DataFrame, key: str = "feature_id") -> DataFrame:
+    """A row per region and interval: labels, change, strong share, greenness of its end year.
+
+    wide: regions with a column for each interval.  The years of a region come
+    to it as a map, so regions are joined once each and unfold afterwards.
+    """
+    years = region_year.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("year", "ndvi_mean"))).alias("_years"))  # a region's years
+    keys = list(dict.fromkeys(["feature_id", key]))
+    d = stacked_intervals(wide.join(years, key, "left"), [*keys, "_years"])
+    ndvi = F.element_at("_years", interval_end(F.col("interval"))).alias("ndvi_mean")
+    return d.select("feature_id", "interval", interval_label(F.col("interval")).alias("label"), interval_short(F.col("interval")).alias("short_label"), "change", "hotspot", ndvi)

@@ -56,20 +56,6 @@ def search(query: str, regions: DataFrame, places: DataFrame, remote: DataFrame
     return found.orderBy("source", "ord").limit(IN_ALL)
 
 
-def reverse(points: DataFrame, addresses: DataFrame) -> DataFrame:
-    """(feature_id, title, locality) of points(feature_id, feature_type, lon, lat): the nearest of a small address table.
-
-    addresses(ord, display_name, town, village, city, municipality, county, lon,
-    lat) is a fixed list of places, small enough to stand in each row's comparison.
-    """
-    a = F.broadcast(addresses.groupBy().agg(F.collect_list(F.struct(*addresses.columns)).alias("all")))  # one row: a fixed list
-    gap = lambda p: (p["lon"] - F.col("lon")) * (p["lon"] - F.col("lon")) + (p["lat"] - F.col("lat")) * (p["lat"] - F.col("lat"))
-    d = points.join(a).withColumn("p", F.array_min(F.transform("all", lambda p: F.struct(gap(p).alias("gap"), p["ord"].alias("ord"), p.alias("place"))))["place"])
-    place = lambda k: F.col(f"p.{k}")
-    locality = first_of(*map(place, ("town", "village", "city", "municipality", "county")), F.get(F.split(place("display_name"), ","), F.lit(0)))
-    return d.select("feature_id", place_title(F.col("feature_type"), locality).alias("title"), locality.alias("locality"))
-
-
 def nearest_places(points: DataFrame, places: DataFrame, most: int = MOST) -> DataFrame:
     """(point_id, ord, gap): the nearest place of each point, by squared distance, the least ord of equals.
 
@@ -94,7 +80,10 @@ def nearest_places(points: DataFrame, places: DataFrame, most: int = MOST) -> Da
 
 
 def reverse_nearest(points: DataFrame, addresses: DataFrame) -> DataFrame:
-    """reverse() for address tables of any size: (feature_id, title, locality) of points(feature_id, feature_type, lon, lat)."""
+    """(feature_id, title, locality) of points(feature_id, feature_type, lon, lat), from the nearest address.
+
+    addresses: (ord, display_name, town, village, city, municipality, county, lon, lat).
+    """
     near = nearest_places(points.select(F.col("feature_id").alias("point_id"), "lon", "lat"), addresses).select(F.col("point_id").alias("feature_id"), "ord")
     d = points.select("feature_id", "feature_type").join(near, "feature_id").join(addresses.drop("lon", "lat"), "ord")
     locality = first_of(*map(F.col, ("town", "village", "city", "municipality", "county")), F.get(F.split("display_name", ","), F.lit(0)))

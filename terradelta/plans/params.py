@@ -88,8 +88,3 @@ def imagery_year(interval: str, years: tuple[int, ...] = IMAGERY_YEARS) -> int:
 
 def clamped(year: int, years: tuple[int, ...] = IMAGERY_YEARS) -> int:
     return min(max(year, years[0]), years[-1])
-
-
-def stepped(values: tuple, current, step: int):
-    """The neighbour of a value, no further than the ends."""
-    return values[min(max(values.index(current) + step, 0), len(values) - 1)]

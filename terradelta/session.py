@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import logging
 import tempfile
 import uuid
 
@@ -28,9 +30,19 @@ def use_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
+def _remove(spark: SparkSession, where: str) -> None:
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception as e:  # the session may have ended; the folder is scratch
+        logging.getLogger(__name__).info("%s stays: %s", where, e)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder."""
-    return f"{shared_dir(spark)}/terradelta/{name}-{uuid.uuid4().hex}"
+    """A new place in the shared folder, emptied at the driver's end."""
+    where = f"{shared_dir(spark)}/terradelta/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, where)
+    return where
 
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:

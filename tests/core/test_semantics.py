@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terradelta.functions import dates, labels, numbers, places
 from terradelta.operators import captures, change, history, regions, search, series
-from terradelta.plans.params import IMAGERY_YEARS, INTERVALS, RegionFilter, Thresholds, clamped, imagery_year, stepped
+from terradelta.plans.params import RegionFilter, Thresholds, clamped, imagery_year
 from terradelta.sources import packages
 
 REGION = "id int, feature_type string, behaviour string, area_ha double, ndvi_direction string, dea_signal boolean, ndvi_signal boolean, hotspot_2017_2018 double"
@@ -193,9 +193,8 @@ def test_packages(spark, tmp_path):
     assert [(r.year, r.ordinal, r.release_num) for r in packages.candidates(packages.json_object(spark, f"{tmp_path}/c.json", packages.CATALOGUE)).collect()] == [(2017, 0, 5)]
 
 
-def test_years_and_steps():
+def test_years():
     assert imagery_year("2019_2020") == 2020 and imagery_year("endpoint") == 2024 and clamped(2030) == 2025
-    assert stepped(INTERVALS, "2017_2018", -1) == "2017_2018" and stepped(IMAGERY_YEARS, 2017, 1) == 2018
     assert Thresholds().capture_days == 548
 
 
