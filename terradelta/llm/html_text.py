@@ -9,6 +9,10 @@ which blocks are article; it is grown (Gini, exact splits) from the small
 labelled table that ``labelled_blocks`` makes from generated pages, on
 the driver, and sent along as a nested tuple.
 
+Inline elements end no block.  One that is hidden, or whose name or role says
+that it is no article (adverts, share links, comments), leaves its own text out
+of the block around it; blocks inside it inherit its signs.
+
 Character references are decoded, white space inside a block becomes one space,
 and the chosen blocks are joined in page order by two newlines.
 
@@ -32,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*$")
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
@@ -45,7 +50,7 @@ CLOSES_P = BLOCK_TAGS - {"button", "label", "option", "optgroup", "html", "body"
 BOILER_TAGS = frozenset("nav footer aside form menu select option optgroup button label legend fieldset dialog head".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
 BOILER_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adslot adunit sponsor sponsored sponsors promo promos promoted promotion menu nav navi navbar navigation breadcrumb breadcrumbs crumbs sidebar sidebars rail widget widgets footer foot bottombar masthead topbar toolbar banner cookie cookies consent gdpr privacy notice notices notification notifications alert alerts announcement popup modal overlay lightbox paywall newsletter subscribe subscription signup signin login register search share shares sharing social follow related recommended recommendations recommend recirculation outbrain taboola trending popular mostread pagination pager paginator skip tags taglist tagcloud copyright legal disclaimer aside hidden print toc rating ratings poll survey donate cta".split()
+    "ad ads adsbygoogle adv advert adverts advertisement advertising adsense adslot adunit sponsor sponsored sponsors promo promos promoted promotion menu nav navi navbar navigation breadcrumb breadcrumbs crumbs sidebar sidebars rail widget widgets footer foot bottombar masthead topbar toolbar banner cookie cookies consent gdpr privacy notice notices notification notifications alert alerts announcement popup modal overlay lightbox paywall newsletter subscribe subscription signup signin login register search share shares sharing social follow related recommended recommendations recommend recirculation outbrain taboola trending popular mostread pagination pager paginator skip tags taglist tagcloud copyright legal disclaimer aside hidden print toc rating ratings poll survey donate cta".split()
 )
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond responses discussion guestbook".split())
 CONTENT_WORDS = frozenset("article content post entry story main body text page prose copy".split())
@@ -109,6 +114,22 @@ def blocks(page: str) -> tuple[list[Block], dict[int, int]]:
     stack: list[_Open] = []
     parts: list[tuple[str, bool]] = []
     link, number, at, n = False, 0, 0, len(page)
+    body = _opened("body", "", None, 0)
+
+    def block_of() -> _Open:
+        """The innermost open block-level element."""
+        for o in reversed(stack):
+            if o.tag in BLOCK_TAGS:
+                return o
+        return body
+
+    def add(text: str) -> None:
+        """Take text into the block, unless an inline element keeps it out of the article that the block itself does not."""
+        if stack and stack[-1].tag not in BLOCK_TAGS:
+            top, base = stack[-1], block_of()
+            if (top.boiler_tag, top.comment, top.name_at >= 0) != (base.boiler_tag, base.comment, base.name_at >= 0):
+                text = " "
+        parts.append((text, link))
 
     def end_block() -> None:
         nonlocal parts
@@ -121,8 +142,8 @@ def blocks(page: str) -> tuple[list[Block], dict[int, int]]:
         if not b.text:
             return
         b.words = b.text.count(" ") + 1
-        b.tag = stack[-1].tag if stack else "body"
-        top = stack[-1] if stack else _opened("body", "", None, 0)
+        top = block_of()
+        b.tag = top.tag
         for name in ("boiler_tag", "name_at", "comment", "in_article", "content", "header", "label", "form_at"):
             setattr(b, name, getattr(top, name))
         found.append(b)
@@ -135,28 +156,35 @@ def blocks(page: str) -> tuple[list[Block], dict[int, int]]:
                 link = False
                 return
 
+    def close_inline(tag: str) -> None:
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i].tag == tag:
+                del stack[i:]
+                return
+            if stack[i].tag in BLOCK_TAGS:
+                return
+
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
-            parts.append((page[at:], link))
+            add(page[at:])
             break
         if m.start() > at:
-            parts.append((page[at : m.start()], link))
+            add(page[at : m.start()])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
         if m[1] or m[4]:
-            if tag == "a":
-                link = False
-            elif tag in BLOCK_TAGS:
+            if tag in BLOCK_TAGS:
                 end_block()
                 close(tag)
+            else:
+                link = link and tag != "a"
+                close_inline(tag)
             continue
         raw = m[3] if m[2] else m[6]
-        if tag == "a":
-            link = True
-        elif tag == "br":
+        if tag == "br":
             parts.append((" ", link))
         elif tag in RAW_TAGS:
             if tag in BLOCK_TAGS:
@@ -182,6 +210,12 @@ def blocks(page: str) -> tuple[list[Block], dict[int, int]]:
             if tag not in VOID_TAGS:
                 number += 1
                 stack.append(_opened(tag, raw, stack[-1] if stack else None, number))
+        elif tag not in VOID_TAGS and (tag == "a" or not _CLOSED.search(raw)):
+            if tag == "a":
+                link = True
+                close_inline(tag)
+            number += 1
+            stack.append(_opened(tag, raw, stack[-1] if stack else None, number))
     end_block()
     shares: dict[int, int] = {}
     for b in found:

@@ -48,6 +48,21 @@ def test_odd_input(spark):
     assert re.fullmatch("page_id,url,text,n_chars", ",".join(h.extract(pages).columns))
 
 
+def test_inline_elements_keep_what_is_no_article_out():
+    t = tree()
+    text = "real text here that goes on for a good while " * 12
+    for inline in ('<span class="ad">BUY NOW</span>', "<span hidden>BUY NOW</span>", '<a class="share" href=/>BUY NOW</a>', '<x-box class="related">BUY <b>NOW</b></x-box>', '<ins class="adsbygoogle">BUY NOW</ins>', '<i style="display: none">BUY <i>NOW</i></i>'):
+        got = h.main_text(f"<article><h1>Some title</h1><p>{text}</p><p>Hello {inline} world</p><p>{text}</p></article>", t)
+        assert "BUY" not in got and "NOW" not in got and got.count(text.strip()) == 2 and "Hello" in got and "world" in got
+    assert "\n\nHello world\n\n" in h.main_text(f"<article><p>{text}</p><p>Hello <span class=ad>BUY</span> world</p><p>{text}</p></article>", t)
+    got = h.main_text(f'<article><h1>Some title</h1><p>{text}</p><ins class="adsbygoogle"><div>BUY</div> NOW</ins><p>{text}</p></article>', t)
+    assert "BUY" not in got and "NOW" not in got and got.count(text.strip()) == 2
+    # what is open stays open: other inline elements, unclosed ones, and a name around the whole page
+    assert h.main_text(f"<article><p><b>Bold <i>and</i> <a href=/x>link</a> stay<p>{text}</p></article>", t) == f"Bold and link stay\n\n{text.strip()}"
+    assert text.strip() in h.main_text(f'<font class="print"><article><p>{text}</p></article></font>', t)
+    assert h.main_text(f'<article><p>One <span class="ad">BUY<p>{text}</p></article>', t) == f"One\n\n{text.strip()}"
+
+
 def test_offsets_forms_and_nested_raw_elements():
     tree = h.grow(*h.labelled_blocks())
     text = "real text here that goes on for a good while " * 12
