@@ -68,4 +68,11 @@ def test_stages_and_run(spark, tmp_path):
     assert all(r.round_trip for r in out)
 
 
+def test_tables_of_which_nothing_stays(spark, tmp_path):
+    for name, rows in (("none", []), ("rejected", [(1, "too short", "en", "a", 9), (None, None, None, None, None)])):
+        spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.collect() == [] and "ids" in out.columns
+
+
 assert test_mixing  # the mix itself is held against brute force there
