@@ -110,10 +110,6 @@ def interval_short(iv: Column) -> Column:
     return F.when(iv == "endpoint", F.lit("overview")).otherwise(F.concat(F.substring(F.get(years, F.lit(0)), 3, 2), F.lit("–"), F.substring(F.get(years, F.lit(1)), 3, 2)))
 
 
-def interval_end(iv: Column) -> Column:
-    return F.get(F.split(iv, "_"), F.lit(1)).try_cast("int")
-
-
 # fixed values: sentences on repeated change; most follow the share in whole percent
 SUMMARY_LOW = "Little or no strong embedding change was detected here across the study period."
 SUMMARY_REPEATED = "% of this area changed strongly in at least two annual periods. Repeated change was therefore widespread across the area."

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terradelta.functions.labels import detailed_class, interval_end, interval_label, interval_short, land_headline, ndvi_action
+from terradelta.functions.labels import detailed_class, interval_label, interval_short, land_headline, ndvi_action
 from terradelta.functions.numbers import percent_text
-from terradelta.operators.regions import stacked_intervals
-from terradelta.plans.params import Thresholds
+from terradelta.plans.params import INTERVALS, Thresholds
 
 
 def dominant(cells: DataFrame, keys: list[str], column: str = "class", t: Thresholds = Thresholds(), sums: tuple[str, ...] = ()) -> DataFrame:
@@ -81,11 +80,11 @@ def outcomes(changes: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
 def timeline(wide: DataFrame, region_year: DataFrame, key: str = "feature_id") -> DataFrame:
     """A row per region and interval: labels, change, strong share, greenness of its end year.
 
-    wide: regions with a column for each interval.  The years of a region come
-    to it as a map, so regions are joined once each and unfold afterwards.
+    wide: regions with a column for each interval.  A region's years become one
+    row of columns, so regions are joined once each and unfold afterwards.
     """
-    years = region_year.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("year", "ndvi_mean"))).alias("_years"))  # a region's years
-    keys = list(dict.fromkeys(["feature_id", key]))
-    d = stacked_intervals(wide.join(years, key, "left"), [*keys, "_years"])
-    ndvi = F.element_at("_years", interval_end(F.col("interval"))).alias("ndvi_mean")
-    return d.select("feature_id", "interval", interval_label(F.col("interval")).alias("label"), interval_short(F.col("interval")).alias("short_label"), "change", "hotspot", ndvi)
+    ends = {iv: int(iv.split("_")[1]) for iv in INTERVALS}
+    years = region_year.groupBy(key).agg(*[F.max(F.when(F.col("year") == y, F.col("ndvi_mean"))).alias(f"_ndvi_{iv}") for iv, y in ends.items()])
+    rows = F.array(*[F.struct(F.lit(iv).alias("interval"), F.col(f"change_{iv}").alias("change"), F.col(f"hotspot_{iv}").alias("hotspot"), F.col(f"_ndvi_{iv}").alias("ndvi_mean")) for iv in INTERVALS])
+    d = wide.join(years, key, "left").select("feature_id", F.inline(rows))
+    return d.select("feature_id", "interval", interval_label(F.col("interval")).alias("label"), interval_short(F.col("interval")).alias("short_label"), "change", "hotspot", "ndvi_mean")

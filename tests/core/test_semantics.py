@@ -66,8 +66,8 @@ def test_labels(spark):
     got = values(spark, [("x",), (None,), ("mixed_change",)], "s string", a=labels.behaviour_label(F.col("s")), c=labels.behaviour_colour(F.col("s")), d=labels.direction_label(F.col("s")))
     assert [(r.a, r.c) for r in got] == [("Some repeated change", labels.GREY)] * 2 + [("Some repeated change", "#dc7927")] and got[0].d == "Not available"
     assert [r.a for r in values(spark, [("Unknown 0",), ("",), (None,), ("Wheat",)], "s string", a=labels.detailed_class(F.col("s")))] == ["Detailed class unavailable"] * 3 + ["Wheat"]
-    r = values(spark, [("2017_2018",), ("endpoint",)], "s string", a=labels.interval_label(F.col("s")), b=labels.interval_short(F.col("s")), e=labels.interval_end(F.col("s")))
-    assert (r[0].a, r[0].b, r[0].e) == ("2017 → 2018", "17–18", 2018) and r[1].a == "2017–2024 overview" and r[1].e is None
+    r = values(spark, [("2017_2018",), ("endpoint",)], "s string", a=labels.interval_label(F.col("s")), b=labels.interval_short(F.col("s")))
+    assert (r[0].a, r[0].b) == ("2017 → 2018", "17–18") and r[1].a == "2017–2024 overview"
     r = values(spark, [("a", ""), (None, "b"), ("", None)], "x string, y string", a=labels.joined(F.col("x"), F.col("y")))
     assert [x.a for x in r] == ["a", "b", ""]
     r = values(spark, [("mostly_single_period_change", 0.004), ("mixed_change", 0.115), ("low_change_reference", None)], "b string, c double", a=labels.repeat_sentence(F.col("b"), F.col("c")))
