@@ -9,7 +9,8 @@ the tokens of some doc_ids, and skip all other pages.  Spark's committer writes
 the files: a lost executor repeats its own part only.
 
 Encoding.  The tokenizers library encodes each distinct run of text between
-safe cuts once (``runs.RunIds``); a cut before a single space, or around a single
+safe cuts once (``runs.RunIds``), and a word with signs behind it, such as
+"word,", from the ids of the word and of the signs; a cut before a single space, or around a single
 line break, between two other characters never falls inside a pre-token, so the
 ids of the runs, one after the other, are the ids of the whole text.  This holds
 for byte-level pre-tokenizers without a normaliser; with any other tokenizer a
@@ -29,7 +30,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -49,6 +50,8 @@ _OTHER_BLANKS = [chr(c) for c in (9, 11, 12, 13, 28, 29, 30, 31, 133, 160, 5760,
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Words in one call's string; longer strings take longer for each word.
 _JOINED = 200
+#: A word of Latin letters and ASCII signs behind it; the pre-tokenizer always cuts between them.
+_WORD_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -58,6 +61,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> np.ndarray:
+    """The code point that byte-level vocabularies use for each byte: itself if it prints, else the next from 256 on."""
+    prints = np.zeros(256, bool)
+    for a, b in ((33, 127), (161, 173), (174, 256)):
+        prints[a:b] = True
+    return np.where(prints, np.arange(256), 255 + np.cumsum(~prints)).astype("<u4")
+
+
 def _cuttable(path: str) -> bool:
     """Whether the tokenizer's own rules allow the cuts."""
     with open(path, encoding="utf-8") as f:
@@ -75,25 +86,41 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        from tokenizers.pre_tokenizers import Split
+
         self.tokenizer, self.cuttable = Tokenizer.from_file(path), _cuttable(path)
-        self.spaced = None
+        self.spaced = self.whole = None
         if self.cuttable:
             pieces = self.tokenizer.get_vocab()
             self.spaced = np.zeros(max(pieces.values()) + 1, bool)
             self.spaced[[i for x, i in pieces.items() if x[0] in "Ġ "]] = True
+            added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+            if all(re.search("[A-Za-z]", x) and re.search("[!-/:-@]", x) for x in added):  # none lies within a word or its signs
+                self.whole, self.letters = Tokenizer.from_file(path), _byte_letters()
+                self.whole.pre_tokenizer = Split("Ġ", "merged_with_next")
         self.runs = RunIds(self._learn)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _spaced_ids(self, words: list[str]) -> list[list[int]]:
+        return self._ids([" " + " ".join(words[at : at + _JOINED]) for at in range(0, len(words), _JOINED)])
+
+    def _letter_ids(self, words: list[str]) -> list[list[int]]:
+        """As _spaced_ids, for words of letters alone: their bytes are mapped here and spaces are the only cuts to look for."""
+        joined = []
+        for at in range(0, len(words), _JOINED):
+            raw = np.frombuffer((" " + " ".join(words[at : at + _JOINED])).encode(), np.uint8)
+            joined.append(self.letters[raw].tobytes().decode("utf-32-le"))
+        return [x.ids for x in self.whole.encode_batch_fast(joined, add_special_tokens=False)]
+
+    def _words(self, words: list[str], joined: Callable[[list[str]], list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each word with a space before it has, and all of them; many words in one call.
 
         Each word's first id has a space in front, so as many of these as words tell them apart.
         """
         if self.spaced is not None:
-            found = self._ids([" " + " ".join(words[at : at + _JOINED]) for at in range(0, len(words), _JOINED)])
-            ids = np.fromiter(chain.from_iterable(found), np.int32)
+            ids = np.fromiter(chain.from_iterable(joined(words)), np.int32)
             starts = np.flatnonzero(self.spaced[ids])
             if len(starts) == len(words):
                 return np.diff(np.append(starts, len(ids))), ids
@@ -101,19 +128,30 @@ class Encoder:
         return np.array([len(x) for x in found], np.int64), np.fromiter(chain.from_iterable(found), np.int32)
 
     def _learn(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        others = [i for i, x in enumerate(runs) if "\n" in x]
-        if not others:
-            return self._words(runs)
-        words = np.ones(len(runs), bool)
-        words[others] = False
-        more = self._ids([runs[i][1:] if runs[i][0] == "\n" else " " + runs[i] for i in others])
-        n, ids = self._words([x for x in runs if "\n" not in x])
-        counts = np.empty(len(runs), np.int64)
-        counts[words], counts[others] = n, [len(x) for x in more]
-        upto, out = np.cumsum(counts), np.empty(counts.sum(), np.int32)
-        out[ragged((upto - counts)[words], n)] = ids
-        out[ragged((upto - counts)[others], counts[others])] = np.fromiter(chain.from_iterable(more), np.int32)
-        return counts, out
+        """How many ids each run has, and all of them: each is one or two parts, and a part is encoded once."""
+        words, signs, spaced, others = {}, {}, [], []  # parts, with their places; runs that are no word with signs
+        first, second = np.empty(len(runs), np.int64), np.full(len(runs), -1)
+        for i, x in enumerate(runs):
+            if self.whole is not None and (m := _WORD_SIGNS.fullmatch(x)):
+                word, sign = m.groups()
+                first[i] = words.setdefault(word, len(words))
+                if sign:
+                    second[i] = signs.setdefault(sign, len(signs))
+            elif "\n" in x:
+                others.append(i)
+            else:
+                spaced.append(i)
+        n, ids = self._words(list(words), self._letter_ids)
+        m, more = self._words([runs[i] for i in spaced], self._spaced_ids)
+        rest = self._ids([*signs, *(runs[i][1:] if runs[i][0] == "\n" else " " + runs[i] for i in others)])
+        counts = np.concatenate([n, m, np.fromiter(map(len, rest), np.int64, len(rest))])
+        ids = np.concatenate([ids, more, np.fromiter(chain.from_iterable(rest), np.int32)])
+        first[spaced] = len(n) + np.arange(len(spaced))
+        first[others] = len(n) + len(m) + len(signs) + np.arange(len(others))
+        parts = np.stack([first, np.where(second >= 0, len(n) + len(m) + second, len(counts))], axis=1)
+        counts = np.append(counts, 0)  # the last part is none
+        lengths = counts[parts]
+        return lengths.sum(axis=1), ids[ragged((np.cumsum(counts) - counts)[parts].ravel(), lengths.ravel())]
 
     def _cut(self, text: str | None) -> list[str]:
         if not text:

@@ -86,3 +86,15 @@ def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     t.write_tokens(docs, f"{tmp_path}/e")
     assert t.read_digest(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_words_with_signs_have_the_library_s_ids():
+    import random
+
+    e = token_output.Encoder(token_output.default_tokenizer())
+    parts = ["don't", "ab,", "x'", "é,,", "Straße...", "×a", "a×,", "ɏ!", "ɐ!", "_a_", "a_", "12,", "a1,", "日本,", "<|endoftext|>", "a<|endoftext|>", "<|", "á,", "$$", "word$$$", "\t", "  ", "Ġa", "a­,", " ", "µ,", "ª", "'s,", "ÿ'", "İ,", "…,"]
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choice(parts) + rnd.choice(["", " ", " ", "\n"]) for _ in range(rnd.randrange(30))) for _ in range(3000)]
+    ids, n = e.encode(texts)
+    assert e.whole is not None and n.tolist() == [len(x) for x in e._ids(texts)]
+    assert ids.tolist() == [i for x in e._ids(texts) for i in x]
