@@ -1,10 +1,11 @@
 """Line dedup: lines within one word of an earlier line go, the earliest stays.
 
 A line is normalised to lower case with single spaces.  All lines with a word are
-compared for equality.  The edit bound is one word in NEAR_WORDS, one word at
-most: lines of at least NEAR_WORDS words also go if one inserted, deleted or
-replaced word turns them into an earlier one; in shorter lines one word is too
-much of the line.  Order is (doc_id, hash of the text, line number); an occurrence
+compared for equality.  The edit bound is one word in lines of at least
+``near_words`` words: these also go if one inserted, deleted or replaced word turns
+them into an earlier one of at least so many words.  In shorter lines one word is
+too much of the line (a date, a name); ``near_words=2`` lets the bound hold for all
+lines with more than one word.  Order is (doc_id, hash of the text, line number); an occurrence
 goes if an earlier line, kept or not, is equal or within the bound.
 
 Plan, all of it DataFrame expressions:
@@ -31,8 +32,9 @@ only after its stored size has been checked.
 
 Edge cases: a null or empty text has no lines and comes back as it was; rows of
 one doc_id with different texts are documents of their own, in the order of
-their hashes; repeated rows (same doc_id, same text) share their verdicts; rows
-without doc_id come first; a document left without a word is dropped by ``dedup``
+their hashes; of repeated rows (same doc_id, same text) one, told by the hash of
+the whole row, is the earliest and the others lose all lines; rows without doc_id
+come first; a document left without a word is dropped by ``dedup``
 (all it said stands earlier); an empty table gives an empty result; other
 columns pass through, whatever their names.
 """
@@ -44,7 +46,7 @@ from pyspark.sql import functions as F
 
 from terradelta.llm.common import GAP, small_or_not, stored
 
-#: Words of a line from which on one edited word is within the bound.
+#: Words of a line from which on one edited word is within the bound, unless told otherwise.
 NEAR_WORDS = 8
 BLOCK = 64
 
@@ -70,12 +72,12 @@ def _half(side: str, q: Column) -> Column:
     return F.xxhash64(F.lit(side), q, part)
 
 
-def _halves(d: DataFrame) -> DataFrame:
+def _halves(d: DataFrame, near_words: int) -> DataFrame:
     """Adds the keys of the halves that one edit can leave alone."""
-    near = F.col("n") >= NEAR_WORDS
+    near = F.col("n") >= near_words
     for i, q in enumerate((F.floor(F.col("n") / 2), F.floor((F.col("n") - 1) / 2))):
         d = d.withColumn("q", q.cast("int"))
-        used = near if i == 0 else near & (F.col("n") % 2 == 0)
+        used = near if i == 0 else (F.col("n") > near_words) & (F.col("n") % 2 == 0)  # for lines of a word less, if these are near too
         d = d.withColumn(f"f{i}", F.when(used, _half("first", F.col("q")))).withColumn(f"l{i}", F.when(used, _half("last", F.col("q"))))
     return d.drop("q")
 
@@ -135,25 +137,47 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return c.where(within_one(F.col("w"), F.col("v"))).select("h").distinct()
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, copy, at, near): the occurrences that go."""
+def _places(docs: DataFrame, near_words: int) -> DataFrame:
+    """(doc_id, copy, at, near, goes): the occurrences of repeated and near lines, and whether they go."""
     docs = docs.select("doc_id", "text")
-    rows, _ = stored(_halves(line_rows(docs)).drop("t"), "line-rows")  # texts are normalised once
+    rows, _ = stored(_halves(line_rows(docs), near_words).drop("t"), "line-rows")  # texts are normalised once
     d = rows.groupBy("h", "n", "f0", "l0", "f1", "l1").agg(F.min(F.struct("doc_id", "copy", "at")).alias("first"), F.count("*").alias("c"))
     distinct, _ = stored(d, "line-distinct")
     near, _ = stored(near_lines(docs, distinct).select(F.col("h").alias("nh")), "line-near")
     going = distinct.join(near, F.col("h") == F.col("nh"), "left").where("c > 1 or nh is not null")
     going = small_or_not(going.select(F.col("h").alias("gh"), F.col("n").alias("gn"), "first", F.col("nh").isNotNull().alias("near")), "line-going")
     d = rows.select("doc_id", "copy", "at", "h", "n").join(going, (F.col("h") == F.col("gh")) & (F.col("n") == F.col("gn")))
-    return d.where(F.col("near") | ~F.struct("doc_id", "copy", "at").eqNullSafe(F.col("first"))).select("doc_id", "copy", "at", "near")
+    return d.select("doc_id", "copy", "at", "near", (F.col("near") | ~F.struct("doc_id", "copy", "at").eqNullSafe(F.col("first"))).alias("goes"))
 
 
-def with_removed(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text, gone, near): row holds all columns of docs, gone the numbers of the lines that go (null: none), near how many of these are near."""
-    gone = removed_lines(docs).groupBy(F.col("doc_id").alias("id"), "copy").agg(F.collect_set("at").alias("gone"), F.countDistinct(F.when(F.col("near"), F.col("at"))).alias("near"))
-    d = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
-    d = d.join(small_or_not(gone, "line-gone"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("copy")), "left")
-    return d.select("row", "doc_id", "text", "gone", "near")
+def removed_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
+    """(doc_id, copy, at, near): the occurrences that go; those of a repeated row, as many times as it repeats."""
+    return _places(docs, near_words).where("goes").drop("goes")
+
+
+def with_removed(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
+    """(row, doc_id, text, gone, near, again): one row for each document of docs.
+
+    row holds all columns of docs, gone the numbers of the lines that go (null: none),
+    near how many of these are near, again how many further rows have the same
+    doc_id and text: these lose all lines and are left out here.
+    """
+    gone = _places(docs, near_words).groupBy(F.col("doc_id").alias("id"), "copy").agg(
+        F.collect_set(F.when(F.col("goes"), F.col("at"))).alias("gone"),
+        F.size(F.collect_set(F.when(F.col("near"), F.col("at")))).alias("near"),
+        (F.count("*") / F.size(F.collect_set("at"))).cast("long").alias("same"),  # a repeated row repeats all its lines
+    )
+    gone = gone.where((F.size("gone") > 0) | (F.col("same") > 1)).withColumn("gone", F.when(F.size("gone") > 0, F.col("gone")))
+    gone = small_or_not(gone, "line-gone")
+    d = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", F.xxhash64("text").alias("c"))
+    d = d.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("c") == F.col("copy")), "left")
+    own = ["row", "doc_id", "text", "gone", "near"]
+    once = d.where("coalesce(same, 1) = 1").select(*own, F.lit(0).cast("long").alias("again"))
+    if gone.where("same > 1").isEmpty():
+        return once
+    first = F.min_by(F.struct(*own), F.xxhash64("row")).alias("f")  # combined before it is shuffled: one row per task, however often a row repeats
+    many = d.where("same > 1").groupBy("id", "c").agg(first, (F.count("*") - 1).alias("again"))
+    return once.unionByName(many.select("f.*", "again"))
 
 
 def _left() -> Column:
@@ -163,9 +187,9 @@ def _left() -> Column:
     return F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """docs without the lines that go and without documents that lose all words; n_chars follows, if there."""
-    d = with_removed(docs).select("row", "gone", _left().alias("left"))
+    d = with_removed(docs, near_words).select("row", "gone", _left().alias("left"))
     d = d.where(F.col("gone").isNull() | F.col("left").rlike("[^\\x20\\x09-\\x0D]"))
     own = {c: F.col("row")[c] for c in docs.columns}
     if "n_chars" in own:
@@ -177,7 +201,11 @@ def dedup(docs: DataFrame) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, those that go, the near ones of these, and the code points and hash of what is left."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    d = with_removed(docs).withColumn("left", F.coalesce(_left(), F.lit("")))
+    d = with_removed(docs).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("again"))).alias("k"))  # further rows of a document lose all lines
+    lines = F.split("text", "\n", -1)
+    spoken = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike("[^\\x20\\x09-\\x0D]"))
+    d = d.withColumns({"gone": F.when(F.col("k") == 0, F.col("gone")).otherwise(spoken), "near": F.when(F.col("k") == 0, F.col("near"))})
+    d = d.withColumn("left", F.coalesce(_left(), F.lit("")))
     return d.select(
         "doc_id",
         F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"),

@@ -15,14 +15,14 @@ def apart(a, b):
     return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def brute(rows):
+def brute(rows, near=line_dedup.NEAR_WORDS):
     seen, gone = [], {}
     for doc, text in sorted(rows, key=lambda r: r[0]):
         for at, line in enumerate((text or "").split("\n") if text is not None else []):
             w = re.sub("[\x20\x09-\x0d]+", " ", line.lower()).strip(" ").split(" ")
             if w == [""]:
                 continue
-            if any(v == w or len(w) >= line_dedup.NEAR_WORDS and len(v) >= line_dedup.NEAR_WORDS and apart(v, w) for v in seen):
+            if any(v == w or len(w) >= near and len(v) >= near and apart(v, w) for v in seen):
                 gone.setdefault(doc, set()).add(at)
             seen.append(w)
     return gone
@@ -48,13 +48,13 @@ def rows_of(seed):
 
 
 def test_matches_brute_force(spark):
-    for seed in (1, 2):
+    for seed, near in ((1, line_dedup.NEAR_WORDS), (2, line_dedup.NEAR_WORDS), (3, 2), (4, 3), (5, 9)):
         rows = rows_of(seed)
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
         got = {}
-        for r in line_dedup.removed_lines(docs).collect():
+        for r in line_dedup.removed_lines(docs, near).collect():
             got.setdefault(r.doc_id, set()).add(r.at)
-        assert got == brute(rows)
+        assert got == brute(rows, near)
 
 
 def test_dedup_keeps_rows_and_columns(spark):
@@ -82,5 +82,17 @@ def test_rows_are_documents(spark):
     got = line_dedup.dedup(docs)
     assert got.columns == docs.columns and all(tuple(r)[2:] == (1, 2, 3, 4) for r in got.collect())
     texts = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
-    assert (1, "totally unique line text") in texts and (2, "more") in texts and texts.count((3, "same\nrow")) == 2
+    assert (1, "totally unique line text") in texts and (2, "more") in texts and texts.count((3, "same\nrow")) == 1
     assert sum("first of all lines" in t for _, t in texts) == 1 and sum("no name" in t for _, t in texts) == 1
+
+
+def test_repeated_rows_keep_one(spark, tmp_path):
+    rows = [(7, "a b c\n\nd e f g h i j k", x) for x in (1, 2, 3)] + [(8, "a b c\nown words", 4), (None, "no id", 5), (None, "no id", 6), (9, " \n", 7), (9, " \n", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, other int").repartition(4)
+    got = sorted(((r.doc_id, r.text) for r in line_dedup.dedup(docs).collect()), key=str)
+    assert got == sorted([(7, rows[0][1]), (8, "own words"), (None, "no id"), (9, " \n"), (9, " \n")], key=str)
+    again = {tuple(r) for r in line_dedup.dedup(docs.repartition(2)).collect()}
+    assert again == {tuple(r) for r in line_dedup.dedup(docs).collect()}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    told = sorted((r.doc_id, r.n_lines, r.n_removed, r.n_chars_left) for r in line_dedup.op6_line_dedup(spark, str(tmp_path)).collect() if r.doc_id in (7, 8, 9))
+    assert told == [(7, 3, 0, 22), (7, 3, 2, 0), (7, 3, 2, 0), (8, 2, 1, 9), (9, 2, 0, 2), (9, 2, 0, 2)]

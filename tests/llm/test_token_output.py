@@ -91,7 +91,7 @@ def test_empty_table(spark, tmp_path):
 def test_words_with_signs_have_the_library_s_ids():
     import random
 
-    e = token_output.Encoder(token_output.default_tokenizer())
+    e = t.Encoder(t.default_tokenizer())
     parts = ["don't", "ab,", "x'", "é,,", "Straße...", "×a", "a×,", "ɏ!", "ɐ!", "_a_", "a_", "12,", "a1,", "日本,", "<|endoftext|>", "a<|endoftext|>", "<|", "á,", "$$", "word$$$", "\t", "  ", "Ġa", "a­,", " ", "µ,", "ª", "'s,", "ÿ'", "İ,", "…,"]
     rnd = random.Random(7)
     texts = ["".join(rnd.choice(parts) + rnd.choice(["", " ", " ", "\n"]) for _ in range(rnd.randrange(30))) for _ in range(3000)]
