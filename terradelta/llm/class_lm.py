@@ -23,9 +23,10 @@ Training, on the documents that are not held out:
    back), or after ROUNDS.  RARE and the end token have a class each; no word's
    class is taken from its spelling.  The driver holds class bigrams and a class per
    word.
-4. Emissions: (c + 1) / (N_k + V_k + 1) for a token of class k, with the count of
-   the word itself, rare or not; the one in the sum stands for all unseen words of
-   that class.  Transitions are shrunk to the class frequencies.  Both sum to one.
+4. Emissions: (c + 1) / (N_k + V_k) for a token of class k, with the count of the
+   word itself, rare or not.  Unseen words are all of class RARE, where one more in
+   the sum stands for them.  Transitions are shrunk to the class frequencies.  Both
+   sum to one.
 
 Scoring is one pass over the numbers.  Words below HEAD are joined with the
 stored counts by word.  All such words are rare, so no key is hot.  perplexity is
@@ -387,8 +388,9 @@ class Model:
         own = self.of[: len(known)]
         sizes = np.bincount(own, weights=known + 1, minlength=CLASSES)
         sizes[FREE] += totals["n"] - known.sum() + totals["v"] - len(known)
+        sizes[FREE] += 1  # all unseen words
         sizes[FREE + 1] += self.ends + (self.ends > 0)
-        self.rooms = np.log10(sizes + 1)
+        self.rooms = np.log10(np.maximum(sizes, 1))  # no path meets a class without words
 
 
 def _score(shared):

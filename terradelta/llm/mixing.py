@@ -63,7 +63,8 @@ def fill(sizes: Sequence[int], weights: Sequence[float], total: float, most: flo
         for i in over:
             target[i] = float(most * sizes[i])
         left -= sum(target[i] for i in over)
-        open_ = [i for i in open_ if i not in set(over)]
+        full = set(over)
+        open_ = [i for i in open_ if i not in full]
     return target
 
 
@@ -187,7 +188,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     d = d.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("from")) & (F.col("c") == F.col("copy")))
     once = d.where("same = 1").select("row", "copies")
     if not chosen.where("same > 1").isEmpty():  # repeated rows share their copies, the first ones have one more
-        place = F.row_number().over(Window.partitionBy("id", "from", "copy").orderBy(F.lit(1)))
+        place = F.row_number().over(Window.partitionBy("id", "from", "copy").orderBy(F.xxhash64("row")))  # the same rows on every run
         more = d.where("same > 1").withColumn("k", place)
         once = once.unionByName(more.select("row", (F.floor(F.col("copies") / F.col("same")) + (F.col("k") <= F.col("copies") % F.col("same")).cast("long")).alias("copies")).where("copies > 0"))
     return once.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))).select("row.*")

@@ -41,6 +41,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from terradelta.llm.common import ship
 from terradelta.llm.runs import RunIds, groups, ragged
@@ -424,7 +425,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, with_ids: bool =
     """Ids of each row of docs(doc_id, text, ...), whether they decode to the text, and checksums."""
     ship(docs.sparkSession)
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
-    return docs.select("doc_id", "text").mapInArrow(_run(model or default_model(), with_ids), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_run(model or default_model(), with_ids), schema)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,13 +94,18 @@ def test_scores_equal_brute_force(spark, monkeypatch):
     members[end] = 1
     assert all(m.bigrams[a, b] == pairs[a, b] for a in range(class_lm.CLASSES) for b in range(class_lm.CLASSES))
     assert np.allclose((10**m.moves).sum(1), 1) and m.gained == sorted(m.gained)[: len(m.gained)] or m.gained[-1] <= max(m.gained)
-    assert all(abs(10 ** m.rooms[k] - (size[k] + members[k] + 1)) < 1e-6 for k in range(class_lm.CLASSES))
+    members[class_lm.FREE] += 1  # all unseen words
+    assert all(abs(10 ** m.rooms[k] - max(size[k] + members[k], 1)) < 1e-6 for k in range(class_lm.CLASSES))
+    given = Counter({end: m.ends + 1, class_lm.FREE: 1})
+    for w, c in count.items():
+        given[kind(w)] += c + 1
+    assert all(given[k] / 10 ** m.rooms[k] == pytest.approx(1) for k in given)  # emissions sum to one
     assert len({m.of[i] for i in range(len(head))}) > 1 and all(m.of[i] < class_lm.FREE for i in range(len(head)))
     monkeypatch.setattr(class_lm, "HEAD", 40)
     for r in class_lm.score(docs).collect():
         t = dict(rows)[r.doc_id].split()
         path = [end, *map(kind, t), end]
-        want = sum(m.moves[a, b] for a, b in zip(path, path[1:])) + sum(math.log10((count.get(w, 0) + 1) / (size[kind(w)] + members[kind(w)] + 1)) for w in t) + math.log10((m.ends + 1) / (size[end] + 2))
+        want = sum(m.moves[a, b] for a, b in zip(path, path[1:])) + sum(math.log10((count.get(w, 0) + 1) / (size[kind(w)] + members[kind(w)])) for w in t) + math.log10((m.ends + 1) / (size[end] + 1))
         assert r.score == pytest.approx(want) and r.perplexity == pytest.approx(10 ** (-want / r.n_tokens))
 
 
