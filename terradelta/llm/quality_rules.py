@@ -5,8 +5,9 @@ one ``0``, everything else than letters and digits as one space) and hashed.
 For each host (the ``source`` column) the operator counts the distinct
 documents of each line.  A line above ``max_docs`` documents is removed: ``keep``
 returns the texts without it.  Whole copies count once, as copies are for the
-deduplication operators to judge: the line must stand in more than ``max_docs``
-different texts and under more than ``max_docs`` different doc_ids.  A document
+deduplication operators to judge: the line must also stand in more than
+``max_texts`` different texts (``max_docs`` of them, unless told otherwise; 0 counts
+documents alone, copies or not).  A document
 whose remaining words are under ``min_left`` of its words is depleted and rejected.
 
 Plan: texts are normalised once, and hash, place and words of each line are
@@ -105,21 +106,21 @@ def _places(rows: DataFrame) -> DataFrame:
     return rows.select("host", "doc", "copy", F.posexplode("hashes").alias("at", "h")).where(F.col("h") != F.xxhash64(F.lit("")))
 
 
-def common_lines(rows: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+def common_lines(rows: DataFrame, max_docs: int = MAX_DOCS, max_texts: int | None = None) -> DataFrame:
     """(host, h) of the lines above the limit; rows as line_rows() gives them."""
     lines = _places(rows).select("host", "doc", "copy", "h")
     texts = lines.groupBy("host", "h", "copy").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n"))
-    many = small_or_not(texts.where(F.col("n") > max_docs).select(F.col("host").alias("ch"), F.col("h").alias("cl")), "many-texts")
+    many = small_or_not(texts.where(F.col("n") > (max_docs if max_texts is None else max_texts)).select(F.col("host").alias("ch"), F.col("h").alias("cl")), "many-texts")
     d = lines.join(many, F.col("host").eqNullSafe(F.col("ch")) & (F.col("h") == F.col("cl")))
     d = d.groupBy("host", "h", "doc").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n"))
     return d.where(F.col("n") > max_docs).select("host", "h")
 
 
-def losses(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
+def losses(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, max_texts: int | None = None) -> DataFrame:
     """(host, copy, gone, n_left, depleted) of the texts that hold common lines; gone are the numbers of these lines."""
     rows, _ = stored(line_rows(docs), "quality-lines")
-    common = small_or_not(common_lines(rows, max_docs).select(F.col("host").alias("ch"), F.col("h").alias("cl")), "common-lines")
-    d = _places(rows).join(common, F.col("host").eqNullSafe(F.col("ch")) & (F.col("h") == F.col("cl"))).select("host", "doc", "copy", "at").distinct()
+    common = small_or_not(common_lines(rows, max_docs, max_texts).select(F.col("host").alias("ch"), F.col("h").alias("cl")), "common-lines")
+    d = _places(rows).join(common, F.col("host").eqNullSafe(F.col("ch")) & (F.col("h") == F.col("cl"))).select("host", "copy", "at")
     d = d.groupBy("host", "copy", "at").agg(F.lit(1).alias("one")).groupBy("host", "copy").agg(F.collect_list("at").alias("gone"))  # a text's lines
     # words of lines without letters and digits don't count on either side
     counted = F.zip_with("words", "hashes", lambda w, h: F.when(h != F.xxhash64(F.lit("")), w).otherwise(0))
@@ -130,25 +131,25 @@ def losses(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT
     return d.select("host", "copy", "gone", (n - lost).cast("long").alias("n_left"), (n - lost < min_left * n).alias("depleted"))
 
 
-def _with_losses(docs: DataFrame, max_docs: int, min_left: float) -> DataFrame:
+def _with_losses(docs: DataFrame, max_docs: int, min_left: float, max_texts: int | None) -> DataFrame:
     """(row, doc_id, text, gone, n_left, depleted): row holds all columns of docs."""
-    lost = small_or_not(losses(docs.select("doc_id", "source", "text"), max_docs, min_left), "quality-losses")
+    lost = small_or_not(losses(docs.select("doc_id", "source", "text"), max_docs, min_left, max_texts), "quality-losses")
     d = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", F.col("source").alias("own"), F.xxhash64("text").alias("own_copy"))
     d = d.join(lost, F.col("own").eqNullSafe(F.col("host")) & (F.col("own_copy") == F.col("copy")), "left")
     return d.select("row", "doc_id", "text", "gone", "n_left", "depleted")
 
 
-def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
+def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, max_texts: int | None = None) -> DataFrame:
     """docs with the base columns, n_left_words (null if no line is common) and kept."""
-    d = with_base(_with_losses(docs, max_docs, min_left))
+    d = with_base(_with_losses(docs, max_docs, min_left, max_texts))
     kept = ~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False))
     found = {**{c: F.col(c) for c in BASE}, "n_left_words": F.col("n_left"), "kept": kept}
     return d.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in found], *[v.alias(k) for k, v in found.items()])
 
 
-def keep(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
+def keep(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, max_texts: int | None = None) -> DataFrame:
     """The documents that pass, with their own columns only and without the common lines; n_chars follows, if there."""
-    d = _with_losses(docs, max_docs, min_left).where(~F.coalesce("depleted", F.lit(False)))
+    d = _with_losses(docs, max_docs, min_left, max_texts).where(~F.coalesce("depleted", F.lit(False)))
     # a generator keeps the filter, and with it the statistics' lambdas, from being copied below
     d = with_base(d).select(F.inline(F.array(F.struct("row", "text", "gone", "base_failed")))).where(~F.col("base_failed"))
     lines = F.split("text", "\n", -1)

@@ -75,3 +75,9 @@ def test_documents_without_id_stay(spark):
     docs = spark.createDataFrame([(None, "a", "one two three"), (1, "b", "four five six")], "doc_id long, source string, text string")
     got = mixing.mix_documents(docs, weights=[1.0], share=1.0).collect()
     assert {r.doc_id for r in got} == {None, 1}
+
+
+def test_repeated_rows_share_copies_alike_on_every_run(spark):
+    docs = spark.createDataFrame([(1, "a", "one two three", x) for x in range(9)] + [(2, "a", "four five", 9)], "doc_id long, source string, text string, other int")
+    runs = [sorted(r.other for r in mixing.mix_documents(docs.repartition(n), weights=[1.0], share=1.4).collect()) for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2] and 10 <= len(runs[0]) < 20

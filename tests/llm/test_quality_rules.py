@@ -117,3 +117,11 @@ def test_inner_lines_of_a_block_go(spark):
     docs = spark.createDataFrame([(i, "a", f"{block}\nown " + " ".join(f"w{chr(97 + i)}{chr(97 + j)}" for j in range(20))) for i in range(12)], "doc_id long, source string, text string")
     assert q.common_lines(q.line_rows(docs), 5).count() == 8
     assert not any(r.kept for r in q.judge(docs, max_docs=5).collect()) and q.keep(docs, max_docs=5).count() == 0
+
+
+def test_copies_count_as_documents_if_told(spark):
+    text = "a notice of these very words\nown " + " ".join(f"w{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(60))
+    docs = spark.createDataFrame([(i, "a", text) for i in range(100)] + [(i, "b", text) for i in range(100, 115)], "doc_id long, source string, text string")
+    assert q.keep(docs).count() == 115  # one text
+    assert sorted(r.doc_id for r in q.keep(docs, max_texts=0).collect()) == list(range(100, 115))
+    assert q.common_lines(q.line_rows(docs), max_texts=0).count() == 2
