@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from terradelta import surrogate as s
 from terradelta.functions import labels
 from terradelta.functions.dates import capture_date
+from terradelta.functions.numbers import rounded_to
 from terradelta.functions.places import centre, coordinates, corners
 from terradelta.operators import captures, change, history, regions, search, series
 from terradelta.plans.params import INTERVALS, RegionFilter, Thresholds
@@ -32,7 +33,7 @@ def query(sql: str | None):
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c).cast("long").alias(c) if kind == "int" else F.col(c) for c, kind in df.dtypes])
+    return df.select(*[rounded_to(F.col(c), digits).alias(c) if kind == "double" else F.col(c).cast("long").alias(c) if kind == "int" else F.col(c) for c, kind in df.dtypes])
 
 
 CELLS = f"""
@@ -426,4 +427,4 @@ def latest_request_wins(spark, d):
 @query("select epoch_us(date_trunc('day', ts))::bigint day_us, event_type, count(*) n, round(sum(value), 4) total from events group by all")
 def window_results(spark, d):
     r = interactions.results(s.table(spark, d, "events"))
-    return r.select(F.unix_micros("day").alias("day_us"), "event_type", "n", F.round("total", 4).alias("total"))
+    return r.select(F.unix_micros("day").alias("day_us"), "event_type", "n", rounded_to(F.col("total"), 4).alias("total"))

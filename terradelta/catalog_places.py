@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terradelta import surrogate as s
 from terradelta.catalog import REGIONS, query
+from terradelta.functions.numbers import rounded_to
 from terradelta.operators import outlines, regions, search, search_index
 from terradelta.session import stored
 
@@ -95,7 +96,7 @@ def patch_outlines(spark, d):
 def patch_hectares(spark, d):
     """Hectares within the outline of every patch; the SQL counts its cells instead."""
     a = outlines.patch_areas(outlines.rings(_patch_cells(spark, d)), CELL_M2)
-    return a.select("patch", F.round("area_m2", 6).alias("area_m2"), F.round(regions.hectares(F.col("area_m2")), 6).alias("area_ha"))
+    return a.select("patch", rounded_to(F.col("area_m2"), 6).alias("area_m2"), rounded_to(regions.hectares(F.col("area_m2")), 6).alias("area_ha"))
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terradelta import surrogate as s
 from terradelta.catalog import SESSIONS, query
+from terradelta.functions.numbers import rounded_to
 from terradelta.session import scratch
 from terradelta.streaming import interactions, jobs
 
@@ -36,7 +37,7 @@ def stream_latest(spark, d):
     """The newest request of every user and type, told anew in each run that brings one."""
     r = jobs.replay(spark, scratch(spark, "latest"), {"events": _arrivals(spark, d)}, lambda events: interactions.latest(interactions.timed(events), ["user_id", "event_type"]), "update")
     last = jobs.last_states(r, ["user_id", "event_type"]).where("event_id >= 0")
-    return last.select("user_id", "event_type", "event_id", F.round("value", 6).alias("value"), "requests", "revisions")
+    return last.select("user_id", "event_type", "event_id", rounded_to(F.col("value"), 6).alias("value"), "requests", "revisions")
 
 
 @query(ARRIVED + "select epoch_us(date_trunc('day', ts))::bigint day_us, event_type, count(*) n, round(sum(value), 4) total, count(distinct part) revisions from p group by all")
@@ -44,7 +45,7 @@ def stream_results(spark, d):
     """Daily counts, provisional until the last run that changes them."""
     r = jobs.replay(spark, scratch(spark, "results"), {"events": _arrivals(spark, d)}, interactions.results, "update")
     last = jobs.last_states(r, ["day", "event_type"]).where("event_type is not null")
-    return last.select(F.unix_micros("day").alias("day_us"), "event_type", "n", F.round("total", 4).alias("total"), "revisions")
+    return last.select(F.unix_micros("day").alias("day_us"), "event_type", "n", rounded_to(F.col("total"), 4).alias("total"), "revisions")
 
 
 @query("select event_id, user_id, event_type from events")

@@ -18,6 +18,15 @@ def finite(c: Column) -> Column:
     return F.when(F.abs(c) < F.lit(float("inf")), c)
 
 
+def rounded_to(c: Column, digits: int) -> Column:
+    """Rounded as a double, half away from zero: the scaled value decides, so a tie that the scaling makes or breaks falls as in SQL.
+
+    round(c, digits) takes the decimal text of c instead, which differs for values beside a tie.
+    """
+    scale = F.lit(float(10**digits))
+    return F.round(c * scale) / scale
+
+
 def euclidean(a: Column, b: Column) -> Column:
     """Distance of two float vectors, in double; NULL if either is NULL or their lengths differ."""
     squares = F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0)))
@@ -57,7 +66,7 @@ def resolution_text(c: Column) -> Column:
 
 def number_text(c: Column, digits: int = 2) -> Column:
     """At most so many decimals, thousands with commas; a dash for missing and NaN."""
-    text = F.format_number(F.round(c.cast("double"), digits), digits)
+    text = F.format_number(rounded_to(c.cast("double"), digits), digits)
     text = F.regexp_replace(text, r"\.?0+$", "") if digits else text
     return F.when(F.coalesce(c.cast("double"), F.lit(float("nan"))) != F.lit(float("nan")), F.when(text == "-0", F.lit("0")).otherwise(text)).otherwise("—")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from terradelta.functions.numbers import rounded_to
+
 # fixed value: the form of two coordinates
 PAIR = r"^(-?\d{1,3}(?:\.\d+)?)\s*[, ]\s*(-?\d{1,3}(?:\.\d+)?)$"
 NEARBY = 0.015
@@ -40,7 +42,7 @@ def centre(west: Column, south: Column, east: Column, north: Column) -> tuple[Co
 
 
 def grid_key(lon: Column, lat: Column, digits: int = 3) -> Column:
-    return F.concat_ws(":", F.format_string(f"%.{digits}f", F.round(lon, digits)), F.format_string(f"%.{digits}f", F.round(lat, digits)))
+    return F.concat_ws(":", F.format_string(f"%.{digits}f", rounded_to(lon, digits)), F.format_string(f"%.{digits}f", rounded_to(lat, digits)))
 
 
 def crossings(lon: Column, lat: Column, ring: Column) -> Column:

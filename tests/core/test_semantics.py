@@ -230,3 +230,19 @@ def test_both_nearest_forms_agree(spark):
     targets = spark.createDataFrame([(k, y) for k in "abcd" for y in (2017, 2019)], "k string, year int")
     one, two = (sorted(map(tuple, f(targets, shots, "k").collect()), key=str) for f in (captures.nearest, captures.nearest_sorted))
     assert one == two and ("a", 2019) in [(r[0], r[1]) for r in one if r[5] == 2]
+
+
+def test_ties_of_rounding_fall_as_in_sql(spark):
+    """0.3105 - 0.816 is 505.5 thousandths once scaled, but its text is a little less."""
+    import duckdb
+
+    values = [(a / 1e6 - b / 1e6,) for a in range(310_000, 312_000, 500) for b in range(500_000, 900_000, 500)]
+    d = spark.createDataFrame(values, "x double")
+    got = [tuple(r) for r in d.select("x", numbers.rounded_to(F.col("x"), 3).alias("r")).collect()]
+    c = duckdb.connect()
+    c.execute("create table t as select unnest(?::double[]) x", [[x for x, _ in got]])
+    assert [r for _, r in got] == [r for (r,) in c.execute("select round(x, 3) from t").fetchall()]
+    assert d.where(numbers.rounded_to(F.col("x"), 3) != F.round("x", 3)).count() > 0
+    notes = [r[0] for r in d.limit(2000).select(labels.ndvi_note(F.col("x"))).collect()]
+    want = c.execute("select regexp_replace(printf('%.3f', round(abs(x), 3)), '\\.?0+$', '') from t limit 2000").fetchall()
+    assert [n.split(" by ")[1].split(" ")[0] for n in notes] == [w for (w,) in want]
