@@ -88,3 +88,13 @@ def test_cell_with_one_change_has_no_slope(spark):
     want = {r.region_id: r.slope_mean for r in change.region_stats(change.intervals(cells)).collect()}
     assert math.isfinite(want[0]) and math.isnan(want[1])
     assert [r.slope for r in change.cell_stats(spark.createDataFrame([(1, 1, "a", 2018, None)], "region_id long, cell_id long, interval string, end_year int, change double")).collect()] == [None]
+
+
+def test_state_of_a_cell_with_one_change_has_no_slope(spark):
+    rows = [(r, r * 10 + c, y, [float(y % 3 + c), 1.0]) for r in (0, 1) for c in (0, 1) for y in range(2017, 2021) if (r, c) != (1, 1) or y < 2019]
+    cells = spark.createDataFrame(rows, CELLS)
+    state = yearly.nothing_yet(spark)
+    for year in range(2017, 2021):
+        state = yearly.advanced(state, cells.where(F.col("year") == year))
+    got = {r.region_id: r.slope_mean for r in yearly.region_stats(state).collect()}
+    assert math.isfinite(got[0]) and math.isnan(got[1])
