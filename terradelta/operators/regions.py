@@ -9,7 +9,7 @@ from terradelta.functions.labels import behaviour_colour, behaviour_label, inter
 from terradelta.functions.places import in_ring, in_rings
 from terradelta.operators.quadtree import MOST, Quadtree
 from terradelta.plans.params import ENDPOINT, INTERVALS, RegionFilter
-from terradelta.session import use_checkpoints
+from terradelta.session import small_or_not, stored, use_checkpoints
 
 
 def select_regions(regions: DataFrame, f: RegionFilter = RegionFilter()) -> DataFrame:
@@ -101,20 +101,25 @@ def hit_top(points: DataFrame, areas: DataFrame, most: int = MOST) -> DataFrame:
 
     points: (point_id, lon, lat); areas: (area_id, draw, rings array<array<struct<x,y>>>).
     An area is what an odd number of its rings encloses, so later rings cut holes
-    or add islands.  The squares of the join follow the points: where these are
-    dense, squares are small, so a crowded place costs as many tests as it has
-    points times areas there, in many tasks.
+    or add islands.  Points of one place are tested once, and of areas with the
+    same rings only the one on top.  The squares of the join follow the places:
+    where these are dense, squares are small, so a crowded part costs as many tests
+    as it has different places times different shapes there, in many tasks.
     """
-    where = points.where(F.col("lon").isNotNull() & F.col("lat").isNotNull())
-    tree = Quadtree(where, most)
+    where = points.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select("point_id", "lon", "lat")
+    spots, _ = stored(where.select("lon", "lat").distinct(), "hit-spots")  # equal places have one answer
+    best = areas.groupBy("rings").agg(F.max(F.struct("draw", (-F.col("area_id")).alias("a"))).alias("b"))  # of equal shapes one is on top of the others
+    best = best.select("b", "rings")
+    tree = Quadtree(spots, most)
     ends = lambda axis: F.transform(F.flatten("rings"), lambda p: p[axis])
-    boxes = areas.select("area_id", "draw", "rings", F.array_min(ends("x")).alias("w"), F.array_max(ends("x")).alias("e"), F.array_min(ends("y")).alias("s"), F.array_max(ends("y")).alias("n"))
+    boxes = best.select("b", "rings", F.array_min(ends("x")).alias("w"), F.array_max(ends("x")).alias("e"), F.array_min(ends("y")).alias("s"), F.array_max(ends("y")).alias("n"))
     tiles = tree.meeting(boxes.where("w is not null"))
-    d = tree.of_points(where.select("point_id", "lon", "lat"), F.col("point_id")).join(tiles, ["level", "gx", "gy", "salt"])
+    d = tree.of_points(spots, F.struct("lon", "lat")).join(tiles, ["level", "gx", "gy", "salt"])
     d = d.where(F.col("lon").between(F.col("w"), F.col("e")) & F.col("lat").between(F.col("s"), F.col("n")))
     d = d.where(in_rings(F.col("lon"), F.col("lat"), F.col("rings")))
-    top = d.groupBy("point_id").agg(F.max(F.struct("draw", (-F.col("area_id")).alias("a"))).alias("t"))
-    return top.select("point_id", (-F.col("t.a")).alias("area_id"), F.col("t.draw").alias("draw"))
+    top = small_or_not(d.groupBy("lon", "lat").agg(F.max("b").alias("t")), "hit-top")
+    each = where.join(top, ["lon", "lat"]).groupBy("point_id").agg(F.max("t").alias("t"))
+    return each.select("point_id", (-F.col("t.a")).alias("area_id"), F.col("t.draw").alias("draw"))
 
 
 def neighbours(cells: DataFrame) -> DataFrame:

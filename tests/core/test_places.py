@@ -134,3 +134,24 @@ def test_search_by_index(spark):
     assert [r.source for r in both] == [1] * 5 + [2] * 3
     plan = x.find(q, index, d, False)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+class Counted(Quadtree):
+    """Tells how many points were looked up."""
+
+    rows: list[int] = []
+
+    def of_points(self, points, salt):
+        self.rows.append(points.count())
+        return super().of_points(points, salt)
+
+
+def test_hits_test_equal_places_and_shapes_once(spark, monkeypatch):
+    monkeypatch.setattr(regions, "Quadtree", Counted)
+    Counted.rows.clear()
+    points = [(i, float(i % 3), 0.5) for i in range(300)]
+    square = [[(-1.0, 0.0), (1.5, 0.0), (1.5, 1.0), (-1.0, 1.0)]]
+    areas = [(i, i % 5, square) for i in range(50)]
+    got = regions.hit_top(spark.createDataFrame(points, POINTS), spark.createDataFrame(areas, AREAS), most=16).collect()
+    assert {tuple(r) for r in got} == {(i, 4, 4) for i in range(300) if i % 3 < 2} and len(got) == 200
+    assert Counted.rows == [3]
