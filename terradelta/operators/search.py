@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terradelta.functions.labels import behaviour_label, first_of, place_title, trimmed_lower
 from terradelta.functions.places import coordinates, within_box
 from terradelta.operators.quadtree import MOST, Quadtree
+from terradelta.session import small_or_not, stored
 
 PER_SOURCE, IN_ALL, REMOTE, REMOTE_LENGTH = 5, 8, 4, 3
 # fixed values: places known without a service
@@ -59,32 +60,47 @@ def search(query: str, regions: DataFrame, places: DataFrame, remote: DataFrame
 def nearest_places(points: DataFrame, places: DataFrame, most: int = MOST) -> DataFrame:
     """(point_id, ord, gap): the nearest place of each point, by squared distance, the least ord of equals.
 
-    points: (point_id, lon, lat); places: (ord, lon, lat).  Places lie in the
-    leaves of a quadtree of their own, few in each.  A place in or beside a
-    point's leaf tells how far the nearest can be at most; all leaves that meet
-    the box of that distance, and no others, are then searched, so the result is
-    exact and no table is held whole anywhere.  Points are dealt out with them,
-    and each keeps the best of every leaf before the last exchange.
+    points: (point_id, lon, lat); places: (ord, lon, lat).  Points of one spot are
+    looked up once.
     """
-    known = places.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select("ord", "lon", "lat")
+    best = small_or_not(nearest_of_spots(points, places, most), "nearest-spots")
+    return points.join(best, ["lon", "lat"]).select("point_id", "ord", "gap")
+
+
+def nearest_of_spots(points: DataFrame, places: DataFrame, most: int = MOST) -> DataFrame:
+    """(lon, lat, ord, gap): the nearest place of each spot where points(lon, lat) lie.
+
+    Places lie in the leaves of a quadtree of their own, few in each.  A place in
+    or beside a spot's leaf tells how far the nearest can be at most; all leaves
+    that meet the box of that distance, and no others, are then searched, so the
+    result is exact.  Spots are dealt out with them, and each keeps the best of
+    every leaf before the last exchange.  Few places are sent to all tasks instead,
+    so that no leaf gathers the spots of a whole region in one.
+    """
+    known = places.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).groupBy("lon", "lat").agg(F.min("ord").alias("ord"))
+    known, _ = stored(known.select("ord", "lon", "lat"), "nearest-known")
+    spots, _ = stored(points.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select("lon", "lat").distinct(), "nearest-of")
     tree = Quadtree(known, most)
     gap = lambda x, y: (F.col(x) - F.col("lon")) * (F.col(x) - F.col("lon")) + (F.col(y) - F.col("lat")) * (F.col(y) - F.col("lat"))
-    own = tree.of_points(points.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select("point_id", "lon", "lat"), F.col("point_id"))
+    own = tree.of_points(spots, F.struct("lon", "lat"))
     reach = F.sqrt(gap("leaf_lon", "leaf_lat")) * (1 + 1e-9) + 1e-12
-    boxes = own.where("leaf_lon is not null").select("point_id", "lon", "lat", (F.col("lon") - reach).alias("w"), (F.col("lon") + reach).alias("e"), (F.col("lat") - reach).alias("s"), (F.col("lat") + reach).alias("n"))
+    boxes = own.where("leaf_lon is not null").select("lon", "lat", (F.col("lon") - reach).alias("w"), (F.col("lon") + reach).alias("e"), (F.col("lat") - reach).alias("s"), (F.col("lat") + reach).alias("n"))
     asked = tree.meeting(boxes)
     shops = tree.of_points(known, F.col("ord")).select("ord", F.col("lon").alias("x"), F.col("lat").alias("y"), "level", "gx", "gy", "salt")
-    met = asked.join(shops, ["level", "gx", "gy", "salt"]).select("point_id", gap("x", "y").alias("gap"), "ord")
-    best = met.groupBy("point_id").agg(F.min(F.struct("gap", "ord")).alias("b"))
-    return best.select("point_id", "b.ord", "b.gap")
+    met = asked.join(small_or_not(shops, "nearest-shops"), ["level", "gx", "gy", "salt"]).select("lon", "lat", gap("x", "y").alias("gap"), "ord")
+    best = met.groupBy("lon", "lat").agg(F.min(F.struct("gap", "ord")).alias("b"))
+    return best.select("lon", "lat", "b.ord", "b.gap")
 
 
 def reverse_nearest(points: DataFrame, addresses: DataFrame) -> DataFrame:
     """(feature_id, title, locality) of points(feature_id, feature_type, lon, lat), from the nearest address.
 
     addresses: (ord, display_name, town, village, city, municipality, county, lon, lat).
+    Spots get their locality before they meet the points, so an address that is
+    the nearest of many points is met once for each spot.
     """
-    near = nearest_places(points.select(F.col("feature_id").alias("point_id"), "lon", "lat"), addresses).select(F.col("point_id").alias("feature_id"), "ord")
-    d = points.select("feature_id", "feature_type").join(near, "feature_id").join(addresses.drop("lon", "lat"), "ord")
     locality = first_of(*map(F.col, ("town", "village", "city", "municipality", "county")), F.get(F.split("display_name", ","), F.lit(0)))
-    return d.select("feature_id", place_title(F.col("feature_type"), locality).alias("title"), locality.alias("locality"))
+    near = nearest_of_spots(points, addresses).select("lon", "lat", "ord").join(addresses.drop("lon", "lat"), "ord")
+    near = small_or_not(near.select("lon", "lat", locality.alias("locality")), "nearest-named")
+    d = points.select("feature_id", "feature_type", "lon", "lat").join(near, ["lon", "lat"])
+    return d.select("feature_id", place_title(F.col("feature_type"), F.col("locality")).alias("title"), "locality")

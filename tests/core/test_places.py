@@ -155,3 +155,13 @@ def test_hits_test_equal_places_and_shapes_once(spark, monkeypatch):
     got = regions.hit_top(spark.createDataFrame(points, POINTS), spark.createDataFrame(areas, AREAS), most=16).collect()
     assert {tuple(r) for r in got} == {(i, 4, 4) for i in range(300) if i % 3 < 2} and len(got) == 200
     assert Counted.rows == [3]
+
+
+def test_nearest_looks_up_equal_spots_once(spark, monkeypatch):
+    monkeypatch.setattr(search, "Quadtree", Counted)
+    Counted.rows.clear()
+    points = spark.createDataFrame([(i, float(i % 4), 0.0) for i in range(200)], POINTS)
+    places = spark.createDataFrame([(i, float(i % 2) * 3, 0.0) for i in range(100)], PLACES)
+    got = search.nearest_places(points, places, most=8).collect()
+    assert {(r.point_id, r.ord, r.gap) for r in got} == {(i, int(i % 4 > 1), float(i % 4 in (1, 2))) for i in range(200)} and len(got) == 200
+    assert Counted.rows == [4, 2]
