@@ -95,7 +95,7 @@ def patch_outlines(spark, d):
 @query(PATCHES.rstrip(",\n") + f", n as (select patch, count(*) cells from pc group by all) select patch, round(cells * {CELL_M2}, 6)::double area_m2, round(cells * {CELL_M2} / 10000, 6)::double area_ha from n")
 def patch_hectares(spark, d):
     """Hectares within the outline of every patch; the SQL counts its cells instead."""
-    a = outlines.patch_areas(outlines.rings(_patch_cells(spark, d)), CELL_M2)
+    a = outlines.boundary_areas(outlines.boundary(_patch_cells(spark, d)), CELL_M2)
     return a.select("patch", rounded_to(F.col("area_m2"), 6).alias("area_m2"), rounded_to(regions.hectares(F.col("area_m2")), 6).alias("area_ha"))
 
 

@@ -7,8 +7,8 @@ after one is the one that starts where it ends, and where a patch touches itself
 in a corner and two start there, the left turn, so that rings never cross, each
 side has one before and one after it, and cells that share sides have one outer
 ring (holes that touch in a corner are one hole).  Rings are told apart and numbered by
-pointer doubling: each round doubles the reach, so a ring of a million sides
-takes twenty.  No ring is put together in one task; its corners are rows.
+pointer doubling: each round doubles the reach and carries the steps to the least
+side, so a ring of a million sides takes twenty rounds in all.  No ring is put together in one task; its corners are rows.
 """
 
 from __future__ import annotations
@@ -51,23 +51,20 @@ def rings(cells: DataFrame) -> DataFrame:
     turn = F.pmod(F.col("then") - F.col("way"), F.lit(4))
     order = F.when(turn == LEFT, 0).when(turn == STRAIGHT, 1).otherwise(2)
     follow = sides.join(starts, ["patch", "x2", "y2"]).groupBy("patch", "e").agg(F.min(F.struct(order.alias("o"), "next")).alias("n")).select("patch", "e", F.col("n.next").alias("to"))
-    reach, _ = stored(follow.withColumn("least", F.least("e", "to")), "outline-reach")
-    steps = reach.select("patch", "e", F.col("to").alias("next"))
-    while True:  # the least side within reach; the reach doubles
-        on = reach.select("patch", F.col("e").alias("to"), F.col("to").alias("further"), F.col("least").alias("other"))
-        new = reach.join(on, ["patch", "to"]).select("patch", "e", F.col("further").alias("to"), F.least("least", "other").alias("least"), (F.col("other") < F.col("least")).alias("moved"))
+    ahead = F.when(F.col("to") < F.col("e"), 1).otherwise(0).cast("long")
+    reach, _ = stored(follow.select("patch", "e", "to", F.least("e", "to").alias("least"), ahead.alias("steps")), "outline-reach")
+    far = 1
+    while True:  # the least side within reach and the steps to it; the reach doubles
+        on = reach.select("patch", F.col("e").alias("to"), F.col("to").alias("further"), F.col("least").alias("other"), F.col("steps").alias("more"))
+        moved = F.col("other") < F.col("least")
+        new = reach.join(on, ["patch", "to"]).select("patch", "e", F.col("further").alias("to"), F.least("least", "other").alias("least"), F.when(moved, F.col("more") + far).otherwise(F.col("steps")).alias("steps"), moved.alias("moved"))
         new, _ = stored(new, "outline-reach")
-        reach = new.drop("moved")
+        reach, far = new.drop("moved"), far * 2
         if new.where("moved").isEmpty():
             break
-    ring = reach.select("patch", "e", F.col("least").alias("ring"))
-    # how many steps it is to the ring's least side, where the way ends
-    left, _ = stored(steps.join(ring, ["patch", "e"]).select("patch", "e", "ring", F.when(F.col("e") == F.col("ring"), F.col("e")).otherwise(F.col("next")).alias("to"), F.when(F.col("e") == F.col("ring"), 0).otherwise(1).cast("long").alias("steps")), "outline-left")
-    while not left.where("to <> ring").isEmpty():
-        on = left.select("patch", F.col("e").alias("to"), F.col("to").alias("further"), F.col("steps").alias("more"))
-        left, _ = stored(left.join(on, ["patch", "to"]).select("patch", "e", "ring", F.col("further").alias("to"), (F.col("steps") + F.col("more")).alias("steps")), "outline-left")
+    left = reach.select("patch", "e", F.col("least").alias("ring"), "steps")
     length = left.groupBy("patch", "ring").agg(F.count("*").alias("length"))
-    d = sides.join(left.select("patch", "e", "ring", "steps"), ["patch", "e"]).join(length, ["patch", "ring"])
+    d = sides.join(left, ["patch", "e"]).join(length, ["patch", "ring"])
     return d.select("patch", "ring", F.pmod(F.col("length") - F.col("steps"), F.col("length")).alias("place"), "x", "y", "x2", "y2", "way")
 
 
@@ -81,3 +78,9 @@ def patch_areas(sides: DataFrame, cell_m2: float) -> DataFrame:
     """(patch, area_m2, perimeter, outer, holes) of each patch, from its outline alone."""
     r = ring_areas(sides)
     return r.groupBy("patch").agg((F.sum("cells") * F.lit(cell_m2)).alias("area_m2"), F.sum("sides").alias("perimeter"), F.count_if(F.col("cells") > 0).alias("outer"), F.count_if(F.col("cells") < 0).alias("holes"))
+
+
+def boundary_areas(sides: DataFrame, cell_m2: float) -> DataFrame:
+    """(patch, area_m2) of each patch from boundary() alone: all its sides add up to the same area in whatever order, so no ring is needed."""
+    twice = F.sum(F.col("x") * F.col("y2") - F.col("x2") * F.col("y"))
+    return sides.groupBy("patch").agg(((twice / 2).cast("long") * F.lit(cell_m2)).alias("area_m2"))

@@ -181,3 +181,19 @@ def test_nearest_looks_up_equal_spots_once(spark, monkeypatch):
     got = search.nearest_places(points, places, most=8).collect()
     assert {(r.point_id, r.ord, r.gap) for r in got} == {(i, int(i % 4 > 1), float(i % 4 in (1, 2))) for i in range(200)} and len(got) == 200
     assert Counted.rows == [4, 2]
+
+
+def test_rings_are_numbered_in_the_rounds_that_tell_them_apart(spark, monkeypatch):
+    written = []
+    keep = outlines.stored
+    monkeypatch.setattr(outlines, "stored", lambda d, name: written.append(name) or keep(d, name))
+    cells = spark.createDataFrame([(1, x, y) for x in range(40) for y in (0, 2)] + [(1, 0, 1)], "patch long, x long, y long")
+    places = sorted(r.place for r in outlines.rings(cells).collect())
+    assert places == list(range(164)) and len(written) <= 2 + 9 and "outline-left" not in written
+
+
+def test_areas_from_the_boundary_need_no_rings(spark):
+    picture = ["aaaaa..", "a.aba..", "aa.aa..", "aaaaabb", ".....bb", "..bb..."]
+    cells = [(1 if c == "a" else 2, x, y) for y, row in enumerate(picture) for x, c in enumerate(row) if c != "."]
+    d = outlines.boundary(spark.createDataFrame(cells, "patch long, x long, y long"))
+    assert {r.patch: r.area_m2 for r in outlines.boundary_areas(d, 2.0).collect()} == {p: 2.0 * sum(c[0] == p for c in cells) for p in (1, 2)}
