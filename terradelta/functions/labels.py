@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from terradelta.functions.numbers import number_text
+from terradelta.functions.numbers import number_text, rounded_to
 
 MISSING = "Not available"
 # fixed values: the words shown for each state
@@ -146,7 +146,7 @@ def land_note(outcome: Column, first_change: Column, last_year: int = 2024) -> C
 
 
 def ndvi_note(change: Column) -> Column:
-    amount = F.when(change == 0, F.lit("")).otherwise(F.concat(F.lit(" by "), number_text(F.abs(change), 3)))
+    amount = F.when(change == 0, F.lit("")).otherwise(F.concat(F.lit(" by "), number_text(rounded_to(F.abs(change), 3), 3)))
     return F.concat(F.lit("Average NDVI "), ndvi_action(change), amount, F.lit(" between the first and last study years."))
 
 
