@@ -9,11 +9,31 @@ reader always sees whole batches.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of one run for each partition of the state.  A partition costs a set of files for each operator and batch, however few rows it has.
+STATE_ROWS = 200_000
+
+
+def state_partitions(spark: SparkSession, rows: int) -> int:
+    """How many partitions the state of a job with so many rows a run gets: as many as there are cores or more, not above the setting."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, -(-rows // STATE_ROWS)))
+
+
+@contextmanager
+def _partitions(spark: SparkSession, n: int) -> Iterator[None]:
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
 
 def stream_of(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """All files of a folder as a stream, those that are there at the start of a run in one batch."""
@@ -27,10 +47,16 @@ def _writer(where: str) -> Callable[[DataFrame, int], None]:
     return keep
 
 
-def advance(stream: DataFrame, where: str, mode: str = "append", keep: Callable[[DataFrame, int], None] | None = None) -> None:
-    """Work off what has arrived since the job's last run."""
+def advance(stream: DataFrame, where: str, mode: str = "append", keep: Callable[[DataFrame, int], None] | None = None, partitions: int | None = None) -> None:
+    """Work off what has arrived since the job's last run; the first run settles the partitions of the state."""
     q = stream.writeStream.foreachBatch(keep or _writer(where)).outputMode(mode)
-    q.option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    q = q.option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True)
+    if partitions is None:
+        q.start().awaitTermination()
+        return
+    with _partitions(stream.sparkSession, partitions):  # a query keeps the settings it starts with
+        running = q.start()
+    running.awaitTermination()
 
 
 def results(spark: SparkSession, where: str) -> DataFrame:
@@ -60,11 +86,13 @@ def replay(spark: SparkSession, where: str, inputs: dict[str, list[DataFrame]],
     build gets a stream for each input, by name.
     """
     n = max(map(len, inputs.values()))
+    largest = max(sum(parts[k].count() for parts in inputs.values() if k < len(parts)) for k in range(n))
+    partitions = state_partitions(spark, largest)
     for k in range(n):
         for name, parts in inputs.items():
             if k < len(parts):
                 parts[k].write.mode("append").parquet(f"{where}/in/{name}")
-        advance(build(**{name: stream_of(spark, f"{where}/in/{name}", parts[0]) for name, parts in inputs.items()}), where, mode)
+        advance(build(**{name: stream_of(spark, f"{where}/in/{name}", parts[0]) for name, parts in inputs.items()}), where, mode, partitions=partitions)
     return results(spark, where)
 
 

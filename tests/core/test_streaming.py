@@ -87,3 +87,26 @@ def test_only_the_answer_of_the_newest_request_stays(spark, tmp_path):
     a = spark.createDataFrame(answers, "event_id long, answered timestamp")
     got = jobs.replay(spark, f"{tmp_path}/job", {"requests": jobs.parts_by_time(r, "ts", 2), "answers": jobs.parts_by_time(a, "answered", 2)}, i.fresh_answers).collect()
     assert sorted(x.event_id for x in got if x.event_id > 0) == [2, 3, 6]  # 1 and 5 are overtaken, 4 took too long, 99 was never asked
+
+
+def test_state_has_as_many_partitions_as_its_rows_need(spark, tmp_path, monkeypatch):
+    import os
+
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    events = spark.createDataFrame(rows(), SCHEMA)
+    parts = jobs.parts_by_time(events, "ts", 2)
+    told = []
+    try:
+        spark.conf.set(key, 17)
+        for name in ("few", "many"):
+            got = jobs.replay(spark, f"{tmp_path}/{name}", {"events": parts}, i.debounced_stream).collect()
+            told.append(sorted((r.user_id, r.started, r.n_events, r.event_id) for r in got))
+            n = len([p for p in os.listdir(f"{tmp_path}/{name}/checkpoint/state/0") if p.isdigit()])
+            assert n == (spark.sparkContext.defaultParallelism if name == "few" else -(-max(p.count() for p in parts) // 10))
+            assert spark.conf.get(key) == "17"
+            monkeypatch.setattr(jobs, "STATE_ROWS", 10)
+        assert jobs.state_partitions(spark, 10**9) == 17
+    finally:
+        spark.conf.set(key, before)
+    assert told[0] == told[1] and told[0]
