@@ -41,6 +41,8 @@ columns pass through, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,11 @@ NEAR_WORDS = 8
 BLOCK = 64
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it, its lambdas included."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def normalised(line: Column) -> Column:
     """Lower case, single spaces.  Few lines have other white space than single spaces, so only these pay for a pattern."""
     odd = F.contains(line, F.lit("  "))
@@ -89,10 +96,15 @@ def prefix_xor(values: Column) -> Column:
     def run(part: Column, start: Column) -> Column:
         return F.aggregate(part, F.array(start).cast(longs), lambda a, x: F.concat(a, F.array(F.element_at(a, -1).bitwiseXOR(x))).cast(longs))
 
+    def joined(blocks: Column, starts: Column) -> Column:
+        inner = F.zip_with(blocks, F.slice(starts, 1, F.size(starts) - 1), lambda p, s: F.slice(run(p, s), 1, F.size(p)))
+        return F.concat(F.flatten(inner), F.slice(starts, -1, 1))
+
+    zero = F.lit(0).cast("bigint")
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, BLOCK))
-    starts = run(F.transform(blocks, lambda p: F.aggregate(p, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))), F.lit(0).cast("bigint"))
-    inner = F.zip_with(blocks, F.slice(starts, 1, F.size(starts) - 1), lambda p, s: F.slice(run(p, s), 1, F.size(p)))
-    return F.concat(F.flatten(inner), F.slice(starts, -1, 1))
+    sums = lambda b: F.transform(b, lambda p: F.aggregate(p, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x)))
+    long = _once(blocks, lambda b: _once(run(sums(b), zero), lambda s: joined(b, s)))
+    return F.when(F.size(values) <= BLOCK, run(values, zero)).otherwise(long)
 
 
 def variants(lines: DataFrame) -> DataFrame:
@@ -182,9 +194,8 @@ def with_removed(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
 
 def _left() -> Column:
     """The text without the lines that go."""
-    lines = F.split("text", "\n", -1)
-    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    return F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n"))
+    kept = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.get(lines, i))
+    return F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(_once(F.split("text", "\n", -1), kept), "\n"))
 
 
 def dedup(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
@@ -202,15 +213,15 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, those that go, the near ones of these, and the code points and hash of what is left."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     d = with_removed(docs).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("again"))).alias("k"))  # further rows of a document lose all lines
-    lines = F.split("text", "\n", -1)
-    spoken = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike("[^\\x20\\x09-\\x0D]"))
+    numbers = lambda lines: F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike("[^\\x20\\x09-\\x0D]"))
+    spoken = _once(F.split("text", "\n", -1), numbers)
     d = d.withColumns({"gone": F.when(F.col("k") == 0, F.col("gone")).otherwise(spoken), "near": F.when(F.col("k") == 0, F.col("near"))})
     d = d.withColumn("left", F.coalesce(_left(), F.lit("")))
     return d.select(
         "doc_id",
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"),
+        F.coalesce(1 + F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("near", F.lit(0)).cast("long").alias("n_near"),
         F.length("left").cast("long").alias("n_chars_left"),
-        F.crc32(F.encode("left", "utf-8")).alias("left_crc32"),
+        F.crc32(F.col("left").cast("binary")).alias("left_crc32"),
     )

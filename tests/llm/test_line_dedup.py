@@ -96,3 +96,9 @@ def test_repeated_rows_keep_one(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     told = sorted((r.doc_id, r.n_lines, r.n_removed, r.n_chars_left) for r in line_dedup.op6_line_dedup(spark, str(tmp_path)).collect() if r.doc_id in (7, 8, 9))
     assert told == [(7, 3, 0, 22), (7, 3, 2, 0), (7, 3, 2, 0), (8, 2, 1, 9), (9, 2, 0, 2), (9, 2, 0, 2)]
+
+
+def test_a_text_is_cut_once_not_for_every_line(spark):
+    assert str(line_dedup._left()).count("split(") == 1
+    docs = spark.createDataFrame([("a\nb\n\nc", [1, 2]), ("a\nb", None), ("a", [0])], "text string, gone array<int>")
+    assert [r.left for r in docs.select(line_dedup._left().alias("left")).collect()] == ["a\nc", "a\nb", ""]
