@@ -40,6 +40,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,9 @@ UNKNOWN_PENALTY = 10.0
 #: Runs of more characters are segmented one by one, streaming.
 LONG = 256
 REMEMBERED_PAIRS = 150_000
+#: Characters of texts that are encoded together, and bytes of runs remembered for the next ones: two
+#: workers stand beside an executor's heap, and no memory of theirs grows with the input.
+GROUP_CHARS, REMEMBERED_BYTES = 1 << 18, 32 << 20
 _RUN = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _NEVER = np.int64(1) << 40
 _PROBES = ["two words", "  two  blanks ", "tab\tline\nend", "ﬁ Å é é", "日本語 テキスト", "😀 a😀😀b", "x\0y", "<s> </s> <unk>", "a.b,c;d 1234 ABC", "ＡＢＣ　㍿", "zz zz​z"]
@@ -235,7 +239,7 @@ class Pieces:
         self.merges = Merges(self.scores, self.ids) if bpe else None
         self.lattice = Lattice(self.merges) if bpe else None
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.runs = RunIds(self._learn)
+        self.runs = RunIds(self._learn, REMEMBERED_BYTES)
         self.commits = 0
 
     @classmethod
@@ -397,9 +401,9 @@ def _run(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pieces(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in groups([len(x or "") for x in texts], 1 << 20):
-                ids, n = m.encode_all(texts[a:b])
+            for a, b in groups(pc.utf8_length(batch.column("text")).to_pylist(), GROUP_CHARS):
+                texts = batch.column("text").slice(a, b - a).to_pylist()
+                ids, n = m.encode_all(texts)
                 at = np.concatenate([[0], np.cumsum(n)])
                 raw = memoryview(np.ascontiguousarray(ids, "<i4")).cast("B")
                 all_ids = ids.tolist()
@@ -409,7 +413,7 @@ def _run(path: str, with_ids: bool):
                     "n_ids": pa.array(n),
                     "ids_crc32": pa.array([zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.int64()),
                     "decoded_crc32": pa.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in back], pa.int64()),
-                    "round_trip": pa.array([x == (y or "") for x, y in zip(back, texts[a:b], strict=True)], pa.bool_()),
+                    "round_trip": pa.array([x == (y or "") for x, y in zip(back, texts, strict=True)], pa.bool_()),
                 }
                 if with_ids:
                     columns["ids"] = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))

@@ -2,8 +2,8 @@
 
 A word's hash is a polynomial over its bytes, taken from prefix sums modulo
 2**64 and mixed; a shingle's hash combines those of its words.  Work goes in
-slices of a few MB of text, so memory is bounded by a slice and the longest
-single text.
+slices of half a MB of text, so memory is bounded by a slice and the longest
+single text; what a worker keeps for later slices is bounded by a slice alone.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -40,10 +40,14 @@ _powers: list[np.ndarray] = []
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES * 2)
-        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (_BASE, _INVERSE)]
-    return _powers[0], _powers[1]
+    """At least n powers of the base and of its inverse; those of a slice are kept, a longer text has its own."""
+    if _powers and n <= len(_powers[0]):
+        return _powers[0], _powers[1]
+    size = max(n, SLICE_BYTES + 1)
+    made = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (_BASE, _INVERSE)]
+    if size == SLICE_BYTES + 1:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -1,7 +1,10 @@
+import itertools
 import random
 import re
 
-from terradelta.llm import ngram_join
+import pyarrow as pa
+
+from terradelta.llm import ngram_join, shingles
 from terradelta.llm.ngram_join import keep_one, ngram_components
 
 SCHEMA = "doc_id long, text string, root string"
@@ -94,3 +97,15 @@ def test_keep_one_by_row(spark):
     assert kept([]) == []
     columns = ngram_join.keep_one(docs([(1, a, "s", "clash")])).columns
     assert columns == ["doc_id", "text", "source", "_id"]
+
+
+def test_a_long_text_leaves_nothing_behind():
+    before = [" ".join(f"w{i % 5000}" for i in range(n)) for n in (3, 5000, 400_000)]
+    texts = [*before, None, "", *before[:2]]
+    got = []
+    for row, data, offsets in shingles.slices(pa.array(texts)):
+        s, at = shingles.sets(data, offsets, 4)
+        got += [s[a:b].tolist() for a, b in itertools.pairwise(at.tolist())]
+    assert [len(x) for x in got] == [1, 4997, 5000, 0, 0, 1, 4997]
+    assert got[0] == got[5] and got[1] == got[6] and set(got[1]) < set(got[2])
+    assert sum(x.nbytes for x in shingles._powers) <= 16 << 20

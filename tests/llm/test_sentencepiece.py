@@ -1,6 +1,8 @@
 import itertools
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -81,3 +83,21 @@ def test_rows(spark):
     assert len(got) == 5 and [r.round_trip for r in sorted(got)] == [True, True, True, True, False]
     assert sorted(r.n_ids for r in got)[:2] == [0, 0]
     assert s.encode_documents(docs.limit(0), with_ids=False).count() == 0
+
+
+def test_memory_is_bounded_by_a_group():
+    rnd = random.Random(6)
+    texts = [" ".join("".join(rnd.choice("abcdehinorst") for _ in range(8)) for _ in range(400)) for _ in range(300)] + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})
+    path = s.default_model()
+    run, library = s._run(path, True), sentencepiece.SentencePieceProcessor(model_file=path)
+    s.pieces(path)
+    tracemalloc.start()
+    most = [0]
+    for out in run(iter([batch])):
+        most.append(tracemalloc.get_traced_memory()[1])
+        for i, ids in zip(out["doc_id"].to_pylist(), out["ids"].to_pylist(), strict=True):
+            if i % 50 == 0 or not texts[i]:
+                assert ids == library.encode(texts[i] or "")
+    tracemalloc.stop()
+    assert len(most) > 3 and max(most) < 120 << 20
